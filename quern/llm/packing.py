@@ -8,21 +8,26 @@ pass over all cells.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, small_batches
+from quern.llm.common import small_batches
 from quern.sources.stage import stage
 
 LENGTH = 2048
 #: Items of a cell, and the distinct words a worker remembers.
-CELL, WORDS_KEPT = 100_000, 400_000
+CELL, WORDS_KEPT = 100_000, 600_000
+#: Fixed value: a character that is a token of its own.
+BETWEEN = "\x01"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -33,32 +38,65 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of a text as little-endian 32-bit words.
+    """Token ids of a column of texts.
 
     This tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn; each distinct word is encoded once while it is remembered.
+    of its words in turn. Each distinct word of a batch is encoded once; the first
+    WORDS_KEPT words met are remembered, which frequent ones are soon among. Words are
+    encoded many at a time, with a control character between them whose id is its own.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tok.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([self.known[w] for w in words])
+        self.known: dict[str, bytes] = {}
+        (self.between,) = self.tok.encode(BETWEEN, add_special_tokens=False).ids
+
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        out = {w: array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes() for w in words if BETWEEN in w}
+        words = [w for w in words if BETWEEN not in w]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            (e,) = self.tok.encode_batch_fast([f" {BETWEEN} ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.between)
+            raw = ids.tobytes()
+            assert len(cut) == len(part) - 1
+            out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]))
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last's end)."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = [self.known.get(w) for w in distinct]
+        fresh = self.encode([w for w, x in zip(distinct, found) if x is None])
+        if len(self.known) < WORDS_KEPT:
+            self.known.update(fresh)
+        found = [fresh[w] if x is None else x for w, x in zip(distinct, found)]
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(distinct)) // 4
+        first = np.cumsum(size) - size
+        each = size[index] if len(index) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(each)))
+        out = ids[np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], each)] if len(index) else ids
+        return out, ends[np.asarray(words.offsets) - words.offsets[0].as_py()]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones joined to about ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> DataFrame:
@@ -72,10 +110,11 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder(path), np.array([end], "<u4").tobytes()
-        for b in batches:
+        for b in gathered(batches):
             out: list[list[int]] = [[], [], [], [], []]
-            for i, t in enumerate(as_bytes(b.column(2))):
-                ids = encode(t) + tail
+            tokens, ends = encode(b.column(2))
+            for i, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                ids = tokens[lo:hi].astype("<u4").tobytes() + tail
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     for x, v in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part))):
@@ -117,21 +156,40 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def packed(sizes: np.ndarray, length: int = LENGTH, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each item, placed from the longest down; then the items of bins left
+    open are placed again so, until that saves no bin."""
+    bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    bins[order], offsets[order] = sum_of_squares(sizes[order], length)
+    for _ in range(rounds):
+        used = np.bincount(bins, weights=sizes).astype(np.int64)
+        loose = np.flatnonzero(used[bins] < length)
+        loose = loose[np.argsort(-sizes[loose], kind="stable")]
+        b, o = sum_of_squares(sizes[loose], length)
+        if not len(loose) or b.max() + 1 >= (used < length).sum():
+            break
+        number = np.cumsum(used == length) - 1  # full bins keep their order, the new ones follow
+        bins, base = number[bins], int((used == length).sum())
+        bins[loose], offsets[loose] = base + b, o
+    return bins, offsets
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece.
 
     Every row of ``docs`` is packed, repeated ones as often; null doc_ids are carried;
     an empty table gives no rows; other columns are ignored. Reruns over the same files
-    agree. Cells hold about ``CELL`` pieces by a hash, each packed from the longest piece
-    down; the open bins of all cells are packed again, their pieces moved together.
+    agree. Cells hold about ``CELL`` pieces by a hash, each packed on its own; the open
+    bins of all cells are packed again, their pieces moved together.
     """
     p = pieces(docs, path or vocabulary(), length)
     short = p.where(F.col("length") < length)
     cells = max(1, -(-short.count() // CELL))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row", "piece"], ascending=[False, True, True], ignore_index=True)
-        b, o = sum_of_squares(pdf.length.to_numpy(), length)
+        pdf = pdf.sort_values(["row", "piece"], ignore_index=True)
+        b, o = packed(pdf.length.to_numpy(), length)
         return pdf.assign(bin=b, offset=o)
 
     cell = F.pmod(F.xxhash64("row", "piece"), F.lit(cells)).cast("long")
@@ -142,8 +200,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     again = max(1, -(-open_.count() // CELL))
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["used", "cell", "bin"], ascending=[False, True, True], ignore_index=True)
-        b, o = sum_of_squares(pdf.used.to_numpy(), length)
+        pdf = pdf.sort_values(["cell", "bin"], ignore_index=True)
+        b, o = packed(pdf.used.to_numpy(), length)
         return pdf.assign(to=b, shift=o)[["cell", "bin", "group", "to", "shift"]]
 
     group = F.pmod(F.xxhash64("cell", "bin", F.lit(1)), F.lit(again)).cast("long")

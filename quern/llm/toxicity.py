@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
     left = dict(holders)
     while left and len(chosen) < ENTRIES:
         e = max(left, key=lambda e: (len(left[e]), not e.endswith("$"), len(e), e))
-        if len(left[e]) < 2:
+        if len(left[e]) < max(2, n_toxic // 150):
             break
         chosen.append(e)
         done = set()
