@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import browsing
+from quern.plans import browsing, records, resolution, texts
 
-FAMILIES = (browsing,)
+FAMILIES = (browsing, texts, records, resolution)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
