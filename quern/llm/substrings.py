@@ -51,7 +51,7 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST) -> list[in
 
 
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, digest, start, size, words): the chunks of each document in bytes; words begin in it."""
+    """(doc_id, digest, start, extent): the chunks of each document; extent is bytes * 2^32 + spaces in them."""
     small_batches(docs.sparkSession)
     src = docs.select("doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -61,7 +61,7 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST) -> D
 
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            row, dig, start, size, words = [], [], [], [], []
+            row, dig, start, extent = [], [], [], []
             for i, t in enumerate(as_bytes(b.column(1))):
                 t = t or b""
                 at = 0
@@ -70,18 +70,17 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST) -> D
                     row.append(i)
                     dig.append(digest(part))
                     start.append(at)
-                    size.append(c - at)
-                    words.append(part.count(b" ") + part.count(b"\n"))
+                    extent.append(c - at << 32 | part.count(b" ") + part.count(b"\n"))
                     at = c
                 if len(row) > 200_000:
-                    yield batch(b, row, dig, start, size, words)
-                    row, dig, start, size, words = [], [], [], [], []
-            yield batch(b, row, dig, start, size, words)
+                    yield batch(b, row, dig, start, extent)
+                    row, dig, start, extent = [], [], [], []
+            yield batch(b, row, dig, start, extent)
 
-    def batch(b, row, dig, start, size, words):
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(np.array(dig, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.int32())], names=["doc_id", "digest", "start", "size", "words"])
+    def batch(b, row, dig, start, extent):
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(np.array(dig, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(extent, pa.int64())], names=["doc_id", "digest", "start", "extent"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, digest long, start int, size int, words int")
+    return src.mapInArrow(run, f"doc_id {kind}, digest long, start int, extent long")
 
 
 def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
@@ -99,9 +98,10 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     row a task; repeated digests then meet the chunks again in a join that adaptive
     execution splits for a hot digest. Runs are found per document.
     """
-    all_ = stage(chunks(docs.where(F.col("doc_id").isNotNull()), mask_bits, least))
+    all_ = chunks(docs.where(F.col("doc_id").isNotNull()), mask_bits, least)
     seen = all_.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low")
-    hit = all_.join(seen, "digest").select("doc_id", "start", "size", "words", "low", (F.col("low") == F.col("doc_id")).alias("own"))
+    # staged, so that the join deals both sides anew and can split a hot digest; chunks are cut again, which takes less than keeping them
+    hit = all_.join(stage(seen), "digest").select("doc_id", "start", F.shiftright("extent", 32).cast("int").alias("size"), F.col("extent").bitwiseAND(F.lit(0xFFFFFFFF)).alias("words"), "low", (F.col("low") == F.col("doc_id")).alias("own"))
     place = Window.partitionBy("doc_id").orderBy("start", "size")
     # copies of a row give the same chunks again; a run goes on where the chunk before ends
     runs = hit.groupBy("doc_id", "start", "size", "words", "low", "own").agg(F.count("*").alias("_n"))
