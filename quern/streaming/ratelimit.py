@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -35,7 +36,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, tie: str, most: int, window
 
     A hot key is read in batches and never held whole.
     """
-    schema = events.schema.add("allowed", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
     names = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, tie: str, most: int, window
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, tie: str, most: int, window_seconds: int) -> DataFrame:
     """The same over a stream, count and start kept as state; rows of one micro-batch in order of time."""
-    schema = events.schema.add("allowed", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames), ignore_index=True)
