@@ -12,6 +12,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,10 @@ from quern.sources.stage import stage
 
 LENGTH = 2048
 #: Items of a cell, and the distinct words a worker remembers.
-CELL, WORDS_KEPT = 100_000, 600_000
+CELL, WORDS_KEPT = 100_000, 400_000
 #: Fixed value: a character that is a token of its own.
 BETWEEN = "\x01"
+MARKS = frozenset(".,")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -52,20 +54,37 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.mark = {c: array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes() for c in MARKS}
         (self.between,) = self.tok.encode(BETWEEN, add_special_tokens=False).ids
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        out = {w: array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes() for w in words if BETWEEN in w}
-        words = [w for w in words if BETWEEN not in w]
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
+        """Ids of distinct words. Case is folded by the tokenizer too, and a stop or comma
+        after an ASCII letter is a token of its own, so fewer need encoding."""
+        plain, marked = [], []
+        for w in words:
+            if w[-1:] in MARKS and "a" <= w[-2:-1] <= "z":
+                marked.append(w)
+                w = w[:-1]
+            plain.append(w.lower() if w.isascii() else w)
+        known = self.known
+        out = {w: known[w] for w in plain if w in known}
+        need = list({w for w in plain if w not in out})
+        for w in need:
+            if BETWEEN in w:
+                out[w] = array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
+        need = [w for w in need if BETWEEN not in w]
+        for at in range(0, len(need), 2000):
+            part = need[at : at + 2000]
             (e,) = self.tok.encode_batch_fast([f" {BETWEEN} ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             cut = np.flatnonzero(ids == self.between)
             raw = ids.tobytes()
             assert len(cut) == len(part) - 1
             out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]))
-        return out
+        got = {w: out[x] for w, x in zip(words, plain)}
+        for w in marked:
+            got[w] += self.mark[w[-1]]
+        return out | got
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin and the last's end)."""
@@ -78,14 +97,22 @@ class Encoder:
             self.known.update(fresh)
         found = [fresh[w] if x is None else x for w, x in zip(distinct, found)]
         ids = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(distinct)) // 4
-        first = np.cumsum(size) - size
-        each = size[index] if len(index) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(each)))
-        out = ids[np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], each)] if len(index) else ids
+        size = np.fromiter(map(len, found), np.int32, len(distinct)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
+        each = size[index] if len(index) else np.zeros(0, np.int32)
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int32))).astype(np.int32)
+        place = np.repeat(first[index] - ends[:-1], each) if len(index) else np.zeros(0, np.int32)
+        place += np.arange(ends[-1], dtype=np.int32)
+        out = ids[place]
         return out, ends[np.asarray(words.offsets) - words.offsets[0].as_py()]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which its tasks share."""
+    return Encoder(path)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batches, small ones joined to about ``size`` bytes."""
     held, n = [], 0
@@ -109,7 +136,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> Da
     src = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = Encoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
         for b in gathered(batches):
             out: list[list[int]] = [[], [], [], [], []]
             tokens, ends = encode(b.column(2))
