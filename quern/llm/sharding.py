@@ -59,13 +59,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     nodes = ring(spark, shards, vnodes)
     # a position belongs to the first node at or after it; cells of equal width list their nodes
     shift = 64 - CELL_BITS
-    low = -(1 << (CELL_BITS - 1))
+    inside: dict[int, list[int]] = {}
+    for p, _ in nodes:
+        inside.setdefault(p >> shift, []).append(p)
     cells: list[tuple[int, int, list[int]]] = []
     base = 0
-    for c in range(low, -low):
-        inside = [p for p, _ in nodes[base:][: len(nodes)] if p >> shift == c] if base < len(nodes) and nodes[base][0] >> shift == c else []
-        cells.append((c, base, inside))
-        base += len(inside)
+    for c in range(-(1 << (CELL_BITS - 1)), 1 << (CELL_BITS - 1)):
+        cells.append((c, base, inside.get(c, [])))
+        base += len(cells[-1][2])
     lookup = F.broadcast(spark.createDataFrame(cells, "cell long, base int, inside array<long>"))  # 4,096 rows
     rows = rows.withColumn("at", at).join(lookup, F.shiftright("at", shift) == F.col("cell"))
     arc = (F.col("base") + F.size(F.filter("inside", lambda x: x < F.col("at")))) % len(nodes)
