@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut after every byte where the gear hash of the last 32 bytes has its high bits
-zero, unless the chunk would be shorter than the least. Cuts depend on nearby bytes
-only, so an insertion moves the cuts around it and no others, and a passage that occurs in
-several documents falls into the same chunks but for its rims. Chunks are deduplicated by
-digest; consecutive repeated chunks make a repeated span.
+zero, unless the chunk would be shorter than the least; one that would be longer than the
+most ends there. (In a text that repeats itself the hash may never be zero; the most is a
+prime, so that the forced cuts of two such texts come to meet at each of its phases.) Cuts
+depend on nearby bytes only, so an insertion moves the cuts around it and no others, and
+a passage that occurs in several documents falls into the same chunks but for its rims.
+Chunks are deduplicated by digest; consecutive repeated chunks make a repeated span.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import as_bytes, small_batches
 from quern.sources.stage import stage
 
-#: High bits that a cut needs zero, least bytes of a chunk, and words a span needs.
-MASK_BITS, LEAST, WORDS = 4, 12, 25
+#: High bits that a cut needs zero, least and most bytes of a chunk, and words a span needs.
+MASK_BITS, LEAST, MOST, WORDS = 4, 12, 61, 25
 
 _S = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _S = (_S ^ (_S >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -43,7 +45,10 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST) -> list[in
         return []
     at = (np.flatnonzero((gear_hashes(data) >> np.uint32(32 - mask_bits)) == 0) + 1).tolist() if len(data) > 1 else []
     out, last = [], 0
-    for c in at:
+    for c in (*at, len(data)):
+        while c - last > MOST:
+            last += MOST
+            out.append(last)
         if c - last >= least and c < len(data):
             out.append(c)
             last = c
