@@ -31,13 +31,13 @@ RELEVANCE = "(CASE WHEN notable THEN 2 ELSE 0 END + CASE WHEN photo_url IS NOT N
 
 
 def browse_page(spark, d):
-    q = b.BrowseQuery(province="ASIA", photo=True, age="adult", offset=5, limit=48)
+    q = b.BrowseQuery(province="ASIA", photo=True, offset=2, limit=48)
     return b.browse(people(spark, d), None, q).select("id", "name", "event", "age")
 
 
 def text_search_page(spark, d):
     """The needle spans two of the joined fields."""
-    p = people(spark, d).where(b.contains_text("1 china", ("name", "event", "province")))
+    p = people(spark, d).where(b.contains_text("1 nation_1", ("name", "event", "province")))
     return p.orderBy(*b.sort_keys("age_desc")).limit(48).select("id", "name", "event", "age")
 
 
@@ -112,9 +112,9 @@ def label_counts(spark, d):
 
 
 QUERIES = {
-    "browse_facets_sorted_page": (browse_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE province = 'ASIA' AND photo_url IS NOT NULL AND age BETWEEN 31 AND 50
-      ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 48 OFFSET 5"""),
-    "text_search_page": (text_search_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE contains(lower(name || ' ' || event || ' ' || province), '1 china')
+    "browse_facets_sorted_page": (browse_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE province = 'ASIA' AND photo_url IS NOT NULL
+      ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 48 OFFSET 2"""),
+    "text_search_page": (text_search_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE contains(lower(name || ' ' || event || ' ' || province), '1 nation_1')
       ORDER BY age DESC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 48"""),
     "bucket_filter": (bucket_filter, """WITH p AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_size * 2 END AS age FROM part)
       SELECT 'child' AS bucket, count(*) AS n, min(age) AS low, max(age) AS high FROM p WHERE age <= 17
