@@ -20,8 +20,10 @@ DEY_YEAR = "دی[\\s‌]*(?:ماه|مَاه)?[\\s‌]*(1[34]\\d{2})"
 BIRTH_BEFORE, BIRTH_AFTER = "متولد|زاده|زادهٔ|تولد", "به دنیا آمد|متولد شد|زاده شد"
 OTHER_BEFORE = r"سالگرد|سالروز|ورودی|(?:مزار|آرامگاه|جان‌باختگان|جانباختگان)\s"
 FIRST_YEAR, LAST_YEAR = 1357, 1405
-#: Fixed values of the 33-year rule: the cycle from year 1210 on, its length, and leap years before it.
-CYCLE, CYCLE_YEARS, LEAPS_BEFORE = 1210, 425, 294
+#: Fixed values of the 33-year rule: the cycle's first year, its years, its first day (since 1970) and its days.
+CYCLE, CYCLE_YEARS, FIRST_DAY, DAYS = 1210, 425, -50690, 155228
+#: Days of 33 years, of which each fourth but the last is a leap year, and of four years.
+DAYS_33, DAYS_4 = 12053, 1461
 
 
 def month_day(c: Column) -> Column:
@@ -58,37 +60,28 @@ def approx_jalali_year(c: Column) -> Column:
     return F.when(y.between(1990, 2030), F.when(m >= 4, y - 621).otherwise(y - 622))
 
 
-def _march(jy: Column) -> tuple[Column, Column]:
-    """Day in March of the Gregorian year jy + 621 on which year jy begins, and years since its last leap year.
-
-    For years 1210 to 1634 (1831 to 2256), within one cycle of the rule; null outside.
-    """
-    n = jy - CYCLE
-    leap_j = F.lit(LEAPS_BEFORE) + F.floor(n / 33) * 8 + F.floor((n % 33 + 3) / 4)
-    m = F.when(n > CYCLE_YEARS - 6, n - CYCLE_YEARS + (CYCLE_YEARS + 4) // 33 * 33).otherwise(n)
-    since = F.when((m + 1) % 33 == 0, 4).otherwise(((m + 1) % 33 - 1) % 4)
-    gy = jy + 621
-    leap_g = F.floor(gy / 4) - F.floor((F.floor(gy / 100) + 1) * 3 / 4) - 150
-    inside = (n >= 0) & (n < CYCLE_YEARS)
-    return F.when(inside, (F.lit(20) + leap_j - leap_g).cast("int")), F.when(inside, since.cast("int"))
-
-
 def from_jalali(y: Column, m: Column, d: Column) -> Column:
-    """Gregorian date of a Solar Hijri one; null outside the calendar."""
-    march, since = _march(y)
-    days = F.when(m <= 6, (m - 1) * 31).otherwise(186 + (m - 7) * 30) + d - 1
-    last = F.when(m <= 6, 31).when(m <= 11, 30).otherwise(F.when(since == 0, 30).otherwise(29))
-    ok = m.between(1, 12) & (d >= 1) & (d <= last)
-    return F.when(ok, F.date_add(F.make_date(y + 621, F.lit(3), march), days.cast("int")))
+    """Gregorian date of a Solar Hijri one; null outside the calendar, years 1210 to 1634."""
+    n = y - CYCLE
+    at = n % 33
+    leap = (at % 4 == 0) & (at != 32) & (n != CYCLE_YEARS - 1)
+    last = F.when(m <= 6, 31).when((m <= 11) | leap, 30).otherwise(29)
+    ok = n.between(0, CYCLE_YEARS - 1) & m.between(1, 12) & d.between(1, last)
+    # a group of four years begins with its leap year
+    days = F.floor(n / 33) * DAYS_33 + F.floor(at / 4) * DAYS_4 + F.when(at % 4 == 0, 0).otherwise(at % 4 * 365 + 1)
+    days += (m - 1) * 30 + F.least(m - 1, F.lit(6)) + d - 1
+    return F.when(ok, F.date_from_unix_date((days + FIRST_DAY).cast("int")))
 
 
 def to_jalali(c: Column) -> Column:
-    """struct(y, m, d) of a Gregorian date."""
-    gy = F.year(c)
-    first = F.make_date(gy, F.lit(3), _march(gy - 621)[0])
-    after = c >= first
-    y = F.when(after, gy - 621).otherwise(gy - 622)
-    k = F.datediff(c, F.when(after, first).otherwise(F.make_date(gy - 1, F.lit(3), _march(gy - 622)[0])))
+    """struct(y, m, d) of a Gregorian date; its fields are null outside the years 1210 to 1634."""
+    n = F.unix_date(c) - FIRST_DAY
+    n = F.when(n.between(0, DAYS - 1), n)
+    r = n % DAYS_33
+    s = r % DAYS_4
+    first = s < 366
+    y = CYCLE + F.floor(n / DAYS_33) * 33 + F.floor(r / DAYS_4) * 4 + F.when(first, 0).otherwise(F.floor((s - 1) / 365))
+    k = F.when(first, s).otherwise((s - 1) % 365)
     m = F.when(k < 186, F.floor(k / 31) + 1).otherwise(F.floor((k - 186) / 30) + 7)
     d = F.when(k < 186, k % 31 + 1).otherwise((k - 186) % 30 + 1)
     return F.when(c.isNotNull(), F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d")))

@@ -23,8 +23,8 @@ def to_native_digits(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White-space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White-space runs to one space, none at the ends; single spaces are passed over."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s\s+|[^\S ]", " "))
 
 
 def norm_name_v1(c: Column) -> Column:
@@ -32,16 +32,15 @@ def norm_name_v1(c: Column) -> Column:
 
 
 def norm_text_v1(c: Column) -> Column:
-    """Digits and two letters folded, what is no word character (or is ``_``) a space."""
-    t = F.translate(fold_digits(F.coalesce(c, F.lit("")), False), ZWNJ + "يك", " یک")
-    return squeeze(F.regexp_replace(F.regexp_replace(t, "[#@_]", " "), r"(?U)[^\p{L}\p{N}\s]", " "))
+    """Digits and two letters folded; runs of what is neither letter nor number become one space."""
+    t = F.translate(F.coalesce(c, F.lit("")), PERSIAN_DIGITS + ZWNJ + "يك", DIGITS + " یک")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
 def norm_text(c: Column) -> Column:
     """Digits, eight letters and marks folded; word characters, ``_`` and the Arabic block stay."""
-    t = F.translate(fold_digits(F.coalesce(c, F.lit(""))), ZWNJ + RLM + LRM, " ")
-    t = F.translate(F.translate(t, FOLD_FROM, FOLD_TO), HARAKAT, "")
-    return squeeze(F.regexp_replace(t, r"[^\p{L}\p{N}_؀-ۿ ]", " "))
+    t = F.translate(F.coalesce(c, F.lit("")), PERSIAN_DIGITS + ARABIC_DIGITS + ZWNJ + FOLD_FROM + RLM + LRM + HARAKAT, DIGITS * 2 + " " + FOLD_TO)
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}_؀-ۿ]+", " "))
 
 
 def norm_name(c: Column) -> Column:

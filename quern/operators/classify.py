@@ -59,7 +59,7 @@ def reassign(people: DataFrame, years: dict[int, str] | None = None) -> tuple[Da
     c = F.col
     d = people.withColumn("_sy", cal.story_year(F.coalesce("story", F.lit(""))))
     # each a column of its own, so that it is computed once however often the rules name it
-    d = d.withColumns({"_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")), "_dey": F.contains(fold_digits(F.coalesce("story", F.lit("")), False), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")), "_s": c("_sy.year"), "_c": c("_sy.conf")})
+    d = d.withColumns({"_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")), "_dey": F.contains(F.coalesce("story", F.lit("")), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")), "_s": c("_sy.year"), "_c": c("_sy.conf")})
     d = d.withColumns({"_es": event_of(c("_s"), years), "_ed": event_of(c("_dj"), years)})
     special = lambda y, e: F.when((y == 1400) & c("_dey"), F.lit("khizesh_1401")).otherwise(e)
     told = c("_c").isin("high", "medium") & c("_es").isNotNull()

@@ -43,9 +43,10 @@ def completeness() -> Column:
 def block_pairs(keyed: DataFrame, cap: int, key: str = "key", id_: str = "id") -> DataFrame:
     """Distinct pairs a < b of ids that share a key; keys with more than ``cap`` ids are skipped.
 
-    The skip is part of the result's meaning, and bounds each key's pairs.
+    The skip is part of the result's meaning, and bounds each key's pairs. The keys are
+    staged, as counting them and both sides of the join need them.
     """
-    k = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(id_).alias("i")).distinct()
+    k = stage(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(id_).alias("i")).distinct())
     small = k.groupBy("k").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= cap)).select("k")
     k = k.join(small, "k")
     return k.alias("x").join(k.alias("y"), "k").where("x.i < y.i").select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
@@ -86,7 +87,6 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
 
     Similarities run only on pairs whose cheap conditions leave them open, in passes of their own.
     """
-    empty = F.lit(None).cast("string")
     p = people.withColumns({
         "nm": tx.norm_name(F.col("name")), "tok": tx.name_tokens(F.col("name")), "ct": tx.norm_text(F.col("city")),
         "md": cal.month_day(F.col("date_jalali")), "st": tx.norm_text(F.col("story")),
@@ -98,7 +98,7 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
     if prints is not None:
         p = p.join(prints.select("id", "sha1", "phash", "dhash", "face_phash"), "id", "left").select(*cols, "sha1", "phash", "dhash", "face_phash")
     else:
-        p = p.select(*cols, *[empty.alias(n) for n in ("sha1", "phash", "dhash", "face_phash")])
+        p = p.select(*cols)
     j = pairs.join(p.alias("x"), F.col("a") == F.col("x.id")).join(p.alias("y"), F.col("b") == F.col("y.id"))
     x, y = (lambda n: F.col(f"x.{n}")), (lambda n: F.col(f"y.{n}"))
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -110,7 +110,7 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
     long_story = (F.char_length(x("st")) > STORY_LEAST) & (F.char_length(y("st")) > STORY_LEAST)
     equal, subset = (x("nm") != "") & (x("nm") == y("nm")), yes(tx.is_subset(F.split(x("nm"), " "), F.split(y("nm"), " ")))
     city_token = F.arrays_overlap(F.filter(F.split(x("ct"), " "), lambda w: F.length(w) > 2), F.filter(F.split(y("ct"), " "), lambda w: F.length(w) > 2))
-    flags = {"image": visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token), "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset, "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story}
+    flags = {"image": F.lit(False) if prints is None else visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token), "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset, "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story}
     j = stage(j.select("a", "b", *[yes(v).alias(k) for k, v in flags.items()], x("nm").alias("nx"), y("nm").alias("ny"), x("st").alias("sx"), y("st").alias("sy")))
     c = F.col
     sure = (c("equal") & (c("city") | c("ctok") | c("by") | c("image") | c("md_eq") | c("age_eq"))) | (c("subset") & (c("city") | c("ctok") | c("image") | c("by") | c("rare_date") | c("age_eq")))

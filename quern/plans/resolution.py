@@ -10,7 +10,7 @@ from quern.functions.text import hamming_hex
 from quern.operators import resolve as r
 from quern.operators.components import components
 from quern.operators.stats import rarity
-from quern.session import table
+from quern.session import dealt, table
 from quern.sources.stage import stage
 
 c = F.col
@@ -78,10 +78,10 @@ def fuzzy_ratio(spark, d):
     return p.select("a", "b", F.round(ratio(c("la"), c("lb")), 6).alias("ratio"))
 
 
-def people(spark: SparkSession, d: str) -> DataFrame:
+def people(spark: SparkSession, d: str, deal: bool = False) -> DataFrame:
     """Orders as records: names repeat by customer, cities by nation of it."""
     o, cu = table(spark, d, "orders"), table(spark, d, "customer")
-    t = o.join(cu, c("o_custkey") == c("c_custkey"))
+    t = (dealt(o) if deal else o).join(cu, c("o_custkey") == c("c_custkey"))
     s = lambda x: F.lit(x).cast("string")
     return t.select(
         F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("id"), F.concat(F.lit("person "), c("c_name")).alias("name"), s(None).alias("name_en"), c("o_orderpriority").alias("event"), s(None).alias("gender"),
@@ -92,7 +92,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_pairs_scored(spark, d):
-    p = people(spark, d)
+    p = people(spark, d, deal=True)
     return r.score(p, stage(r.candidates(p)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quern", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,13 @@ def session(app: str = "quern", master: str | None = None, partitions: int | Non
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, for work that costs far more than moving them.
+
+    Only a table of few row groups has fewer tasks than there are cores and is dealt anew;
+    one of many, as any large one, is read where it lies, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

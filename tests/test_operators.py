@@ -58,6 +58,10 @@ def test_dates(spark):
     assert cal.read_story_year("در دی‌ماه ۱۳۹۶ جان باخت") == (1396, "high")
     assert cal.read_story_year("متولد ۱۳۷۰") == (None, None) and cal.read_story_year("سال ۱۳۹۸ کشته شد") == (1398, "medium")
     assert cal.read_story_year_v1("در 5 آبان 1398") == 1398 and cal.read_story_year_v1("متولد 5 آبان 1370") is None
+    j = lambda s: q(F.to_json(cal.to_jalali(F.lit(s).cast("date"))))
+    assert j("1831-03-21") == '{"y":1210,"m":1,"d":1}' and j("2256-03-19") == '{"y":1634,"m":12,"d":29}' and j("1831-03-20") == j("2256-03-20") == "{}"
+    assert q(cal.from_jalali(F.lit(1635), F.lit(1), F.lit(1))) is None and q(cal.from_jalali(F.lit(1209), F.lit(1), F.lit(1))) is None
+    assert q(tx.squeeze(F.lit(" a\t b\n\nc\u00a0d "))) == "a b c d"
     days = spark.range(0, 150_000, 7).select(F.date_add(F.lit("1840-01-01").cast("date"), F.col("id").cast("int")).alias("d")).withColumn("j", cal.to_jalali(F.col("d")))
     assert days.where(~cal.from_jalali(F.col("j.y"), F.col("j.m"), F.col("j.d")).eqNullSafe(F.col("d"))).count() == 0
 
