@@ -23,7 +23,7 @@ def event_of(year: Column, years: dict[int, str]) -> Column:
 def _audit(d: DataFrame, target: Column, reason: Column, conf: Column) -> tuple[DataFrame, DataFrame]:
     keep = [c for c in d.columns if not c.startswith("_")]
     d = d.withColumns({"_to": target, "_why": reason, "_conf": conf})
-    moved = d.where(F.col("_to").isNotNull() & (F.col("_to") != F.coalesce("event", F.lit(""))))
+    moved = d.where(F.col("_to") != F.coalesce("event", F.lit("")))
     audit = moved.select("id", "name", F.col("event").alias("from"), F.col("_to").alias("to"), F.col("_why").alias("reason"), F.col("_conf").alias("confidence"), "date_jalali", F.substring("story", 1, 140).alias("story_excerpt"))
     return d.withColumn("event", F.coalesce("_to", "event")).select(*keep), audit
 
@@ -59,25 +59,24 @@ def reassign(people: DataFrame, years: dict[int, str] | None = None) -> tuple[Da
     c = F.col
     d = people.withColumn("_sy", cal.story_year(F.coalesce("story", F.lit(""))))
     # each a column of its own, so that it is computed once however often the rules name it
-    d = d.withColumns({"_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")), "_dey": F.contains(F.coalesce("story", F.lit("")), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")), "_s": c("_sy.year"), "_c": c("_sy.conf")})
+    d = d.withColumns({"_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")), "_dey": F.contains(F.coalesce("story", F.lit("")), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")), "_fixed": ~F.coalesce(c("event").isin(list(years.values())), F.lit(False)), "_s": c("_sy.year"), "_c": c("_sy.conf")})
     d = d.withColumns({"_es": event_of(c("_s"), years), "_ed": event_of(c("_dj"), years)})
     special = lambda y, e: F.when((y == 1400) & c("_dey"), F.lit("khizesh_1401")).otherwise(e)
-    told = c("_c").isin("high", "medium") & c("_es").isNotNull()
-    step = lambda when, to, why, how: F.when(when & to.isNotNull(), F.struct(to.alias("to"), why.alias("why"), how.alias("conf")))
+    told, bare = c("_c").isin("high", "medium"), c("_ed").isNotNull() & ~c("_month")
     year = lambda tag, y: F.concat(F.lit(tag), y.cast("string"))
-    fixed = lambda to, why, how: F.struct(to.alias("to"), F.lit(why).alias("why"), F.lit(how).alias("conf"))
-    bare = c("_ed").isNotNull() & ~c("_month")
-    chosen = F.coalesce(
-        F.when(c("_junk"), fixed(F.lit("needs_review"), "junk_or_invalid", "high")),
-        F.when(~F.coalesce(c("event").isin(list(years.values())), F.lit(False)), fixed(c("event"), "protected_event", "n/a")),
-        step(c("_c") == "high", special(c("_s"), c("_es")), year("story_year=", c("_s")), F.lit("high")),
-        step(c("_month") & c("_dj").isNotNull(), special(c("_dj"), c("_ed")), year("date_year=", c("_dj")), F.lit("medium")),
-        step(bare & told & (c("_s") != c("_dj")), c("_es"), year("story_year_over_date=", c("_s")), c("_c")),
-        step(bare, c("_ed"), year("date_year_only=", c("_dj")), F.lit("medium")),
-        step(c("_dj").isNull() & told, c("_es"), year("story_year_no_date=", c("_s")), c("_c")),
+    steps = (
+        (c("_c") == "high", special(c("_s"), c("_es")), year("story_year=", c("_s")), F.lit("high")),
+        (c("_month"), special(c("_dj"), c("_ed")), year("date_year=", c("_dj")), F.lit("medium")),
+        (bare & told & (c("_s") != c("_dj")), c("_es"), year("story_year_over_date=", c("_s")), c("_c")),
+        (~c("_month"), c("_ed"), year("date_year_only=", c("_dj")), F.lit("medium")),
+        (c("_dj").isNull() & told, c("_es"), year("story_year_no_date=", c("_s")), c("_c")),
     )
-    d = d.withColumn("_y", chosen)
-    return _audit(d, c("_y.to"), c("_y.why"), c("_y.conf"))
+    # the target, by which rows are kept, stands alone: the optimizer writes it out wherever it is named
+    target = F.when(c("_junk"), "needs_review").when(c("_fixed"), c("event")).otherwise(F.coalesce(*[F.when(when, to) for when, to, _, _ in steps]))
+    fixed = lambda why, how: F.struct(F.lit(why).alias("why"), F.lit(how).alias("conf"))
+    taken = F.coalesce(*[F.when(when & to.isNotNull(), F.struct(why.alias("why"), how.alias("conf"))) for when, to, why, how in steps])
+    d = d.withColumn("_y", F.when(c("_junk"), fixed("junk_or_invalid", "high")).when(c("_fixed"), fixed("protected_event", "n/a")).otherwise(taken))
+    return _audit(d, target, c("_y.why"), c("_y.conf"))
 
 
 def revert(current: DataFrame, backup: DataFrame, event: str = "khizesh_1404", year: int = 1400) -> tuple[DataFrame, DataFrame]:
