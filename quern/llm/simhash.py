@@ -276,10 +276,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The documents, one of each class: the smallest doc_id stays.
+    """The documents, one of each class: the smallest doc_id stays, a null one only where the class has no other.
 
-    Rows that repeat that doc_id within the class count as copies too: one of them stays.
+    Rows of a class that share that doc_id are told apart by a digest of their texts, the
+    smallest stays; rows alike in doc_id and text are one. A doc_id may stay in several classes.
     """
-    kept = near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__keep")
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = stage(fingerprints(docs.withColumn("__digest", digest), words, "__digest"))
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__digest")).alias("w"))
+    cls = classes(rows.select("fp").distinct(), bits)
+    # equal digests have one fingerprint and so one class: (doc_id, digest) names its class's row
+    kept = cls.join(least, "fp").groupBy("class").agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("__keep"), F.col("w.__digest").alias("__of"))
+    d = docs.withColumn("__digest", digest)
+    on = d.doc_id.eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__of"))
+    return d.join(kept, on, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)

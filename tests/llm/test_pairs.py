@@ -12,7 +12,7 @@ import xxhash
 
 from quern.llm import exact, simhash
 
-from .support import SCHEMA, find, frame, rows
+from .support import SCHEMA, find, frame, prose, rows
 
 
 def plain_fingerprint(text):
@@ -104,6 +104,15 @@ def test_keep_one_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """Null ids do not make different texts one, nor does an id that two texts share."""
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    data = [(None, a), (None, b), (None, b), (None, c), (3, c), (5, d), (5, e), (4, d), (5, e), (6, None), (6, "")]
+    kept = simhash.keep_one(frame(spark, [(i, t, "en", "s", 1) for i, t in data]))
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (3, c), (4, d), (5, e), (6, "")], key=str)
+
+
 def norm(t):
     return "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
 
