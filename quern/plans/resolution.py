@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.similarity import ratio
+from quern.functions.similarity import Against
 from quern.functions.text import hamming_hex
 from quern.operators import resolve as r
 from quern.operators.components import components
@@ -70,12 +70,44 @@ def chain_split(spark, d):
     return r.split(edges(spark, d), c("reason") == "STORY")
 
 
+#: Documents of a block that meet those of another part of it in one task.
+TILE = 100
+
+
 def fuzzy_ratio(spark, d):
-    """difflib's ratio of pairs of small blocks, the smaller id first, over texts' first lines."""
-    p = r.block_pairs(keyed(spark, d), 6)
-    t = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    p = p.join(t.withColumnsRenamed({"doc_id": "a", "line": "la"}), "a").join(t.withColumnsRenamed({"doc_id": "b", "line": "lb"}), "b")
-    return p.select("a", "b", F.round(ratio(c("la"), c("lb")), 6).alias("ratio"))
+    """difflib's ratio of whole texts of all pairs of a block, the smaller id first; equal pairs of texts are scored once a tile.
+
+    A block is dealt into parts, and each two parts meet in a tile of their own, so a block of
+    the cap is many tasks.
+    """
+    k = keyed(spark, d).where("id is not null and key is not null").distinct()
+    n = k.groupBy("key").agg(F.count("*").alias("n")).where((c("n") > 1) & (c("n") <= r.NAME_CAP))
+    k = k.join(n, "key").withColumn("parts", F.ceil(c("n") / TILE).cast("int"))
+    k = k.withColumn("part", F.pmod(F.xxhash64("id"), c("parts")).cast("int"))
+    k = k.join(table(spark, d, "documents").select(c("doc_id").alias("id"), "text"), "id")
+    k = k.withColumn("other", F.explode(F.sequence(F.lit(0), c("parts") - 1)))
+    k = k.select("key", "id", "text", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = sorted(zip(pdf["id"].tolist(), pdf["part"].tolist(), pdf["text"].tolist()), key=lambda x: x[0])
+        one, out = pdf["lo"].iloc[0] == pdf["hi"].iloc[0], []
+        known: dict[str | None, dict[str | None, float]] = {}
+        for at, (b, part, y) in enumerate(rows):
+            against = None
+            mine = known.setdefault(y, {})
+            for a, p, x in rows[:at]:
+                if a == b or (p == part and not one):
+                    continue
+                if x not in mine:
+                    against = against or Against(y)
+                    mine[x] = round(against.ratio(x), 6)
+                out.append((a, b, mine[x]))
+        return pd.DataFrame(out, columns=["a", "b", "ratio"])
+
+    kind = k.schema["id"].dataType.simpleString()
+    return k.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}, ratio double")
 
 
 def people(spark: SparkSession, d: str, deal: bool = False) -> DataFrame:

@@ -106,6 +106,22 @@ def test_block_cap_is_strict(spark):
     assert resolve.block_pairs(keyed, 4).collect() == [(10, 11)] and resolve.block_pairs(keyed, 5).count() == 11
 
 
+def test_fuzzy_ratio_scores_whole_texts_of_whole_blocks(spark, tmp_path):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from quern.plans import resolution
+
+    rng = Random(4)
+    text = lambda i: "one two " + str(i % 3) + "\n" + "".join(rng.choices("abcdefgh ijXYZ0\n", k=rng.choice((5, 150, 400))))
+    docs = [(i, text(i), "en") for i in range(250)] + [(300, "alone here", "en"), (301, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = resolution.fuzzy_ratio(spark, str(tmp_path)).collect()
+    assert len({(x.a, x.b) for x in got}) == len(got) == 250 * 249 // 2
+    for x in rng.sample(got, 300):
+        assert x.a < x.b and x.ratio == round(SequenceMatcher(None, docs[x.a][1], docs[x.b][1]).ratio(), 6)
+
+
 def test_classification(spark):
     p = people(
         spark,
