@@ -6,8 +6,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; texts may be long, so a batch stays small.
-BATCH_ROWS = 500
+from quern.sources.stage import stage
+
+#: Rows and bytes of one Arrow batch at most; texts may be long, so a batch stays small.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts within a worker's memory; a smaller setting of the user's stays."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("b")  # a size with a larger unit, or no bound, is above ours
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def as_bytes(column) -> list[bytes | None]:
@@ -26,3 +31,36 @@ def as_bytes(column) -> list[bytes | None]:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``docs``."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns that name each row, and their names.
+
+    A scan of files has its rows' file and place in it, which a second reading finds
+    again; anything else is staged with numbers of its own. So a decision on rows comes
+    back to their texts by a unique key, whatever ids are null or repeated.
+    """
+    a, b = fresh(docs, "__file"), fresh(docs, "__row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(a), F.col("_metadata.row_index").alias(b)), a, b
+    return stage(docs.withColumns({a: F.lit(0).cast("long"), b: F.monotonically_increasing_id()})), a, b
+
+
+def without(docs: DataFrame, numbers: tuple[str, str], dropped: DataFrame) -> DataFrame:
+    """Numbered ``docs`` without the rows of ``dropped`` (their two columns), which are staged.
+
+    The optimizer sees the size of what is dropped: while it is small the texts stay where
+    they are, and beyond its limit both sides are dealt by a unique key.
+    """
+    a, b = numbers
+    x, y = fresh(docs, "__a"), fresh(docs, "__b")
+    out = stage(dropped.select(F.col(a).alias(x), F.col(b).alias(y)))
+    return docs.join(out, (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_anti").drop(a, b)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_or_empty
+from quern.llm.common import numbered, text_or_empty, without
 from quern.sources.stage import stage
 
 #: Distinct digests of a bucket of the index, about 4 MB.
@@ -28,10 +28,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest of 32 bytes, n code points, rid), staged; rid tells repeated rows apart."""
+def digests(docs: DataFrame, *carry: str) -> DataFrame:
+    """(carried columns, doc_id, digest of 32 bytes, n code points, rid), staged; rid tells repeated rows apart."""
     t = text_or_empty()
-    rows = docs.select("doc_id", F.unhex(F.sha2(normalised(t), 256)).alias("digest"), F.char_length(t).cast("long").alias("n"))
+    rows = docs.select(*carry, "doc_id", F.unhex(F.sha2(normalised(t), 256)).alias("digest"), F.char_length(t).cast("long").alias("n"))
     return stage(rows.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -156,31 +156,34 @@ def merge(index: DataFrame, fresh: DataFrame, buckets: int) -> DataFrame:
     return index.groupBy("bucket").cogroup(right).applyInPandas(lookup, "digest binary, doc long, z boolean, rid long, cnt long, known boolean")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, known, n, rid: one row per input row.
+def middle(rows: DataFrame) -> float | None:
+    """The middle of the range of doc_ids, as a double; None without any."""
+    low, high = rows.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    return None if low is None else (low + high) / 2
+
+
+def exact_duplicates(docs: DataFrame, *carry: str) -> DataFrame:
+    """Carried columns, doc_id, keep_id, group_size, kept, text_sha256, known: one row per input row.
 
     Texts are equal when they are after deleting white space; null counts as empty. The
     row with most code points, then the smallest doc_id (null last) stays; of rows that
-    agree in both, one. The historical side is the older half of the documents by doc_id
-    (all rows with a null doc_id are new); ``known`` tells whether the digest was in the
+    agree in both, one. The historical side are the doc_ids below the middle of their
+    range (a null doc_id is new); ``known`` tells whether the digest was in the
     index. An empty table gives no rows; other columns are ignored. Equal digests are
     aggregated before any shuffle, so a hot text is one row by then.
     """
-    rows = digests(docs)
-    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
-    old = F.coalesce(F.col("doc_id") < F.lit(middle), F.lit(False)) if middle is not None else F.lit(False)
+    rows = digests(docs, *carry)
+    half = middle(rows)
+    old = F.coalesce(F.col("doc_id").cast("double") < F.lit(half), F.lit(False)) if half is not None else F.lit(False)
     history = stage(winners(rows.where(old)))
     buckets = max(1, math.ceil(history.count() / BUCKET))
     index = build_index(history, buckets)
     out = merge(index, winners(rows.where(~old)), buckets).withColumnRenamed("rid", "keep_rid")
     got = rows.join(out, "digest")
-    return got.select("doc_id", F.when(~F.col("z"), F.col("doc")).alias("keep_id"), F.col("cnt").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known", "n", "rid")
+    return got.select(*carry, "doc_id", F.when(~F.col("z"), F.col("doc")).alias("keep_id"), F.col("cnt").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without repeated texts; rows alike in doc_id and text are one."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), F.col("n").alias("__n")).distinct()
-    t = text_or_empty()
-    d = docs.withColumns({"__d": F.unhex(F.sha2(normalised(t), 256)), "__m": F.char_length(t).cast("long")})
-    on = d.doc_id.eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")) & (F.col("__m") == F.col("__n"))
-    return d.join(kept, on, "left_semi").dropDuplicates(["doc_id", "__d", "__m"]).select(*docs.columns)
+    """The documents without repeated texts, one row of each text."""
+    rows, *numbers = numbered(docs)
+    return without(rows, numbers, exact_duplicates(rows, *numbers).where(~F.col("kept")))

@@ -52,7 +52,7 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(documents(spark, sf_dir)).drop("n", "rid")
+    return exact_duplicates(documents(spark, sf_dir))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: op9: ``known`` is the digest's presence in the older half, whose cut SQL takes as the same percentile.
+#: op9: ``known`` is the digest's presence below the middle of the range of doc_ids.
 EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
@@ -75,7 +75,7 @@ w AS (
     count(*) OVER (PARTITION BY text_sha256) AS group_size,
     min(doc_id) OVER (PARTITION BY text_sha256) AS lowest FROM d)
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256,
-  lowest < (SELECT quantile_disc(doc_id, 0.5) FROM documents) AS known FROM w
+  coalesce(lowest::DOUBLE < (SELECT (min(doc_id)::DOUBLE + max(doc_id)::DOUBLE) / 2 FROM documents), false) AS known FROM w
 """
 
 
