@@ -7,7 +7,7 @@ from collections import Counter
 from quern.llm import toxicity
 
 from .test_mix_shard_pack import brute_targets
-from .test_pairs import brute_classes, norm, plain_fingerprint
+from .test_pairs import brute_copies, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,10 +31,9 @@ def test_stages_match_brute_force(spark):
     for r in rows[1]:
         groups.setdefault(norm(r.text), []).append((-len(r.text), r.doc_id))
     assert {r.doc_id for r in rows[2]} == {min(g)[1] for g in groups.values()}
-    cls = brute_classes([plain_fingerprint(r.text) for r in rows[2]])
+    cls = brute_copies([r.text for r in rows[2]])
     low = {}
-    for r in rows[2]:
-        k = cls[plain_fingerprint(r.text)]
+    for r, k in zip(rows[2], cls):
         low[k] = min(low.get(k, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in rows[3]) == sorted(low.values())
     sizes, taken = Counter(), Counter()
