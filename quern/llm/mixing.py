@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import fresh, numbered
 from quern.sources.stage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A source's weights by its place, the most times a source may be taken, and the
-#: documents of one source and size that one task ranks.
+#: A source's weights by its place, the most times a source may be taken, and the rows alike
+#: in source and size (or in doc_id too) that one task ranks; it changes no result.
 WEIGHTS, MOST, TIES, SEED = (1, 2, 3), 3, 10_000, 7
+#: Sources that are broadcast at most; more are joined by merging.
+SOURCES = 10_000
 
 
 def unit(*cols: Column) -> Column:
@@ -42,57 +45,88 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "sid", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("per_copy"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per input row.
+def order_of(doc_id: Column, seed: int) -> Column:
+    """Where a doc_id stands among those of its source and size: a fixed hash as a number in [0, 1)."""
+    return unit(F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("n")))
 
-    size counts words (null text: 0). Every document of a source expects target /
-    source_size copies. Within a source documents line up by size, then doc_id; the
-    running sum of expected copies starts at one random offset, and a document is emitted
-    once per integer it crosses. Neighbours in that line are alike in size, so the words
-    taken are within about one long document of the target.
 
-    The line's places come from counts per (source, size), and only rows tied in both are
-    ranked by a window, over many cells if they are many; no task sees a whole source.
+def ranked(rows: DataFrame, keys: list[str], at: Column, order: list[str], count: str, limit: int) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``count`` over the rows of the same keys up to each, in order of ``at`` and ``order``.
+
+    Groups of more than ``limit`` rows are cut into cells of equal width in ``at``, which
+    is in [0, 1); cells are ranked side by side and only their sums in turn, so no task
+    holds a large group. How many cells there are changes no place.
+    """
+    same = lambda n: [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(n)]
+    as_key = lambda d, n, *more: d.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(n)], *more)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_cells", F.ceil(F.col("_rows") / limit))
+    # by merging: both grow with the input, and a hot key is split by adaptive execution
+    d = rows.withColumn("_at", at).join(as_key(groups, keys, "_cells").hint("merge"), same(keys)).withColumn("_cell", F.floor(F.col("_at") * F.col("_cells")))
+    d = d.select(*rows.columns, "_at", "_cell")
+    cells = d.groupBy(*keys, "_cell").agg(F.sum(count).alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("_before", F.sum("_n").over(line) - F.col("_n"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_upto", F.sum(count).over(inside))
+    d = d.join(as_key(cells, [*keys, "_cell"], "_before").hint("merge"), same([*keys, "_cell"]))
+    return d.select(*rows.columns, (F.col("_before") + F.col("_upto")).alias("upto"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Carried columns, doc_id, source, size, source_size, target, copies, taken: one row per input row.
+
+    size counts words (null text: 0). Every document of a source expects target /
+    source_size copies. Within a source documents line up by size, then a fixed hash of
+    doc_id, then doc_id; the running sum of expected copies starts at one random offset,
+    and a document is emitted once per integer it crosses. Neighbours in that line are
+    alike in size, so the words taken are within about one long document of the target.
+
+    The line's places come from counts per (source, size); rows tied in both are ranked by
+    the hash, and rows alike in doc_id too, which nothing tells apart, by their numbers
+    here. All three in cells, so no task sees a whole source or a whole group of ties.
     Null sources are a source of their own; repeated rows count each; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = stage(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")))
-    by_size = rows.groupBy("source", "size").agg(F.count("*").alias("cnt"))
-    by_size = stage(by_size)
+    rows = docs.select(*carry, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()))
+    tied = ["source", "size"]
+    alike = stage(rows.groupBy(*tied, "doc_id").agg(F.count("*").alias("cnt")))
+    by_size = stage(alike.groupBy(*tied).agg(F.sum("cnt").alias("cnt")))
     t = stage(targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("cnt")).alias("source_size")), weights, most))
     t = t.withColumn("offset", unit(F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    cells = by_size.withColumn("cells", F.ceil(F.col("cnt") / TIES)).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "cells")
-    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    cell = F.when(F.col("cells") == 1, F.lit(0)).otherwise(F.floor(unit(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("n"))) * F.col("cells")))
-    rows = rows.join(cells, on).select("doc_id", "source", "size", cell.cast("long").alias("cell"))
-    counts = rows.groupBy("source", "size", "cell").agg(F.count("*").alias("cnt"))
-    line = Window.partitionBy("source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.withColumn("before", F.sum("cnt").over(line) - F.col("cnt")).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("cell").alias("_c"), "before")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("doc_id"))
-    rows = rows.withColumn("rank", rank).join(before, on & (F.col("cell") == F.col("_c"))).select("doc_id", "source", "size", (F.col("before") + F.col("rank")).alias("place"))
+    # one row a source and size in each window, cells or not
+    sizes = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = by_size.withColumn("start", F.sum("cnt").over(sizes) - F.col("cnt")).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "start")
+    ids = ranked(alike, tied, order_of(F.col("doc_id"), seed), ["doc_id"], "cnt", TIES)
+    ids = ids.join(start.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    ids = stage(ids.select(*tied, "doc_id", "cnt", (F.col("start") + F.col("upto") - F.col("cnt")).alias("before")))
+    key = lambda d, *more: d.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("doc_id").alias("_d"), *more)
+    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    both = rows.join(key(ids, "cnt", "before").hint("merge"), on).select(*rows.columns, "cnt", "before")
+    once = both.where("cnt = 1").select(*rows.columns, (F.col("before") + 1).alias("place"))
+    again = both.where("cnt > 1").withColumn("one", F.lit(1).cast("long"))
+    again = ranked(again, [*tied, "doc_id"], unit(F.col("rid").cast("string")), ["rid"], "one", TIES)
+    rows = once.unionByName(again.select(*rows.columns, (F.col("before") + F.col("upto")).alias("place")))
     t = t.select(F.col("source").alias("_s"), "source_size", "target", "per_copy", "offset")
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.join(t.hint("broadcast" if t.count() <= SOURCES else "merge"), F.col("source").eqNullSafe(F.col("_s")))
     crossed = lambda k: F.floor(k * F.col("per_copy") + F.col("offset"))
     copies = F.least(crossed(F.col("place")) - crossed(F.col("place") - 1), F.lit(most)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as in ``docs``.
 
-    Rows alike in doc_id, source and size are paired with their copies by rank.
+    Rows meet their copies by their numbers, so texts are dealt once and by a unique key.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    key = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__none": F.col("doc_id").isNull()}
-    same = Window.partitionBy("__id", "__none", "__size")
-    left = docs.withColumns({**key, "__size": size}).withColumn("__rank", F.row_number().over(same.orderBy("source", F.xxhash64("text"))))
-    right = mix(docs, weights, most, seed).select(*(c.alias(k) for k, c in key.items()), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    right = right.withColumn("__rank", F.row_number().over(same.orderBy("__source", "__copies"))).where(F.col("__copies") > 0)
-    both = left.join(right, ["__id", "__none", "__size", "__rank"])
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows, a, b = numbered(docs)
+    x, y, k, each = (fresh(rows, n) for n in ("__a", "__b", "__k", "__copy"))
+    copies = mix(rows, weights, most, seed, (a, b)).where("copies > 0").select(F.col(a).alias(x), F.col(b).alias(y), F.col("copies").alias(k))
+    both = rows.join(copies, (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)))
+    return both.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(k).cast("int")))).select(*docs.columns)
 
 
-#: DuckDB SQL of op3; the ties' cells are left out, as one cell holds up to TIES rows.
+#: DuckDB SQL of op3.
 MIX_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -110,7 +144,7 @@ p AS (
     ('0x' || substr(md5('{SEED}|' || coalesce('s' || source, 'n')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS "offset" FROM t),
 r AS (
   SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.per_copy, p."offset",
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS place
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('{SEED}|' || coalesce(d.doc_id::VARCHAR, 'n'))[:8], d.doc_id) AS place
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 c AS (
   SELECT *, least((floor(place * per_copy + "offset") - floor((place - 1) * per_copy + "offset"))::BIGINT, {MOST}) AS copies FROM r)

@@ -58,6 +58,27 @@ def test_mix_follows_targets(spark, skew, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mix_is_the_same_in_cells(spark, duck, monkeypatch, tmp_path):
+    """Whole groups in one window, three rows a cell, and SQL: the same copies of the same ids."""
+    from quern.llm.queries import oracle_sql
+
+    data = rows(200) + [(1000 + i, "hot text here", "en", "src1", 1) for i in range(300)] + [(None, "hot text here", "en", "src1", 1)] * 50 + [(7, "hot text here", "en", None, 1)] * 30
+    docs = frame(spark, data)
+    keys = []
+    for ties in (10**9, 10_000, 3):
+        monkeypatch.setattr(mixing, "TIES", ties)
+        keys.append(sorted(str((r.doc_id, r.source, r.size, r.copies)) for r in mixing.mix(docs.repartition(3)).collect()))
+    assert keys[0] == keys[1] == keys[2]
+    import duckdb
+
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    q = con.sql(oracle_sql()["op3_mixing"])
+    at = [q.columns.index(c) for c in ("doc_id", "source", "size", "copies")]
+    assert sorted(str(tuple(r[i] for i in at)) for r in q.fetchall()) == keys[0]
+
+
 def test_mix_of_empty_table_and_of_empty_texts(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, "", None, "a", 0)], SCHEMA)).collect()
@@ -71,7 +92,12 @@ def test_emit_repeats_rows(spark):
         want[r.doc_id] += r.copies
     out = mixing.emit(frame(spark, data))
     assert out.columns == frame(spark, data).columns
-    assert Counter(r.doc_id for r in out.collect()) == +want
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == +want
+    text = {}
+    for i, t, *_ in data:
+        text.setdefault(i, set()).add(t)
+    assert all(r.text in text[r.doc_id] for r in got)
 
 
 def test_mix_matches_sql(spark, duck):
