@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.sources.stage import stage
@@ -24,6 +26,20 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def tidied(run):
+    """``run`` over Arrow batches, and at its end the memory it freed is given back, as a worker lives on for other tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def as_bytes(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, None for null."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -64,3 +80,25 @@ def without(docs: DataFrame, numbers: tuple[str, str], dropped: DataFrame) -> Da
     x, y = fresh(docs, "__a"), fresh(docs, "__b")
     out = stage(dropped.select(F.col(a).alias(x), F.col(b).alias(y)))
     return docs.join(out, (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_anti").drop(a, b)
+
+
+def ranked(rows: DataFrame, keys: list[str], at: Column, order: list[str], count: str, limit: int) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``count`` over the rows of the same keys up to each, in order of ``at`` and ``order``.
+
+    Groups of more than ``limit`` rows are cut into cells of equal width in ``at``, which
+    is in [0, 1); cells are ranked side by side and only their sums in turn, so no task
+    holds a large group. How many cells there are changes no place.
+    """
+    same = lambda n: [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(n)]
+    as_key = lambda d, n, *more: d.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(n)], *more)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_cells", F.ceil(F.col("_rows") / limit))
+    # by merging: both grow with the input, and a hot key is split by adaptive execution
+    d = rows.withColumn("_at", at).join(as_key(groups, keys, "_cells").hint("merge"), same(keys)).withColumn("_cell", F.floor(F.col("_at") * F.col("_cells")))
+    d = d.select(*rows.columns, "_at", "_cell")
+    cells = d.groupBy(*keys, "_cell").agg(F.sum(count).alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("_before", F.sum("_n").over(line) - F.col("_n"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_upto", F.sum(count).over(inside))
+    d = d.join(as_key(cells, [*keys, "_cell"], "_before").hint("merge"), same([*keys, "_cell"]))
+    return d.select(*rows.columns, (F.col("_before") + F.col("_upto")).alias("upto"))

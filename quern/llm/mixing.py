@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, numbered
+from quern.llm.common import fresh, numbered, ranked
 from quern.sources.stage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's weights by its place, the most times a source may be taken, and the rows alike
 #: in source and size (or in doc_id too) that one task ranks; it changes no result.
-WEIGHTS, MOST, TIES, SEED = (1, 2, 3), 3, 10_000, 7
+WEIGHTS, MOST, TIES, SEED = (1, 2, 3), 3, 1_000, 7
 #: Sources that are broadcast at most; more are joined by merging.
 SOURCES = 10_000
 
@@ -50,28 +50,6 @@ def order_of(doc_id: Column, seed: int) -> Column:
     return unit(F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("n")))
 
 
-def ranked(rows: DataFrame, keys: list[str], at: Column, order: list[str], count: str, limit: int) -> DataFrame:
-    """``rows`` with ``upto``: the sum of ``count`` over the rows of the same keys up to each, in order of ``at`` and ``order``.
-
-    Groups of more than ``limit`` rows are cut into cells of equal width in ``at``, which
-    is in [0, 1); cells are ranked side by side and only their sums in turn, so no task
-    holds a large group. How many cells there are changes no place.
-    """
-    same = lambda n: [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(n)]
-    as_key = lambda d, n, *more: d.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(n)], *more)
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_cells", F.ceil(F.col("_rows") / limit))
-    # by merging: both grow with the input, and a hot key is split by adaptive execution
-    d = rows.withColumn("_at", at).join(as_key(groups, keys, "_cells").hint("merge"), same(keys)).withColumn("_cell", F.floor(F.col("_at") * F.col("_cells")))
-    d = d.select(*rows.columns, "_at", "_cell")
-    cells = d.groupBy(*keys, "_cell").agg(F.sum(count).alias("_n"))
-    line = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("_before", F.sum("_n").over(line) - F.col("_n"))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_upto", F.sum(count).over(inside))
-    d = d.join(as_key(cells, [*keys, "_cell"], "_before").hint("merge"), same([*keys, "_cell"]))
-    return d.select(*rows.columns, (F.col("_before") + F.col("_upto")).alias("upto"))
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Carried columns, doc_id, source, size, source_size, target, copies, taken: one row per input row.
 
