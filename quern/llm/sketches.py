@@ -2,7 +2,9 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash space. Sketches of
 parts merge by union, and the share of one sketch's hashes that another has estimates
-containment however unequal the two documents are.
+containment however unequal the two documents are. A short text of which too few hashes
+would stay is kept at a denser fraction, two or four times as many; a fingerprint says which, and
+two of different fractions are compared below the lower threshold, where both are whole.
 """
 
 from __future__ import annotations
@@ -10,28 +12,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, small_batches
+from quern.llm.common import as_bytes, numbered, small_batches, tidied
 
 WORDS = 5
-#: One hash in FRACTION is kept; hashes are written with DIGITS hex digits, their first.
-FRACTION, DIGITS = 4, 12
-#: Rows that one task reads in order, and cuts of the order at most.
-RUN, CUTS = 4_000, 1_000
+#: One hash in FRACTION is kept, or in half or a quarter of it where fewer than LEAST are; hashes are
+#: written with DIGITS hex digits, their first, after the fraction's digit.
+FRACTION, LEAST, DIGITS = 4, 16, 12
+#: Rows that one task reads in order; cuts of the order, which the driver holds, at most; ids looked at for each.
+#: At the most, a task reads a hundred-thousandth of all rows, in a stream.
+RUN, CUTS, LOOKED_AT = 4_000, 100_000, 16
 WORDS_KEPT = 400_000
 
 
+class Sketch(tuple):
+    """(fraction, sorted distinct hashes of DIGITS hex digits below 1 / fraction of their space)."""
+
+    __slots__ = ()
+
+    def at(self, fraction: int) -> np.ndarray:
+        """The hashes of a sparser fraction."""
+        return self[1] if fraction == self[0] else self[1][self[1] < np.uint64((1 << 4 * DIGITS) // fraction)]
+
+
 class Sketcher:
-    """Sketch of a UTF-8 text: sorted distinct kept hashes, cut to DIGITS hex digits."""
+    """Sketch of a UTF-8 text; one without words has no hash, any other some."""
 
     def __init__(self, words: int = WORDS, fraction: int = FRACTION):
         import xxhash
 
-        self.digest, self.words = xxhash.xxh3_64_intdigest, words
-        self.limit = np.uint64((1 << 64) // fraction)
+        self.digest, self.words, self.fraction = xxhash.xxh3_64_intdigest, words, fraction
         self.known: dict[bytes, int] = {}
         self.mult = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(words)], np.uint64)
 
@@ -60,37 +74,48 @@ class Sketcher:
         s = (s ^ (s >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return s ^ (s >> np.uint64(31))
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        h = self.hashes(text)
-        return np.unique(h[h < self.limit] >> np.uint64(64 - 4 * DIGITS))
+    def __call__(self, text: bytes) -> Sketch:
+        h, f = self.hashes(text) >> np.uint64(64 - 4 * DIGITS), self.fraction
+        while True:
+            kept = np.unique(h[h < np.uint64((1 << 4 * DIGITS) // f)])
+            if f == 1 or len(kept) >= LEAST:
+                return Sketch((f, kept))
+            f //= 2
 
 
-def as_text(sketch: np.ndarray) -> str:
-    """The hashes in order, DIGITS hex digits each."""
-    raw = sketch.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return raw[:, 8 - DIGITS // 2 :].tobytes().hex()
+def as_text(sketch: Sketch) -> str:
+    """The fraction, then the hashes in order, DIGITS hex digits each."""
+    raw = sketch[1].astype(">u8").view(np.uint8).reshape(-1, 8)
+    return f"{sketch[0]:x}" + raw[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
-def from_text(s: str) -> np.ndarray:
-    return np.array([int(s[i : i + DIGITS], 16) for i in range(0, len(s), DIGITS)], np.uint64)
+def from_text(s: str) -> Sketch:
+    return Sketch((int(s[0], 16), np.array([int(s[i : i + DIGITS], 16) for i in range(1, len(s), DIGITS)], np.uint64)))
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch of two documents together."""
-    return np.union1d(a, b)
+def merged(a: Sketch, b: Sketch) -> Sketch:
+    """Sketch of two documents together, at the sparser of their fractions."""
+    f = max(a[0], b[0])
+    return Sketch((f, np.union1d(a.at(f), b.at(f))))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; an empty sketch is contained."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: Sketch, b: Sketch) -> float:
+    """Estimated share of a's shingles that b has; an empty text is contained."""
+    f = max(a[0], b[0])
+    x, y = a.at(f), b.at(f)
+    if not len(x):  # of a short text nothing may be left at b's fraction: then no shingle is seen to be shared
+        return float(not len(a[1]))
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; two empty sketches are alike, one is not like another."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard similarity; two texts without words are alike, one is not like another."""
+    if not len(a[1]) or not len(b[1]):
+        return float(len(a[1]) == len(b[1]))
+    f = max(a[0], b[0])
+    x, y = a.at(f), b.at(f)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
 
 
 def sketch_documents(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION) -> DataFrame:
@@ -107,32 +132,53 @@ def sketch_documents(docs: DataFrame, words: int = WORDS, fraction: int = FRACTI
     return src.mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def part_finder(cuts: list[tuple[bool, int, int]]):
+    """A column function (none, k, h) to the number of sorted ``cuts`` at or before the row, those without id in parts of their own."""
+    ks, hs = (np.array([c[i] for c in cuts if not c[0]], np.int64) for i in (1, 2))
+    none = np.array([c[2] for c in cuts if c[0]], np.int64)
+
+    @F.pandas_udf("int")
+    def part(z: pd.Series, k: pd.Series, h: pd.Series) -> pd.Series:
+        z, k, h = z.to_numpy(bool), k.to_numpy(np.int64), h.to_numpy(np.int64)
+        lo, hi = np.searchsorted(ks, k, "left"), np.searchsorted(ks, k, "right")
+        out = lo.copy()
+        for v in np.unique(k[hi > lo]).tolist():  # ids that are cuts themselves
+            at = k == v
+            a, b = np.searchsorted(ks, v, "left"), np.searchsorted(ks, v, "right")
+            out[at] = a + np.searchsorted(hs[a:b], h[at], "right")
+        return pd.Series(np.where(z, len(ks) + 1 + np.searchsorted(none, h, "right"), out).astype(np.int32))
+
+    return part
+
+
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """Rows (part, guard, doc_id, text) in parts by descending doc_id, sorted within.
 
     The row after a part's last is the first row of the next, which comes along once more
-    as the part's ``guard`` (after the very last, the very first). Cuts are quantiles of
-    doc_id, so parts hold about RUN rows, or more once there are CUTS of them. Null doc_ids
-    come last; rows of one doc_id are ordered by a hash of the text and stay in one part.
+    as the part's ``guard`` (after the very last, the very first). Cuts are ids of a sample,
+    so parts hold about RUN rows, or more beyond CUTS of them, and each is a task of its own. Null doc_ids
+    come last; rows of one doc_id are ordered by a hash of text and place, and cut like others.
     """
-    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    src, a, b = numbered(docs.select("doc_id", "text"))
+    src = src.select("doc_id", "text", F.col("doc_id").isNull().alias("z"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("k"), F.xxhash64("text", a, b).alias("h"))
+    ids = src.select("z", "k", "h")
     n, = ids.agg(F.count("*")).first()
     parts = max(1, min(CUTS, n // RUN))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted({c for c in cuts or []}, reverse=True)
-    # part of a row: cuts above its doc_id; at most CUTS literals
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above)
-    top = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), (-F.col("doc_id")).alias("d"), "h")).alias("w"))
-    # a row per part: which part precedes it
-    order = [(r.part, None if r.w["d"] is None else -r.w["d"], r.w["h"]) for r in sorted(top.collect())]
-    firsts = [(order[i - 1][0], p, d, h) for i, (p, d, h) in enumerate(order)]
-    guards = F.broadcast(docs.sparkSession.createDataFrame(firsts, "before int, own int, d long, h long"))  # CUTS + 1 rows at most
-    src = docs.select("doc_id", "text").withColumns({"part": part, "h": F.xxhash64("text")})
-    src = src.join(guards, (src.part == F.col("own")) & src.doc_id.eqNullSafe(F.col("d")) & (src.h == guards.h), "left").select("doc_id", "text", "part", src.h, "before")
-    both = F.when(F.col("before").isNull(), F.array(F.struct("part", F.lit(False).alias("guard")))).otherwise(F.array(F.struct("part", F.lit(False).alias("guard")), F.struct(F.col("before").alias("part"), F.lit(True).alias("guard"))))
-    out = src.withColumn("p", F.explode(both)).select("p.part", "p.guard", "doc_id", "h", "text")
-    return out.repartition(len(order) or 1, "part").sortWithinPartitions("part", "guard", F.col("doc_id").desc_nulls_last(), "h").select("part", "guard", "doc_id", "text")
+    step = max(1, n // (parts * LOOKED_AT))
+    looked = sorted(tuple(r) for r in ids.where(F.pmod("h", F.lit(step)) == 0).collect()) if parts > 1 else []  # LOOKED_AT a part
+    cuts = [looked[i * len(looked) // parts] for i in range(1, parts)] if looked else []
+    part = part_finder(cuts)("z", "k", "h")
+    # the first row of each part: which part precedes it
+    top = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct("z", "k", "h")).alias("w"))
+    order = sorted((r.part, *r.w) for r in top.collect())  # a row a part
+    place = {x[0]: i for i, x in enumerate(order)}
+    firsts = [(place[order[i - 1][0]], x[0], i, x[2], x[3]) for i, x in enumerate(order)]
+    guards = F.broadcast(docs.sparkSession.createDataFrame(firsts, "before int, own int, place int, d long, g long"))  # a row a part
+    src = src.withColumn("own", part).join(guards, "own").withColumn("opens", (F.col("k") == F.col("d")) & (F.col("h") == F.col("g")))
+    each = F.array(F.struct(F.col("place").alias("part"), F.lit(False).alias("guard")))
+    also = F.array(F.struct(F.col("before").alias("part"), F.lit(True).alias("guard")))
+    out = src.withColumn("p", F.explode(F.when(F.col("opens"), F.concat(each, also)).otherwise(each))).select("p.part", "p.guard", "doc_id", "z", "k", "h", "text")
+    return out.repartitionById(len(order) or 1, F.col("part")).sortWithinPartitions("part", "guard", "z", "k", "h").select("part", "guard", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION) -> DataFrame:
@@ -165,4 +211,4 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: int = FRA
                 held = None if guard else (part, i, t, own)
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out) if out else [()] * 7, (b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
 
-    return with_neighbour(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_neighbour(docs).mapInArrow(tidied(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
