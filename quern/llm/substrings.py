@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, small_batches
+from quern.llm.common import as_bytes, fresh, small_batches, tidied
 from quern.sources.stage import stage
 
 #: High bits that a cut needs zero, least and most bytes of a chunk, and words a span needs.
 MASK_BITS, LEAST, MOST, WORDS = 4, 12, 61, 25
+#: Stands for a null doc_id, after all others.
+NO_ID = (1 << 63) - 1
 
 _S = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _S = (_S ^ (_S >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -55,75 +57,111 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST) -> list[in
     return [*out, len(data)]
 
 
+#: White space, and first bytes of letters that are written without spaces (U+0E00 to U+0EFF,
+#: U+1000 to U+109F and U+3000 to U+9FFF), two of which count as a word.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_UNSPACED = np.isin(np.arange(256), range(0xE3, 0xEA))
+
+
+def half_words(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Twice the words of the chunks that end at ``ends``: a word counts where it begins, a letter of unspaced scripts as half a word."""
+    a = np.frombuffer(data, np.uint8)
+    space = _SPACE[a]
+    n = np.zeros(len(a) + 1, np.int64)
+    begins = ~space
+    begins[1:] &= space[:-1]
+    n[1:] = 2 * begins
+    n[1:] += _UNSPACED[a]
+    for lead, lo, hi in ((0xE0, 0xB8, 0xBC), (0xE1, 0x80, 0x83)):
+        n[1:-1] += (a[:-1] == lead) & (a[1:] >= lo) & (a[1:] < hi)
+    n = np.cumsum(n)
+    return np.diff(n[ends], prepend=0)
+
+
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, digest, start, extent): the chunks of each document; extent is bytes * 2^32 + spaces in them."""
+    """(doc, k, digest, more, start, size, halves): the chunks of each document.
+
+    doc is the doc_id (NO_ID for null) and k a hash of the text, which tells apart texts of
+    one doc_id; digest and more are 96 bits of XXH3; halves are twice the words begun.
+    """
     small_batches(docs.sparkSession)
-    src = docs.select("doc_id", "text")
-    kind = src.schema["doc_id"].dataType.simpleString()
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash("text").alias("k"), "text")
+    names = ["doc", "k", "digest", "more", "start", "size", "halves"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            row, dig, start, extent = [], [], [], []
-            for i, t in enumerate(as_bytes(b.column(1))):
-                t = t or b""
-                at = 0
-                for c in cuts(t, mask_bits, least):
-                    part = t[at:c]
-                    row.append(i)
-                    dig.append(digest(part))
-                    start.append(at)
-                    extent.append(c - at << 32 | part.count(b" ") + part.count(b"\n"))
-                    at = c
-                if len(row) > 200_000:
-                    yield batch(b, row, dig, start, extent)
-                    row, dig, start, extent = [], [], [], []
-            yield batch(b, row, dig, start, extent)
-
-    def batch(b, row, dig, start, extent):
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(np.array(dig, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(extent, pa.int64())], names=["doc_id", "digest", "start", "extent"])
-
-    return src.mapInArrow(run, f"doc_id {kind}, digest long, start int, extent long")
+            held, n = [], 0
+            for i, t in enumerate(as_bytes(b.column(2))):
+                ends = np.array(cuts(t or b"", mask_bits, least), np.int64)
+                if not len(ends):
+                    continue
+                starts = np.concatenate(([0], ends[:-1]))
+                d = np.frombuffer(b"".join([digest(t[x:y]) for x, y in zip(starts.tolist(), ends.tolist())]), np.int64).reshape(-1, 2)
+                held.append((np.full(len(ends), i), d[:, 0], d[:, 1].astype(np.int32), starts, ends - starts, half_words(t, ends)))
+                n += len(ends)
+                if n > 200_000:
+                    yield batch(b, held)
+                    held, n = [], 0
+            if held:
+                yield batch(b, held)
 
+    def batch(b, held):
+        row, dig, more, start, size, halves = (np.concatenate(x) for x in zip(*held))
+        take = pa.array(row)
+        cols = [pa.array(dig), pa.array(more), *(pa.array(x.astype(np.int32)) for x in (start, size, halves))]
+        return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols], names=names)
 
-def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
-    """Repeated spans: doc_id, start, end (bytes of the UTF-8 text), words, first, first_doc_id.
+    return src.mapInArrow(tidied(run), "doc long, k int, digest long, more int, start int, size int, halves int")
 
-    A span is a run of neighbouring chunks that each occur in two documents or more,
-    ``words`` words or more in all; what only one document repeats is left alone. ``first``
-    marks spans all of whose chunks are met here first (smallest doc_id), which a dedup
-    keeps. A passage of n words loses up to a chunk, about five words, at either rim, so the
+
+def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
+    """Repeated spans: doc_id, start, end (bytes of the UTF-8 text), words, first, first_doc_id, text_hash.
+
+    A run is neighbouring chunks that each occur in two documents or more, ``words`` words
+    or more in all (white space separates words; of scripts without it two letters are
+    one); what only one document repeats is left alone. A run is given as spans that are
+    ``first`` throughout or nowhere: chunks that are met here first (smallest doc_id, null
+    last), which a dedup keeps, and such as an earlier document has. So each chunk is kept
+    somewhere. A passage of n words loses up to a chunk, about five words, at either rim, so the
     default finds passages of over 50 words and leaves phrases alone. Null and empty texts
-    have no spans; rows that repeat a doc_id are one document; null doc_ids are skipped, as
-    nothing could name them. Other columns are ignored.
+    have no spans. Rows that agree in doc_id and text are one document; texts that share a
+    doc_id, or have none, are documents of their own, told apart by text_hash. Other
+    columns are ignored.
 
     Digests are aggregated before the shuffle, so a chunk of a third of all documents is a
     row a task; repeated digests then meet the chunks again in a join that adaptive
     execution splits for a hot digest. Runs are found per document.
     """
-    all_ = chunks(docs.where(F.col("doc_id").isNotNull()), mask_bits, least)
-    seen = all_.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low")
+    all_ = chunks(docs, mask_bits, least)
+    who = F.struct("doc", "k")
+    seen = all_.groupBy("digest", "more").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("digest", "more", "low.*")
     # staged, so that the join deals both sides anew and can split a hot digest; chunks are cut again, which takes less than keeping them
-    hit = all_.join(stage(seen), "digest").select("doc_id", "start", F.shiftright("extent", 32).cast("int").alias("size"), F.col("extent").bitwiseAND(F.lit(0xFFFFFFFF)).alias("words"), "low", (F.col("low") == F.col("doc_id")).alias("own"))
-    place = Window.partitionBy("doc_id").orderBy("start", "size")
+    seen = stage(seen.withColumnsRenamed({"doc": "low", "k": "low_k"}))
+    hit = all_.join(seen, ["digest", "more"]).select("doc", "k", "start", "size", "halves", "low", ((F.col("low") == F.col("doc")) & (F.col("low_k") == F.col("k"))).alias("own"))
+    place = Window.partitionBy("doc", "k").orderBy("start", "size")
     # copies of a row give the same chunks again; a run goes on where the chunk before ends
-    runs = hit.groupBy("doc_id", "start", "size", "words", "low", "own").agg(F.count("*").alias("_n"))
-    runs = runs.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("size")).over(place), F.lit(-1)) != F.col("start")).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(place))
-    out = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.bool_and("own").alias("first"), F.min("low").alias("first_doc_id")
+    one = hit.groupBy("doc", "k", "start", "size", "halves", "low", "own").agg(F.count("*").alias("_n"))
+    one = one.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("size")).over(place), F.lit(-1)) != F.col("start")).cast("int"))
+    one = one.withColumn("turn", F.when(~F.lag("own").over(place).eqNullSafe(F.col("own")), 1).otherwise(F.col("new")))
+    one = one.withColumns({"run": F.sum("new").over(place), "part": F.sum("turn").over(place)})
+    span = one.groupBy("doc", "k", "run", "part").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("halves").alias("halves"), F.first("own").alias("first"), F.min("low").alias("low")
     )
-    return out.where(F.col("words") >= words).select("doc_id", "start", "end", "words", "first", "first_doc_id")
+    span = span.withColumn("all", F.sum("halves").over(Window.partitionBy("doc", "k", "run")))
+    known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return span.where(F.col("all") >= 2 * words).select(known("doc").alias("doc_id"), "start", "end", F.floor(F.col("halves") / 2).alias("words"), "first", known("low").alias("first_doc_id"), F.col("k").alias("text_hash"))
 
 
 def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans that are not ``first`` cut out of their texts."""
-    cutsdf = spans.where(~F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    both = docs.join(cutsdf, "doc_id", "left")
+    i, k, c = (fresh(docs, n) for n in ("__id", "__k", "__cuts"))
+    cutsdf = spans.where(~F.col("first")).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(k)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(c))
+    both = docs.join(cutsdf, F.col("doc_id").eqNullSafe(F.col(i)) & (F.hash("text") == F.col(k)), "left").select(*docs.columns, c)
     schema = docs.schema
-    at = both.columns.index("text")
+    at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -140,8 +178,7 @@ def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 texts.append(b"".join([*keep, t[last:]]))
             cols = list(b.columns[:-1])
             cols[at] = pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts], pa.string())
-            byname = dict(zip(b.schema.names, cols))
-            yield pa.RecordBatch.from_arrays([byname[n] for n in schema.names], names=schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return both.mapInArrow(run, schema)
 
