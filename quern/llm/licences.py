@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, small_batches
+from quern.llm.common import as_bytes, small_batches, tidied
 
 #: Phrases whose exact places count, and their labels.
 PHRASES = {
@@ -76,7 +76,8 @@ def _matcher(notices: tuple[tuple[str, str], ...], edits: float):
     a, compiled = ahocorasick.Automaton(), []
     for i, (n, label) in enumerate(notices):
         k = int(edits * len(n))
-        compiled.append((n, label, k, regex.compile(rf"(?e)(?:{regex.escape(n)}){{e<={k}}}")))
+        # whole words: an edit at the rim is spent on the notice, and what follows it is no part of a word
+        compiled.append((n, label, k, regex.compile(rf"(?e)(?<![^ ])(?=[^ ])(?:{regex.escape(n)}){{e<={k}}}(?<=[^ ])(?![^ ])"), KEYS.intersection(n.split())))
         for off, seed in split_seeds(n, k + 1):
             a.add_word(seed, (*a.get(seed, ()), (i, off, len(seed))))
     a.make_automaton()
@@ -93,9 +94,11 @@ def fuzzy_spans(words: str, notices: dict[str, str] | None = None, edits: float
     windows: dict[int, list[list[int]]] = {}
     for end, hits in a.iter(words):
         for i, off, size in hits:
-            n, _, k, _ = compiled[i]
+            n, _, k, *_ = compiled[i]
             lo = max(0, end - size + 1 - off - k - 1)
             hi = lo + len(n) + 2 * k + 3
+            lo, hi = words.rfind(" ", 0, lo) + 1, words.find(" ", hi)
+            hi = len(words) if hi < 0 else hi
             own = windows.setdefault(i, [])
             if own and lo <= own[-1][1]:
                 own[-1][1] = max(own[-1][1], hi)
@@ -103,18 +106,12 @@ def fuzzy_spans(words: str, notices: dict[str, str] | None = None, edits: float
                 own.append([lo, hi])
     out = set()
     for i, spans in windows.items():
-        n, label, _, pattern = compiled[i]
+        _, label, _, pattern, keys = compiled[i]
+        size = len(compiled[i][0])
         for lo, hi in spans:
-            part = words[lo:hi]
-            for m in pattern.finditer(part, overlapped=False):
-                s, e = lo + m.start(), lo + m.end()
-                while s < e and words[s] == " ":
-                    s += 1
-                while e > s and words[e - 1] == " ":
-                    e -= 1
-                whole = (s == 0 or words[s - 1] == " ") and (e == len(words) or words[e] == " ")
-                if whole and KEYS.intersection(n.split()) <= set(words[s:e].split()):
-                    out.add((s, e, label, sum(m.fuzzy_counts), len(n)))
+            for m in pattern.finditer(words[lo:hi]):
+                if keys <= set(m[0].split()):
+                    out.add((lo + m.start(), lo + m.end(), label, sum(m.fuzzy_counts), size))
     return sorted(out)
 
 
@@ -126,9 +123,10 @@ def scan(text: bytes | None) -> dict:
     starts, base = [], set()
     for phrase, label in PHRASES.items():
         p = b" " + phrase.encode() + b" "
-        at = padded.find(p)
+        at, last, before = padded.find(p), 0, 0
         while at >= 0:
-            starts.append(padded[:at].count(b" "))
+            before, last = before + padded.count(b" ", last, at), at
+            starts.append(before)
             base.add(label)
             at = padded.find(p, at + 1)
     spans = fuzzy_spans(joined.decode("utf-8", "replace"))
@@ -167,4 +165,4 @@ def licences(docs: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>")
+    return src.mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>")
