@@ -21,15 +21,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import small_batches, tidied
 from quern.sources.stage import stage
 
 LENGTH = 2048
 #: Items of a cell, and the distinct words a worker remembers.
-CELL, WORDS_KEPT = 100_000, 400_000
+CELL, WORDS_KEPT = 100_000, 200_000
 #: Fixed value: a character that is a token of its own.
 BETWEEN = "\x01"
 MARKS = frozenset(".,")
+#: Pairs of words on which the tokenizer is probed.
+PROBES = (("the", "quick"), ("a", "b"), ("unbelievable", "xylophones"), ("cafe", "naïve"), ("don", "tomorrow"))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -42,10 +44,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of a column of texts.
 
-    This tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn. Each distinct word of a batch is encoded once; the first
+    A tokenizer that drops white space, never joins across it and folds ASCII case gives
+    a text the ids of its words in turn. Each distinct word of a batch is encoded once; the first
     WORDS_KEPT words met are remembered, which frequent ones are soon among. Words are
     encoded many at a time, with a control character between them whose id is its own.
+    A tokenizer that fails the probes of this encodes whole texts, ``plain``.
     """
 
     def __init__(self, path: str):
@@ -54,8 +57,13 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.mark = {c: array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes() for c in MARKS}
-        (self.between,) = self.tok.encode(BETWEEN, add_special_tokens=False).ids
+        ids = lambda t: list(self.tok.encode(t, add_special_tokens=False).ids)
+        self.mark = {c: array("I", ids(c)).tobytes() for c in MARKS}
+        self.plain = len(ids(BETWEEN)) != 1
+        for a, b in PROBES:
+            self.plain |= ids(f" {a}\t\n{b}  ") != ids(a) + ids(b) or ids(a.upper()) != ids(a) or ids(f"{a} {BETWEEN} {b}") != ids(a) + ids(BETWEEN) + ids(b)
+            self.plain |= any(ids(a + c) != ids(a) + ids(c) for c in MARKS)
+        self.between = ids(BETWEEN)[0]
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words. Case is folded by the tokenizer too, and a stop or comma
@@ -88,6 +96,9 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin and the last's end)."""
+        if self.plain:
+            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = words.flatten().dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
@@ -113,7 +124,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The batches, small ones joined to about ``size`` bytes."""
     held, n = [], 0
     for b in batches:
@@ -126,7 +137,7 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 24) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None, length: int = LENGTH, end: int = 0) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32: a row per piece, staged.
 
     A document is its ids and then ``end``; a null or empty text is ``end`` alone. Only
@@ -136,7 +147,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> Da
     src = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path or vocabulary()), np.array([end], "<u4").tobytes()
         for b in gathered(batches):
             out: list[list[int]] = [[], [], [], [], []]
             tokens, ends = encode(b.column(2))
@@ -150,7 +161,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return stage(src.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long"))
+    return stage(src.mapInArrow(tidied(run), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long"))
 
 
 def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +221,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     agree. Cells hold about ``CELL`` pieces by a hash, each packed on its own; the open
     bins of all cells are packed again, their pieces moved together.
     """
-    p = pieces(docs, path or vocabulary(), length)
+    p = pieces(docs, path, length)  # a worker finds its own copy of the vocabulary
     short = p.where(F.col("length") < length)
     cells = max(1, -(-short.count() // CELL))
 

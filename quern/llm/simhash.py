@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, numbered, small_batches, without
+from quern.llm.common import as_bytes, numbered, small_batches, tidied, without
 from quern.operators.components import components
 from quern.sources.stage import stage
 
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *carry: str, copies: bool
             fp = np.array([copy_fingerprints(t) if copies else (fingerprint(t, words),) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -354,8 +354,8 @@ def classes(nodes: DataFrame, limits: tuple[int, ...] = (BITS,)) -> DataFrame:
     # a node has some 180 keys, so few nodes are a task; where the node is its fingerprint, the
     # group travels as its difference from it, mostly zero, which compresses
     many = grouped.repartition(max(tasks(nodes.sparkSession), grouped.count() // TASK_NODES), "node")
-    keys = many.mapInArrow(all_keys, f"key long, tile int, {longs('off', *names)}").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    comp = components(keys.mapInArrow(links, "src long, dst long"))
+    keys = many.mapInArrow(tidied(all_keys), f"key long, tile int, {longs('off', *names)}").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    comp = components(keys.mapInArrow(tidied(links), "src long, dst long"))
     joined = grouped.join(comp.withColumnRenamed("node", "__n"), F.col("grp") == F.col("__n"), "left")
     return joined.select("node", F.coalesce("component", "grp").alias("class"))
 

@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon learned from labels and matched with Aho-Corasick.
 
 Texts are folded first: lower case, homoglyphs to Latin letters, digit and sign
-substitutions to letters, inner separators between single letters dropped. Lexicon
+substitutions to letters, separators between three single letters or more dropped. Lexicon
 entries are stems at a word's start or whole words. The score is a logistic function of
 the weight found, normalised by length; phrases seen around a term in clean texts are
 exceptions whose matches count nothing.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, text_or_empty
+from quern.llm.common import small_batches, text_or_empty, tidied
 from quern.sources.stage import stage
 
 #: Labelled rows that the lexicon is fitted on at most: those first by a hash of doc_id.
@@ -30,28 +30,31 @@ THRESHOLD = 0.7
 #: entries wanted in each toxic document; entries at most.
 STEM, SUPPORT, PURITY, COVER, ENTRIES = (3, 12), 3, 0.9, 4, 2000
 
-#: Look-alike letters, and digits and signs used as letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнАВЕКМНОРСТУХІЈЅαεορυχικντ", "aeopcyxijsdhkmtbhabekmhopctyxijsaeopuxikvt"))
+#: Look-alike letters in lower case, and digits and signs used as letters.
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαεορυχικντ", "aeopcyxijsdhkmtbhaeopuxikvt"))
 SUBSTITUTES = dict(zip("013457@$!", "oieastasi"))
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SUBST = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"(?<![^\W\d_])[013457@$!]*[^\W\d_][\w@$!]*")
 _HAS = re.compile(r"[013457@$!]")
 _WORD = re.compile(r"[^\W\d_]+")
+_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[.\-_*·][^\W\d_]){2,}(?!\w)")
+_SEPARATORS = str.maketrans("", "", ".-_*·")
 
 
 def fold(text: str | None) -> str:
-    """The text in lower case, disguised letters replaced; its length is kept.
+    """The text in lower case, disguised letters replaced.
 
     Digits and signs are taken as letters only in words that have letters, and not at a
-    word's end, where they are numbers and punctuation.
+    word's end, where they are numbers and punctuation. Single letters with one of
+    ``.-_*·`` between each two are a word.
     """
     t = (text or "").lower()
     if not t.isascii():
         t = t.translate(_FOLD)
     if _HAS.search(t):
         t = _MIXED.sub(lambda m: _word(m[0]), t)
-    return t
+    return _SPACED.sub(lambda m: m[0].translate(_SEPARATORS), t)
 
 
 def _word(w: str) -> str:
@@ -252,7 +255,7 @@ def scored(docs: DataFrame, lex: Lexicon, name: str = "score") -> DataFrame:
             s = [score_of(measures(fold(t), a, lex.exceptions), lex.curve) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=kind.names)
 
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(tidied(run), kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
