@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Stage tables written and not deleted yet.
+_made: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,7 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    _made.append(out)
     return out
 
 
@@ -43,6 +46,26 @@ def discard(df: DataFrame) -> None:
     """Delete a stage table that nothing will read again."""
     path = getattr(df, "_quern_path", None)
     if path:
+        _made[:] = [d for d in _made if d is not df]
         jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+class scratch:
+    """``with scratch() as s``: on leaving, the stage tables written inside are deleted, but those given to ``s.keep``.
+
+    For work whose result has been written by then; what is still to be read must be kept.
+    """
+
+    def __enter__(self) -> scratch:
+        self.before, self.kept = {id(d) for d in _made}, set()
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._quern_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        for d in [d for d in _made if id(d) not in self.before and d._quern_path not in self.kept]:
+            discard(d)
