@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import exact, mixing, packing, simhash, toxicity
-from quern.sources.stage import stage
+from quern.sources.stage import discard, scratch, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, one after the other, each written as Parquet and read again."""
+    """The stages on documents, one after the other, each written as Parquet and read again.
+
+    What a stage wrote on the way, and the documents before it, are deleted once its own are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir))
+        with scratch() as s:
+            new = s.keep(stage(f(spark, docs, sf_dir)))
+        discard(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
