@@ -18,7 +18,7 @@ NOT_DEATH_AFTER = r"^\s*(?:به\s*دنیا|متولد|تولد|زاده|–|-|ت
 DEATH_WORDS = "جان[\\s‌]?باخت|جان[\\s‌]?فدا|کشته|شهید\\s*شد|اعدام|به[\\s‌]?قتل|به\\s*خاک\\s*سپرده|تیرباران"
 DEY_YEAR = "دی[\\s‌]*(?:ماه|مَاه)?[\\s‌]*(1[34]\\d{2})"
 BIRTH_BEFORE, BIRTH_AFTER = "متولد|زاده|زادهٔ|تولد", "به دنیا آمد|متولد شد|زاده شد"
-OTHER_BEFORE = r"سالگرد|سالروز|ورودی|(?:مزار|آرامگاه|جان‌باختگان|جانباختگان)\s"
+ANNIVERSARY, OTHERS = r"(?:سالگرد|سالروز|ورودی|دانشجوی?\s*ورودی)", r"(?:مزار|آرامگاه|جان‌باختگان|جانباختگان)\s"
 FIRST_YEAR, LAST_YEAR = 1357, 1405
 #: Fixed values of the 33-year rule: the cycle's first year, its years, its first day (since 1970) and its days.
 CYCLE, CYCLE_YEARS, FIRST_DAY, DAYS = 1210, 425, -50690, 155228
@@ -43,10 +43,16 @@ def month_day_text(c: Column) -> Column:
 
 
 def jalali_year(c: Column, mode: str = "prefix") -> Column:
-    """Year of a partial date: ``prefix`` 13xx or 14xx; ``month`` with a month, 1370 to 1410; ``full`` with month and day."""
-    pattern = {"prefix": r"^(1[34]\d\d)", "month": r"^(1[34]\d\d)\s*/\s*\d{1,2}", "full": r"^(\d{3,4})/\d{1,2}/\d{1,2}"}[mode]
-    y = F.regexp_extract(fold_digits(c), pattern, 1).try_cast("int")
-    return F.when(y.between(1370, 1410), y) if mode == "month" else y
+    """Year of a partial date: ``prefix`` 13xx or 14xx; ``month`` with a month, 1370 to 1410; ``full`` with month and day.
+
+    ``month`` is the first pass's, which takes months 10 and later of 1400 for a misread 1404.
+    """
+    pattern = {"prefix": r"^(1[34]\d\d)", "month": r"^(1[34]\d\d)\s*/\s*(\d{1,2})", "full": r"^(\d{3,4})/\d{1,2}/\d{1,2}"}[mode]
+    y = F.regexp_extract(fold_digits(c, mode != "month"), pattern, 1).try_cast("int")
+    if mode != "month":
+        return y
+    month = F.regexp_extract(fold_digits(c, False), pattern, 2).try_cast("int")
+    return F.when((y == 1400) & (month >= 10), 1404).when(y.between(1370, 1410), y)
 
 
 def has_month(c: Column) -> Column:
@@ -112,7 +118,7 @@ def relative_time(c: Column, now: Column) -> Column:
 
 
 _FOLD = str.maketrans("۰۱۲۳۴۵۶۷۸۹", "0123456789")
-_re = {k: re.compile(v) for k, v in {"before": NOT_DEATH_BEFORE, "after": NOT_DEATH_AFTER, "death": DEATH_WORDS, "dey": DEY_YEAR, "year": "13[0-9]{2}|14[0-9]{2}", "bb": BIRTH_BEFORE, "ba": BIRTH_AFTER, "ob": OTHER_BEFORE, "dmy": rf"\d{{1,2}}\s*(?:{MONTHS})\s*(13[7-9][0-9]|140[0-9])"}.items()}
+_re = {k: re.compile(v) for k, v in {"before": NOT_DEATH_BEFORE, "after": NOT_DEATH_AFTER, "death": DEATH_WORDS, "dey": DEY_YEAR, "year": "13[0-9]{2}|14[0-9]{2}", "bb": BIRTH_BEFORE, "ba": BIRTH_AFTER, "an": ANNIVERSARY, "ob": OTHERS, "dmy": rf"\d{{1,2}}\s*(?:{MONTHS})\s*(13[7-9][0-9]|140[0-9])"}.items()}
 
 
 def read_story_year(text: str | None) -> tuple[int | None, str | None]:
@@ -140,7 +146,7 @@ def read_story_year_v1(text: str | None) -> int | None:
     years = set()
     for m in _re["dmy"].finditer(t):
         before, after = t[max(0, m.start() - 28) : m.start()], t[m.end() : m.end() + 18]
-        if not (_re["bb"].search(before) or _re["ba"].search(after) or _re["ob"].search(before)):
+        if not (_re["bb"].search(before) or _re["ba"].search(after) or _re["an"].search(before) or _re["ob"].search(before)):
             years.add(int(m[1]))
     return years.pop() if len(years) == 1 else None
 

@@ -98,7 +98,7 @@ def link_kind(c: Column) -> Column:
     h = host(c)
     return (
         F.when(h.isNull(), "invalid")
-        .when(h.rlike(r"(^|\.)(x|twitter)\.com$"), "twitter")
+        .when(h.contains("x.com") | h.contains("twitter"), "twitter")
         .when(h.contains("instagram"), "instagram")
         .when(h.rlike("youtube|youtu\\.be"), "youtube")
         .when(h.contains("wikipedia"), "wikipedia")
@@ -140,7 +140,63 @@ def parse_object(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def json_text(c: Column) -> Column:
+    """A scalar's JSON text; ``null`` of null."""
+    wrapped = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.coalesce(F.substring(wrapped, F.lit(2), F.char_length(wrapped) - 2), F.lit("null"))
+
+
+def raw_object(c: Column) -> Column:
+    """A JSON object as a map to the JSON text of its values; anything invalid as an empty map.
+
+    A value keeps its kind: a string its quotes, a number, boolean or null its word.
+    """
+    values = F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, "map<string,variant>"))
+    keys = F.coalesce(F.map_keys(values), F.array().cast("array<string>"))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.to_json(F.try_element_at(values, k)), F.lit("null"))))
+
+
+def as_object(m: Column) -> Column:
+    """The JSON object of a map to JSON texts, in the map's order."""
+    pair = lambda e: F.concat(json_text(e["key"]), F.lit(":"), e["value"])
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), pair), ","), F.lit("}"))
+
+
+def with_keys(c: Column, new: Column) -> Column:
+    """The JSON object with the keys of ``new``, a map to JSON texts, set; keys already there keep their place."""
+    old = raw_object(c)
+    kept = F.transform_values(old, lambda k, v: F.coalesce(F.try_element_at(new, k), v))
+    return as_object(F.map_concat(kept, F.map_filter(new, lambda k, _: ~F.map_contains_key(old, k))))
+
+
 def with_key(c: Column, key: str, value: Column) -> Column:
-    """The JSON object with one key set."""
-    rest = F.map_filter(parse_object(c), lambda k, _: k != key)
-    return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))
+    """The JSON object with one key set to a string, number or boolean as such."""
+    return with_keys(c, F.create_map(F.lit(key), json_text(value)))
+
+
+def random_hex(n: int = 5) -> Column:
+    """2 n random hexadecimal digits, new in every run and row."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 2 * n)
+
+
+def commons_url(name: Column, width: int = 600) -> Column:
+    """Address of a file of the media archive: blanks as underscores, percent-encoded but for slashes."""
+    enc = F.url_encode(F.replace(name, F.lit(" "), F.lit("_")))
+    for a, b in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        enc = F.replace(enc, F.lit(a), F.lit(b))
+    return F.concat(F.lit("https://commons.wikimedia.org/wiki/Special:FilePath/"), enc, F.lit(f"?width={width}"))
+
+
+def unquote(c: Column) -> Column:
+    """Percent-decoded; a plus stays a plus, and what cannot be decoded stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def media_file(url: Column) -> Column:
+    """struct(name, host) of a media file's address, of the archive's or of an upload's form; null of others."""
+    direct = F.regexp_extract(url, r"Special:FilePath/([^?]+)", 1)
+    p = r"/wikipedia/([a-z]+)/(?:thumb/)?[0-9a-f]/[0-9a-f]{2}/([^/?]+)"
+    lang, name = F.regexp_extract(url, p, 1), F.regexp_extract(url, p, 2)
+    commons = F.lit("commons.wikimedia.org")
+    both = lambda n, h: F.struct(unquote(n).alias("name"), h.alias("host"))
+    return F.when(direct != "", both(direct, commons)).when(lang != "", both(name, F.when(lang == "commons", commons).otherwise(F.concat(lang, F.lit(".wikipedia.org")))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import calendar as cal
 from quern.functions.empties import empty_number, empty_text
+from quern.functions.text import commons_url, media_file, path_tail
 
 #: Parts of file names that are no portrait's.
 BAD_FILES = ["solidarity", "colage", "collage", "protest", "demonstration", "rally", "mural", "placard", "banner", "memorial_park", "statue", "iep2009", ".svg"]
@@ -54,19 +55,33 @@ def bad_file(name: Column, tokens: list[str] | None = None) -> Column:
 
 
 def choose_image(raw: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """(id, status, source, url): the first acceptable of the Wikidata, Persian and English images."""
+    """(id, status, source, url): the first acceptable of the Wikidata file and the images of the Persian and English pages.
+
+    ``wd_image`` is a file name, of which the archive's address is made; of the others,
+    addresses, the last part of the path is the name that is looked at.
+    """
     c = F.col
-    cand = F.array(*[F.struct(F.lit(s).alias("source"), c(k).alias("url")) for s, k in (("wikidata", "wd_image"), ("wiki_fa", "fa_image"), ("wiki_en", "en_image"))])
-    first = F.get(F.filter(cand, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~bad_file(x["url"])), F.lit(0))
+    one = lambda s, name, url: F.struct(F.lit(s).alias("source"), name.alias("name"), url.alias("url"))
+    cand = F.array(one("wikidata_P18", c("wd_image"), F.when(c("wd_image") != "", commons_url(c("wd_image")))), *[one(s, path_tail(c(k)), c(k)) for s, k in (("fa_pageimage", "fa_image"), ("en_pageimage", "en_image"))])
+    first = F.get(F.filter(cand, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~bad_file(x["name"])), F.lit(0))
     bl = blacklist.select(c("title").alias("_t")).distinct()
     d = raw.join(bl, c("title") == c("_t"), "left").withColumn("pick", F.when(c("_t").isNull(), first))
-    status = F.when(c("_t").isNotNull(), "blacklist").when(c("pick").isNull(), "need_search").otherwise("accept")
+    status = F.when(c("_t").isNotNull(), "blacklist").when(c("pick").isNull(), "need_search").otherwise("wiki")
     return d.select("id", status.alias("status"), "pick.source", "pick.url")
 
 
 def resolve_images(decisions: DataFrame, info: DataFrame) -> DataFrame:
-    """Accepted images with what is known of their files: resolved, not_image or unresolved."""
-    i = info.select(F.col("url").alias("_u"), "mime", "width", "height").dropDuplicates(["_u"])
-    picture = F.col("mime").startswith("image") & ~F.contains("mime", F.lit("svg"))
-    status = F.when(F.col("status") != "accept", F.col("status")).when(F.col("_u").isNull(), "unresolved").when(picture, "resolved").otherwise("not_image")
-    return decisions.join(i, F.col("url") == F.col("_u"), "left").select("id", status.alias("status"), "source", "url", "mime", "width", "height")
+    """Chosen images with what is known of their files (name, host, url, thumb, mime, width, height).
+
+    A chosen image (status wiki) becomes resolved, or need_search with a reason: bad_url,
+    no_info or bad_type. Other decisions stay as they are.
+    """
+    c = F.col
+    i = info.select(c("name").alias("_n"), c("host").alias("_h"), c("url").alias("photo_fullres"), F.coalesce("thumb", "url").alias("photo_direct"), "mime", "width", "height").dropDuplicates(["_n", "_h"])
+    d = decisions.withColumn("_f", F.when(c("status") == "wiki", media_file(c("url"))))
+    j = d.join(i, (c("_f.name") == c("_n")) & (c("_f.host") == c("_h")), "left")
+    picture = F.coalesce(c("mime").startswith("image") & ~F.contains("mime", F.lit("svg")), F.lit(False))
+    why = F.when((c("status") != "wiki") | c("url").isNull(), None).when(c("_f").isNull(), "bad_url").when(c("_n").isNull(), "no_info").when(~picture, "bad_type")
+    good = (c("status") == "wiki") & c("url").isNotNull() & why.isNull()
+    told = lambda k: F.when(good, c(k)).alias(k)
+    return j.select("id", F.when(why.isNotNull(), "need_search").when(good, "resolved").otherwise(c("status")).alias("status"), why.alias("reason"), "source", "url", *map(told, ("photo_direct", "photo_fullres", "mime", "width", "height")))

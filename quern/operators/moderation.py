@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators.stats import scalars
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -55,7 +56,8 @@ def auto_hide(comments: DataFrame, reports: DataFrame, threshold: int) -> DataFr
 
 
 def new_comment_status(mode: Column) -> Column:
-    return F.when(mode == "auto", "approved").otherwise("pending")
+    """Of a new comment: it waits where comments are approved beforehand, else it shows at once."""
+    return F.when(mode == "pre_approve", "pending").otherwise("approved")
 
 
 def merge_people(people: DataFrame, comments: DataFrame, photos: DataFrame, reports: DataFrame, merges: DataFrame) -> tuple[DataFrame, ...]:
@@ -79,23 +81,120 @@ def patch(people: DataFrame, patches: DataFrame, columns: dict[str, str]) -> Dat
     """Sparse patches (id, fields map): only keys present change; blanks become null, ``int`` columns parse within 1 to 129."""
     j = people.join(patches.select(F.col("id").alias("_id"), "fields"), people.id == F.col("_id"), "left")
     for name, kind in columns.items():
-        v = F.try_element_at("fields", F.lit(name))
-        new = tx.int_prefix(v) if kind == "int" else F.nullif(tx.clean(v), F.lit(""))
-        j = j.withColumn(name, F.when(F.coalesce(F.map_contains_key("fields", name), F.lit(False)), new).otherwise(F.col(name)))
+        j = j.withColumn(name, F.when(F.coalesce(F.map_contains_key("fields", name), F.lit(False)), cleaned(F.try_element_at("fields", F.lit(name)), kind)).otherwise(F.col(name)))
     return j.select(*people.columns)
 
 
+def cleaned(v: Column, kind: str, most: int = 2000) -> Column:
+    """A patch's value: a whole number of 1 to 129, or trimmed text of ``most`` characters; null if nothing is left."""
+    return tx.int_prefix(v) if kind == "int" else F.nullif(tx.clean(v, most), F.lit(""))
+
+
+#: Keys of a person's JSON that a patch may set, each with its kind, longest text and the column it mirrors.
+PATCHED = {
+    "n": ("text", 100, "name"), "ne": ("text", 100, "name_en"), "a": ("int", 3, None), "g": ("text", 20, None), "e": ("text", 40, "event"), "c": ("text", 60, "city"),
+    "pr": ("text", 60, None), "dj": ("text", 30, None), "dg": ("text", 10, None), "ca": ("text", 200, None), "oc": ("text", 100, None), "s": ("text", 5000, None),
+    "ph": ("url", 1000, "photo_url"), "src_text": ("text", 2000, None), "v": ("text", 20, None),
+}
+
+
+def edit_people(people: DataFrame, patches: DataFrame, keys: dict[str, tuple[str, int, str | None]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sparse patches (id, fields map, notable boolean or null) on mirror columns and data_json together.
+
+    Only keys present change, both in the JSON, as null, number or string, and in the
+    column they mirror. A patch is refused whole (id, why): its person is unknown, its photo is
+    no http address, or it leaves a name of under two characters. One patch a person.
+    """
+    keys = keys or PATCHED
+    p = patches.select(F.col("id").alias("_id"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("_f"), F.col("notable").alias("_nt"))
+    has = lambda k: F.map_contains_key("_f", k)
+    value = lambda k: cleaned(F.try_element_at("_f", F.lit(k)), *keys[k][:2])
+    bad_url = F.lit(False)
+    for k, (kind, *_) in keys.items():
+        if kind == "url":
+            bad_url |= F.coalesce(has(k) & value(k).isNotNull() & ~tx.is_http_url(value(k)), F.lit(False))
+    short = has("n") & (F.coalesce(F.char_length(value("n")), F.lit(0)) < 2) if "n" in keys else F.lit(False)
+    known = people.select(F.col("id").alias("_k"))
+    why = F.when(F.col("_k").isNull(), "no_person").when(bad_url, "bad_url").when(short, "no_name")
+    checked = p.join(known, F.col("_id") == F.col("_k"), "left").withColumn("_why", why)
+    j = people.join(checked.where("_why IS NULL"), people.id == F.col("_id"), "left")
+    entry = lambda k: F.when(has(k), F.create_map(F.lit(k), tx.json_text(value(k)))).otherwise(F.create_map().cast("map<string,string>"))
+    flag = F.when(F.col("_nt").isNotNull(), F.create_map(F.lit("nt"), tx.json_text(F.col("_nt")))).otherwise(F.create_map().cast("map<string,string>"))
+    new = {"data_json": F.when(F.col("_id").isNotNull(), tx.with_keys(F.col("data_json"), F.map_concat(*map(entry, keys), flag))).otherwise(F.col("data_json")), "notable": F.coalesce("_nt", "notable")}
+    for k, (*_, column) in keys.items():
+        if column:
+            new[column] = F.when(F.coalesce(has(k), F.lit(False)), value(k)).otherwise(F.col(column))
+    return j.withColumns(new).select(*people.columns), checked.where("_why IS NOT NULL").select(F.col("_id").alias("id"), F.col("_why").alias("why"))
+
+
+def mirror_rows(people: DataFrame) -> DataFrame:
+    """Mirror rows of long records: eight columns, empty texts as null but the name, notable as 0 or 1."""
+    c = F.col
+    return people.select("id", F.coalesce("name", F.lit("")).alias("name"), *[F.nullif(c(k), F.lit("")).alias(k) for k in ("name_en", "event", "city", "photo_url", "slug")], F.coalesce("notable", F.lit(False)).cast("int").alias("notable"))
+
+
+def replace_mirror(mirror: DataFrame, people: DataFrame) -> DataFrame:
+    """The mirror after a batch: rows of the same id are replaced whole, so what a batch has not, data_json, is null."""
+    return mirror.join(people.select("id"), "id", "left_anti").unionByName(mirror_rows(people), allowMissingColumns=True).select(*mirror.columns)
+
+
+def queue(rows: DataFrame, people: DataFrame, status: str | None = None, kind: str | None = None, default: str = "pending", reported: bool = False, order: list[Column] | None = None, limit: int = 300) -> DataFrame:
+    """A review queue: rows of a status (``default`` if none is asked, ``all`` for any) and kind, with the names of their people.
+
+    ``reported`` asks for rows that were reported, whatever their status. Rows of unknown people stay.
+    """
+    status = status or default
+    if reported:
+        rows = rows.where("report_count > 0")
+    elif status != "all":
+        rows = rows.where(F.col("status") == status)
+    if kind:
+        rows = rows.where(F.col("report_type") == kind)
+    names = lambda a, on: people.select(F.col("id").alias(on), F.col("name").alias(a))
+    out = rows.join(names("person_name", "person_id"), "person_id", "left")
+    if "duplicate_of" in rows.columns:
+        out = out.join(names("duplicate_name", "duplicate_of"), "duplicate_of", "left")
+    return out.orderBy(*(order or [F.desc("id")])).limit(limit)
+
+
+#: Kinds of reports.
+REPORT_TYPES = ["duplicate", "wrong_info", "inappropriate", "other"]
+
+
+def dashboard(comments: DataFrame, reports: DataFrame, photos: DataFrame, submissions: DataFrame, people: DataFrame) -> DataFrame:
+    """One row of eight counts, each table read once."""
+    n = lambda d, **tests: d.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    is_ = lambda s: F.col("status") == s
+    c = n(comments, comments_pending=is_("pending"), comments_approved=is_("approved"), comments_reported=(F.col("report_count") > 0) & ~is_("rejected"))
+    r = n(reports, reports_open=is_("open"), reports_duplicate=(F.col("report_type") == "duplicate") & is_("open"))
+    return scalars(c=c, r=r, f=n(photos, photos_pending=is_("pending")), s=n(submissions, submissions_pending=is_("pending")), p=people.agg(F.count("*").alias("people_total")))
+
+
+def guard_comments(rows: DataFrame) -> DataFrame:
+    """(rows' columns, why): cleaned comments, and why one is refused, else null; a nameless author gets the default."""
+    c = F.col
+    d = rows.withColumns({"person_id": tx.clean(c("person_id"), 40), "body": tx.clean(c("body")), "author_name": F.coalesce(F.nullif(tx.clean(c("author_name"), 60), F.lit("")), F.lit("ناشناس"))})
+    return d.withColumn("why", F.when((c("person_id") == "") | (F.char_length("body") < 2), "short"))
+
+
+def guard_reports(rows: DataFrame) -> DataFrame:
+    """Reports with a blank kind as ``other``; refused without a person or of an unknown kind."""
+    c = F.col
+    d = rows.withColumns({"person_id": tx.clean(c("person_id"), 40), "report_type": F.coalesce(F.nullif(tx.clean(c("report_type"), 30), F.lit("")), F.lit("other")), "duplicate_of": F.nullif(tx.clean(c("duplicate_of"), 40), F.lit(""))})
+    return d.withColumn("why", F.when(c("person_id") == "", "no_person").when(~c("report_type").isin(REPORT_TYPES), "bad_type"))
+
+
 def overlay(mirror: DataFrame, json: str, keys: dict[str, str]) -> DataFrame:
     """Columns overlaid by the JSON object's keys where it has them."""
     o = tx.parse_object(F.col(json))
     return mirror.withColumns({c: F.coalesce(F.try_element_at(o, F.lit(k)), F.col(c)) for c, k in keys.items()})
 
 
-def toggle_notable(people: DataFrame, ids: DataFrame) -> DataFrame:
-    """Flip notable in column and JSON together."""
-    j = people.join(ids.select(F.col("id").alias("_id")).distinct(), people.id == F.col("_id"), "left")
-    flip, new = F.col("_id").isNotNull(), ~F.coalesce("notable", F.lit(False))
-    return j.withColumns({"data_json": F.when(flip, tx.with_key(F.col("data_json"), "nt", new.cast("int"))).otherwise(F.col("data_json")), "notable": F.when(flip, new).otherwise(F.col("notable"))}).select(*people.columns)
+def set_notable(people: DataFrame, commands: DataFrame) -> DataFrame:
+    """Set notable to the value that commands (id, notable) give, in column and JSON together; one command a person, so replaying it changes nothing."""
+    j = people.join(commands.select(F.col("id").alias("_id"), F.coalesce("notable", F.lit(False)).alias("_nt")), people.id == F.col("_id"), "left")
+    told = F.col("_id").isNotNull()
+    return j.withColumns({"data_json": F.when(told, tx.with_key(F.col("data_json"), "nt", F.col("_nt"))).otherwise(F.col("data_json")), "notable": F.coalesce("_nt", "notable")}).select(*people.columns)
 
 
 def approve_photos(people: DataFrame, photos: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,11 +211,17 @@ def approve_photos(people: DataFrame, photos: DataFrame, ids: DataFrame) -> tupl
     return p, f, c.where(why.isNotNull()).select("id", why.alias("why"))
 
 
+#: Keys of an approved submission's JSON and the submission's columns.
+SNAPSHOT = {"n": "name", "ne": "name_en", "a": "age", "g": "gender", "e": "event", "c": "city", "pr": "province", "dj": "date_jalali", "ca": "cause", "oc": "occupation", "s": "story", "ph": "photo_url", "src_text": "sources"}
+
+
 def approve_submissions(submissions: DataFrame, people: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Approve pending submissions: they become reported people with an id of their own."""
     ok = submissions.join(ids.select("id").distinct(), "id", "left_semi").where("status = 'pending'")
     pid = F.concat(F.lit("jvn_"), F.substring(F.sha1(F.concat_ws("|", F.lit("submission"), F.col("id").cast("string"))), 1, 10))
-    snap = F.to_json(F.struct(pid.alias("id"), F.col("name").alias("n"), F.col("event").alias("e"), F.lit("reported").alias("v"), F.lit("user_submission").alias("_source"), F.col("id").alias("_submission_id")))
+    have = lambda c: F.col(c) if c in submissions.columns else F.lit(None).cast("string")
+    told = [have(long).alias(short) for short, long in SNAPSHOT.items()]
+    snap = F.to_json(F.struct(*told, F.lit("reported").alias("v"), F.lit("community_submission").alias("_source"), F.col("id").alias("_submission_id")), {"ignoreNullFields": "false"})
     new = ok.select(pid.alias("id"), "name", "event", "city", "photo_url", F.lit(False).alias("notable"), snap.alias("data_json"))
     done = ok.select(F.col("id").alias("_id"), pid.alias("_pid"))
     s = submissions.join(done, submissions.id == F.col("_id"), "left")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import calendar as cal
 from quern.functions import text as tx
 from quern.functions.empties import empty_list, empty_number, empty_text, truthy
 from quern.functions.similarity import ratio
 from quern.operators.components import components
+from quern.operators.stats import scalars
 from quern.sources.stage import stage
 
 #: Block sizes kept, distances of equal images and faces, rarity bounds, shares.
@@ -28,9 +30,12 @@ def is_empty(name: str) -> Column:
     return empty_number(c) if name in NUMBERS else empty_list(c) if name in LISTS else empty_text(c)
 
 
+#: Fields that the first measure of completeness counts.
+FULLNESS = ("name_en", "gender", "age", "birth_year", "date_jalali", "date_gregorian", "city", "province", "cause", "occupation", "story", "story_en", "photo_url")
+
+
 def completeness_v1() -> Column:
-    fields = ("name_en", "gender", "age", "birth_year", "date_jalali", "date_gregorian", "city", "province", "cause", "occupation", "story", "story_en", "photo_url")
-    n = sum((F.when(is_empty(f), 0).otherwise(1) for f in fields), F.lit(0))
+    n = sum((F.when(is_empty(f), 0).otherwise(1) for f in FULLNESS), F.lit(0))
     return n + F.coalesce(F.char_length("story"), F.lit(0)) / 200 + F.when(F.col("verification") == "documented", 0.5).otherwise(0) + F.when(truthy(F.col("notable")), 0.3).otherwise(0)
 
 
@@ -52,19 +57,22 @@ def block_pairs(keyed: DataFrame, cap: int, key: str = "key", id_: str = "id") -
     return k.alias("x").join(k.alias("y"), "k").where("x.i < y.i").select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
 
 
+def shared_files(prints: DataFrame, least: int = 2) -> DataFrame:
+    """(sha1, n, ids): image files that ``least`` records or more have, and the sorted set of those."""
+    return prints.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") >= least).select("sha1", "n", "ids")
+
+
 def name_keys(people: DataFrame) -> DataFrame:
-    """(id, key): name tokens each with the city, and pairs of the first two tokens."""
-    t, city = tx.name_tokens(F.col("name")), tx.norm_text(F.col("city"))
-    by_city = F.when(city != "", F.transform(t, lambda w: F.concat(F.lit("c:"), w, F.lit("|"), city)))
-    pair = F.when(F.size(t) >= 2, F.array(F.concat(F.lit("n:"), F.array_join(F.array_sort(F.slice(t, 1, 2)), " "))))
-    none = F.array().cast("array<string>")
-    return people.select("id", F.explode(F.concat(F.coalesce(by_city, none), F.coalesce(pair, none))).alias("key"))
+    """(id, key): the name's first token, if it has any, and the city's first word."""
+    first, city = F.coalesce(F.get(tx.name_tokens(F.col("name")), F.lit(0)), F.lit("")), F.split(tx.norm_text(F.col("city")), " ")[0]
+    keys = F.array(F.concat(F.lit("n:"), first), F.when(city != "", F.concat(F.lit("c:"), city)))
+    return people.select("id", F.explode(F.array_compact(keys)).alias("key"))
 
 
 def visual_keys(prints: DataFrame) -> DataFrame:
-    """(id, key): two bands of the image hash, one of the face hash, and the content hash."""
-    band = lambda c, at, tag: F.when(F.length(c) >= at + 2, F.concat(F.lit(tag), F.substring(c, at, 3)))
-    keys = F.array_compact(F.array(band(F.col("phash"), 1, "p:"), band(F.col("phash"), 33, "q:"), band(F.col("face_phash"), 1, "f:"), F.concat(F.lit("s:"), F.col("sha1"))))
+    """(id, key): two bands of three digits of the image hash, one of the face hash, and the content hash."""
+    band = lambda c, at, tag: F.when(F.col(c) != "", F.concat(F.lit(tag), F.substring(c, at, 3)))
+    keys = F.array_compact(F.array(F.when(F.col("sha1") != "", F.concat(F.lit("s:"), F.col("sha1"))), band("phash", 1, "p:"), band("phash", 4, "q:"), band("face_phash", 1, "f:")))
     return prints.select("id", F.explode(keys).alias("key"))
 
 
@@ -78,12 +86,12 @@ def visual_level(x: str, y: str) -> Column:
     """2 the same image, 1 maybe the same face, 0 neither."""
     c = lambda t, n: F.col(f"{t}.{n}")
     d = lambda n: tx.hamming_hex(c(x, n), c(y, n))
-    same = (c(x, "sha1") == c(y, "sha1")) | (d("phash") <= SAME_IMAGE) | (d("dhash") <= SAME_IMAGE) | (d("face_phash") <= SAME_FACE)
+    same = ((c(x, "sha1") != "") & (c(x, "sha1") == c(y, "sha1"))) | (d("phash") <= SAME_IMAGE) | (d("dhash") <= SAME_IMAGE) | (d("face_phash") <= SAME_FACE)
     return F.when(F.coalesce(same, F.lit(False)), 2).when(d("face_phash") <= NEAR_FACE, 1).otherwise(0)
 
 
 def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
-    """(a, b, reason, conf) of pairs that are duplicates, by the first tier that holds.
+    """(a, b, reason, conf, same_file) of pairs that are duplicates, by the first tier that holds; same_file: their images are the same bytes.
 
     Similarities run only on pairs whose cheap conditions leave them open, in passes of their own.
     """
@@ -108,17 +116,21 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
     age = yes((x("age") == y("age")) & (x("age") != 0))
     rare_date, rare_city = same("md") & yes(x("date_n") <= RARE_DATE), city & yes(x("city_n") <= RARE_CITY)
     long_story = (F.char_length(x("st")) > STORY_LEAST) & (F.char_length(y("st")) > STORY_LEAST)
-    equal, subset = (x("nm") != "") & (x("nm") == y("nm")), yes(tx.is_subset(F.split(x("nm"), " "), F.split(y("nm"), " ")))
+    equal, subset = (x("nm") != "") & (x("nm") == y("nm")), yes(tx.is_subset(x("tok"), y("tok")))
     city_token = F.arrays_overlap(F.filter(F.split(x("ct"), " "), lambda w: F.length(w) > 2), F.filter(F.split(y("ct"), " "), lambda w: F.length(w) > 2))
-    flags = {"image": F.lit(False) if prints is None else visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token), "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset, "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story}
-    j = stage(j.select("a", "b", *[yes(v).alias(k) for k, v in flags.items()], x("nm").alias("nx"), y("nm").alias("ny"), x("st").alias("sx"), y("st").alias("sy")))
+    same_file = F.lit(False) if prints is None else (x("sha1") != "") & (x("sha1") == y("sha1"))
+    flags = {"same_file": same_file, "image": F.lit(False) if prints is None else visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token), "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset, "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story}
+    # names and stories travel with the pairs that need them only, and are joined to those again
+    j = stage(j.select("a", "b", *[yes(v).alias(k) for k, v in flags.items()]))
     c = F.col
+    texts = p.select("id", "nm", "st")
+    with_texts = lambda d: d.join(texts.toDF("a", "nx", "sx"), "a").join(texts.toDF("b", "ny", "sy"), "b")
     sure = (c("equal") & (c("city") | c("ctok") | c("by") | c("image") | c("md_eq") | c("age_eq"))) | (c("subset") & (c("city") | c("ctok") | c("image") | c("by") | c("rare_date") | c("age_eq")))
     needs_story = c("long_story") & (c("image") | c("overlap") | c("city")) & ~(sure & ~c("image"))
-    with_story = j.where(needs_story).select("a", "b", (ratio(c("sx"), c("sy")) >= STORY_SHARE).alias("story"))
+    with_story = with_texts(j.where(needs_story)).select("a", "b", (ratio(c("sx"), c("sy")) >= STORY_SHARE).alias("story"))
     needs_name = c("city") & ~sure
-    with_name = j.where(needs_name).select("a", "b", (ratio(c("nx"), c("ny")) >= FUZZY_NAME).alias("fuzzy"))
-    j = j.drop("nx", "ny", "sx", "sy").join(with_story, ["a", "b"], "left").join(with_name, ["a", "b"], "left")
+    with_name = with_texts(j.where(needs_name)).select("a", "b", (ratio(c("nx"), c("ny")) >= FUZZY_NAME).alias("fuzzy"))
+    j = j.join(with_story, ["a", "b"], "left").join(with_name, ["a", "b"], "left")
     story, fuzzy = yes(c("story")), yes(c("fuzzy"))
     tier = lambda r, k: F.struct(F.lit(r).alias("reason"), F.lit(k).alias("conf"))
     got = (
@@ -128,7 +140,7 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
         .when(fuzzy & c("city") & (c("by") | c("rare_date") | story | c("image")), tier("NAME_FUZZY+strong_ctx", 0.85))
         .when(story & c("overlap"), tier("STORY+name", 0.84))
     )
-    return j.withColumn("t", got).where("t is not null").select("a", "b", "t.reason", "t.conf")
+    return j.withColumn("t", got).where("t is not null").select("a", "b", "t.reason", "t.conf", "same_file")
 
 
 def split(edges: DataFrame, strong: Column, small: int = SMALL_CLUSTER) -> DataFrame:
@@ -145,88 +157,166 @@ def split(edges: DataFrame, strong: Column, small: int = SMALL_CLUSTER) -> DataF
     return kept.unionByName(components(inner, "a", "b"))
 
 
-def is_strong(same_sha1: Column | None = None) -> Column:
-    name = F.col("reason").startswith("NAME_EQ") | F.col("reason").startswith("NAME_SUBSET")
-    return name if same_sha1 is None else name | F.coalesce(same_sha1, F.lit(False))
+#: Reasons of the name family.
+NAME_FAMILY = ["NAME_EQ+ctx", "NAME_SUBSET+ctx", "NAME_FUZZY+strong_ctx"]
+
+
+def is_strong() -> Column:
+    """Of the edges of ``score``: the same image file, or a reason of the name family."""
+    return F.col("reason").isin(NAME_FAMILY) | F.col("same_file")
+
+
+def reasons(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(component, reasons): sorted distinct reasons of the edges within each cluster."""
+    at = lambda k, n: clusters.select(F.col("node").alias(k), F.col("component").alias(n))
+    inner = edges.join(at("a", "component"), "a").join(at("b", "_other"), "b").where(F.col("component") == F.col("_other"))
+    return inner.groupBy("component").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def merge(people: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge(people: DataFrame, clusters: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(people after merging, audit): the most complete record of a cluster survives.
 
     Empty fields take the first value in order of completeness, the longer story wins, lists
     are united in that order, notable if any is. A differing age or photo is logged. Ties go
-    by id. Clusters are record-sized groups.
+    by id. The audit has what changed: field, value before and after, and the record it is
+    from; and, given ``edges``, the reasons of each cluster. Clusters are record-sized groups.
     """
     c = F.col
     m = people.join(clusters, people.id == clusters.node).drop("node")
     m = m.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(completeness().desc(), "id")))
     plain = [x for x in people.columns if x not in ("id", "story", "story_en", "notable", *LISTS)]
+    longer = [x for x in ("story", "story_en") if x in people.columns]
     first = lambda n: F.min_by(c(n), F.when(~is_empty(n), c("rank"))).alias(n)
     longest = lambda n: F.max_by(c(n), F.struct(F.coalesce(F.char_length(n), F.lit(0)), -c("rank"))).alias(n)
     ranked = lambda n: F.array_sort(F.collect_list(F.struct("rank", c(n).alias("v"))))
     united = lambda n: F.aggregate(ranked(n), F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, F.coalesce(r["v"], F.array().cast("array<string>")))).alias(n)
     others = lambda n: F.array_sort(F.collect_set(F.when((c("rank") > 1) & ~is_empty(n), c(n).cast("string"))))
+    # of each field that may change: the base's value, and the record that the new one is from
+    base = lambda n: F.min_by(c(n).cast("string"), "rank").alias(f"_was_{n}")
+    source = lambda n: F.min_by("id", F.when(~is_empty(n), c("rank"))).alias(f"_by_{n}")
+    origin = lambda n: F.max_by("id", F.struct(F.coalesce(F.char_length(n), F.lit(0)), -c("rank"))).alias(f"_by_{n}")
     g = m.groupBy("component").agg(
-        F.min_by("id", "rank").alias("id"), *map(first, plain), longest("story"), longest("story_en"), F.bool_or(F.coalesce("notable", F.lit(False))).alias("notable"), *map(united, LISTS),
+        F.min_by("id", "rank").alias("id"), *map(first, plain), *map(longest, longer), F.bool_or(F.coalesce("notable", F.lit(False))).alias("notable"), *map(united, LISTS),
         F.array_sort(F.collect_list(F.when(c("rank") > 1, c("id")))).alias("merged_ids"), F.array_sort(F.collect_list(F.when(c("rank") > 1, c("name")))).alias("merged_names"),
-        others("age").alias("ages"), others("photo_url").alias("photos"),
+        others("age").alias("ages"), others("photo_url").alias("photos"), *map(base, plain + longer), *map(source, plain), *map(origin, longer),
     )
-    audit = g.select(c("id").alias("kept_id"), c("name").alias("kept_name"), "merged_ids", "merged_names", F.array_except("ages", F.array(c("age").cast("string"))).alias("age_conflicts"), F.array_except("photos", F.array("photo_url")).alias("alt_photos"))
+    show = lambda n: F.when((c(n).cast("string") != "") & ~c(n).cast("string").eqNullSafe(c(f"_was_{n}")), F.struct(F.lit(n).alias("field"), F.substring(c(f"_was_{n}"), 1, 40).alias("before"), F.substring(c(n).cast("string"), 1, 40).alias("after"), c(f"_by_{n}").alias("src")))
+    g = g.withColumn("changes", F.array_compact(F.array(*map(show, plain + longer))))
+    audit = g.select("component", c("id").alias("kept_id"), c("name").alias("kept_name"), "merged_ids", "merged_names", "changes", F.array_except("ages", F.array(c("age").cast("string"))).alias("age_conflicts"), F.array_except("photos", F.array("photo_url")).alias("alt_photos"))
+    if edges is not None:
+        audit = audit.join(reasons(edges, clusters), "component", "left")
     rest = people.join(clusters, people.id == clusters.node, "left_anti")
-    return rest.unionByName(g.select(*people.columns)), audit
+    return rest.unionByName(g.select(*people.columns)), audit.drop("component")
+
+
+def merge_summary(people: DataFrame, after: DataFrame, audit: DataFrame) -> DataFrame:
+    """One row: records before and after, clusters, records removed."""
+    n = lambda d, k: d.agg(F.count("*").alias(k))
+    return scalars(b=n(people, "before"), a=n(after, "after"), c=audit.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.size("merged_ids")), F.lit(0)).alias("removed")))
+
+
+@F.pandas_udf(T.BooleanType())
+def all_related(names: pd.Series) -> pd.Series:
+    """Whether every two of a group's names (as token arrays in their text) are a subset of each other or alike."""
+    from difflib import SequenceMatcher
+
+    def related(a: str, b: str) -> bool:
+        short, long = sorted(([w for w in x.split() if len(w) > 1] for x in (a, b)), key=len)
+        rest = iter(long)
+        return (bool(short) and (short == long or (len(short) > 1 and all(w in rest for w in short)))) or bool(a and b) and SequenceMatcher(None, a, b).ratio() >= FUZZY_NAME
+
+    return pd.Series([all(related(a, b) for i, a in enumerate(x) for b in x[i + 1 :]) for x in map(list, names)], dtype=bool)
 
 
 def review(people: DataFrame, prints: DataFrame, removed: DataFrame) -> DataFrame:
     """(sha1, ids): records that share an image though not all their names are related.
 
-    Exact and subset relations are native; the fuzzy one runs on the pairs left.
+    The least and the greatest name of an image settle nearly all of them: an image of
+    many unlike people is told by those two, and its names are never gathered. Only of images
+    whose two are related the distinct names, spellings of one by then, are compared.
     """
-    p = people.join(removed, people.id == removed.removed_id, "left_anti").join(prints.select("id", "sha1"), "id").where("sha1 is not null")
-    p = p.select("id", "sha1", tx.norm_name(F.col("name")).alias("nm"))
-    pairs = p.alias("x").join(p.alias("y"), "sha1").where("x.id < y.id").select("sha1", F.col("x.nm").alias("nx"), F.col("y.nm").alias("ny"))
-    pairs = pairs.distinct()
-    cheap = (F.col("nx") == F.col("ny")) | F.coalesce(tx.is_subset(F.split("nx", " "), F.split("ny", " ")), F.lit(False))
-    apart = pairs.where(~cheap).withColumn("r", ratio(F.col("nx"), F.col("ny"))).where(F.col("r") < FUZZY_NAME).select("sha1").distinct()
+    p = people.join(removed, people.id == removed.removed_id, "left_anti").join(prints.select("id", "sha1"), "id").where("sha1 != ''")
+    p = stage(p.select("id", "sha1", tx.norm_name(F.col("name")).alias("nm")).distinct())
+    two = p.groupBy("sha1").agg(F.min("nm").alias("lo"), F.max("nm").alias("hi")).where("lo != hi")
+    two = stage(two.select("sha1", all_related(F.array("lo", "hi")).alias("near")))
+    close = p.join(two.where("near"), "sha1", "left_semi").groupBy("sha1").agg(F.array_sort(F.collect_set("nm")).alias("names"))
+    apart = two.where("NOT near").select("sha1").unionByName(close.where(~all_related(F.col("names"))).select("sha1"))
     return p.join(apart, "sha1", "left_semi").groupBy("sha1").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def greedy_dedup(people: DataFrame) -> DataFrame:
-    """(id, keeper): the conservative first pass, star-shaped around each seed in file order.
+def conservative_dedup(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """People after the conservative first pass, and (name, kept_id, kept_event, removed_id, removed_event).
 
-    Within one normalised name (a group of homonyms), rows in order of ``ordinal``: a row joins
-    the first seed with a similar story, or the same city and day with further evidence.
+    Within one normalised name, rows in order of ``ordinal``: each row not yet removed is a
+    seed and gathers the later rows with a similar story, or the same city and day with
+    further evidence. The fullest of them stays and takes what it lacks from the others,
+    with sources united and sorted; a keeper may be gathered again by a later seed, and
+    is compared as it is by then. Depends on the order of rows, so a name is one task;
+    names are record-sized groups.
     """
-    cols = people.select("id", "ordinal", tx.norm_name_v1(F.col("name")).alias("nm"), tx.norm_text_v1(F.col("story")).alias("st"), tx.norm_text_v1(F.col("city")).alias("ct"), cal.month_day_text(F.col("date_jalali")).alias("md"), "age", "birth_year", completeness_v1().alias("full")).where("nm != ''")
+    cols = people.withColumns({"__nm": tx.norm_name_v1(F.col("name")), "__st": tx.norm_text_v1(F.col("story")), "__ct": F.trim(F.coalesce("city", F.lit(""))), "__md": cal.month_day_text(F.col("date_jalali"))})
+    single = cols.where("__nm = ''")
+    many = cols.where("__nm != ''")
+    kept, fields = people.columns, [f for f in people.columns if f not in ("id", "event", "ordinal")]
+    whole = {f.name for f in people.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
+    out_schema = T.StructType([*people.schema.fields, T.StructField("__into", people.schema["id"].dataType), T.StructField("__at", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
         share = lambda a, b: SequenceMatcher(None, a, b).ratio()
-        rows = pdf.sort_values("ordinal").to_dict("records")
+        rows = [{k: (v.tolist() if hasattr(v, "tolist") and getattr(v, "ndim", 0) else v) for k, v in r.items()} for r in pdf.sort_values("ordinal").to_dict("records")]
+        none = lambda v: v is None or (not isinstance(v, (list, str)) and pd.isna(v))
+        empty = lambda v: none(v) or v in ("", 0, [])
 
         def alike(s: dict, o: dict) -> bool:
-            told = len(s["st"]) > 25 and len(o["st"]) > 25
-            near = share(s["st"], o["st"]) if told else 0.0
+            told = len(s["__st"]) > 25 and len(o["__st"]) > 25
+            near = share(s["__st"], o["__st"]) if told else 0.0
             if near > 0.82:
                 return True
-            a, b = s["ct"], o["ct"]
+            a, b = s["__ct"], o["__ct"]
             place = bool(a and b and (a in b or b in a or share(a, b) > 0.7))
-            if not (place and s["md"] and s["md"] == o["md"]):
+            if not (place and s["__md"] and s["__md"] == o["__md"]):
                 return False
-            agree = any(pd.notna(s[k]) and s[k] and s[k] == o[k] for k in ("age", "birth_year"))
-            return near > 0.6 or agree or not s["st"] or not o["st"]
-
-        used, out = set(), []
+            agree = any(not empty(s[k]) and s[k] == o[k] for k in ("age", "birth_year"))
+            return near > 0.6 or agree or not s["__st"] or not o["__st"]
+
+        def absorb(keeper: dict, other: dict) -> None:
+            for k in fields:
+                v = other[k]
+                if empty(v):
+                    continue
+                if empty(keeper[k]):
+                    keeper[k] = v
+                elif k == "sources":
+                    keeper[k] = sorted(set(keeper[k]) | set(v))
+            for k, of in (("__st", "story"), ("__ct", "city"), ("__md", "date_jalali")):
+                if not keeper[k] and not empty(keeper[of]):  # filled just now
+                    keeper[k] = other[k]
+
+        def fullness(r: dict) -> float:
+            n = sum(not empty(r[f]) for f in FULLNESS)
+            return n + len(r["story"] or "") / 200 + 0.5 * (r["verification"] == "documented") + 0.3 * bool(not none(r["notable"]) and r["notable"])
+
+        gone: dict[int, tuple] = {}
         for i, s in enumerate(rows):
-            if i in used:
+            if i in gone:
                 continue
-            star = [i, *(k for k in range(i + 1, len(rows)) if k not in used and alike(s, rows[k]))]
-            used.update(star)
-            best = max(star, key=lambda k: (rows[k]["full"], -k))
-            out += [(rows[k]["id"], rows[best]["id"]) for k in star]
-        return pd.DataFrame(out, columns=["id", "keeper"])
-
-    return cols.groupBy("nm").applyInPandas(run, f"id {people.schema['id'].dataType.simpleString()}, keeper {people.schema['id'].dataType.simpleString()}")
+            star = [i, *(k for k in range(i + 1, len(rows)) if k not in gone and alike(s, rows[k]))]
+            best = max(star, key=lambda k: (fullness(rows[k]), -k))
+            for k in star:
+                if k != best:
+                    absorb(rows[best], rows[k])
+                    gone[k] = (rows[best]["id"], len(gone))
+        plain = lambda f, v: None if none(v) else int(v) if f in whole else v
+        out = pd.DataFrame([{**{f: plain(f, r[f]) for f in kept}, "__into": gone.get(k, (None,))[0], "__at": gone.get(k, (None, None))[1]} for k, r in enumerate(rows)], columns=out_schema.names, dtype=object)
+        return out
+
+    done = stage(many.groupBy("__nm").applyInPandas(run, out_schema))
+    after = done.where("__into IS NULL").select(*people.columns).unionByName(single.select(*people.columns))
+    keepers = people.select(F.col("id").alias("__into"), F.col("event").alias("kept_event"))
+    audit = done.where("__into IS NOT NULL").join(keepers, "__into", "left")
+    return after, audit.select(tx.norm_name_v1(F.col("name")).alias("name"), F.col("__into").alias("kept_id"), "kept_event", F.col("id").alias("removed_id"), F.col("event").alias("removed_event"))
 
 
 def apply_merges(people: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

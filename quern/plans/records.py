@@ -31,7 +31,7 @@ def top15_groups(spark, d):
 
 
 def rounded_mean(spark, d):
-    return table(spark, d, "part").agg(F.count("*").alias("total"), F.count_if(c("p_size") < 18).alias("under"), F.round(F.avg("p_size")).cast("long").alias("mean"))
+    return st.ages(table(spark, d, "part"), "p_size")
 
 
 def dashboard_counts(spark, d):
@@ -42,29 +42,13 @@ def dashboard_counts(spark, d):
 
 
 def stats_distinct(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("kinds"))
+    return st.distinct_counts(table(spark, d, "events"), users="user_id", kinds="event_type")
 
 
 def dependent_counts(spark, d):
     cu = table(spark, d, "customer").select("c_custkey")
-    o = table(spark, d, "orders").groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
-    e = table(spark, d, "events").groupBy(c("user_id").alias("c_custkey")).agg(F.count("*").alias("events"))
-    v = table(spark, d, "conversations").groupBy(c("conv_id").alias("c_custkey")).agg(F.count("*").alias("turns"))
-    out = cu.join(o, "c_custkey", "left").join(e, "c_custkey", "left").join(v, "c_custkey", "left")
-    return out.select("c_custkey", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("orders", "events", "turns")])
-
-
-def queue_reported_first(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'")
-    cu = table(spark, d, "customer").select(c("c_custkey").alias("user_id"), "c_name")
-    return e.join(cu, "user_id", "left").orderBy(F.desc("value"), F.desc("event_id")).limit(300).select("event_id", "user_id", "c_name")
-
-
-def queue_double_self_join(spark, d):
-    li, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_name")
-    a, z = p.alias("a"), p.alias("z")
-    out = li.join(a, c("l_partkey") == c("a.p_partkey"), "left").join(z, c("l_suppkey") == c("z.p_partkey"), "left")
-    return out.orderBy(F.desc("l_orderkey"), F.desc("l_linenumber")).limit(300).select("l_orderkey", "l_linenumber", c("a.p_name").alias("person"), c("z.p_name").alias("duplicate_of"))
+    deps = {"orders": (table(spark, d, "orders"), "o_custkey"), "events": (table(spark, d, "events"), "user_id"), "turns": (table(spark, d, "conversations"), "conv_id")}
+    return st.dependents(cu, "c_custkey", deps)
 
 
 def semi_accept(spark, d):
@@ -79,14 +63,6 @@ def upsert_settings(spark, d):
     return mod.upsert(old, e.where("event_id % 2 = 1").select("user_id", "event_id", "event_type"), "user_id", [F.desc("event_id")])
 
 
-def patch_overlay(spark, d):
-    cu = table(spark, d, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), (c("c_custkey") % 100).cast("int").alias("age"), F.when(c("c_custkey") % 3 == 0, "broken{").otherwise(F.to_json(F.struct(c("c_mktsegment").alias("n")))).alias("data_json"))
-    k = c("id") % 4
-    p = cu.select("id", F.when(k == 0, F.create_map(F.lit("name"), F.lit("  "))).when(k == 1, F.create_map(F.lit("age"), F.lit("44 years"))).when(k == 2, F.create_map(F.lit("age"), F.lit("500"), F.lit("name"), F.lit(" New "))).alias("fields"))
-    out = mod.patch(cu, p.where("fields is not null"), {"name": "text", "age": "int"})
-    return mod.overlay(out, "data_json", {"name": "nick"}).select("id", "name", "age")
-
-
 def settings_gate(spark, d):
     rows = table(spark, d, "region").select("r_regionkey", "r_name")
     s = spark.createDataFrame([("comments", "1"), ("photos", "0")], "key string, value string")
@@ -100,8 +76,8 @@ def session_expiry(spark, d):
     e = table(spark, d, "events")
     s = e.select(c("event_id").alias("token"), c("user_id").alias("admin_id"), (c("ts") + F.make_dt_interval(hours=F.lit(12))).alias("expires_at"))
     a = table(spark, d, "customer").select(c("c_custkey").alias("id"), (c("c_custkey") % 5 != 0).alias("is_active"))
-    now = e.agg(F.max("ts")).first()[0]
-    return mod.valid_sessions(s, a, F.lit(now).cast("timestamp_ntz")).groupBy("state").agg(F.count("*").alias("n"))
+    now = e.agg(F.max("ts").alias("now"))  # one row, joined to the sessions when they are read
+    return mod.valid_sessions(s.crossJoin(now), a, c("now")).groupBy("state").agg(F.count("*").alias("n"))
 
 
 def status_transitions(spark, d):
@@ -147,22 +123,17 @@ def conformance_violations(spark, d):
     return S.conformance(table(spark, d, "part"), rules, "p_partkey")
 
 
-def csv_projection(spark, d):
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), "; ").alias("types"))
-    return p
-
-
 def enrich_fill(spark, d):
-    """Quality labels fill texts' empty fields; passages of the benchmark's first items are no source."""
+    """Quality labels fill texts' empty fields."""
     t = table(spark, d, "documents").select("doc_id", F.when(c("doc_id") % 3 == 0, c("lang")).otherwise("").alias("v"), c("lang"))
     l = table(spark, d, "labels").select("doc_id", c("quality").cast("string").alias("q"))
     return t.join(l, "doc_id", "left").select("doc_id", en.fill(c("v"), c("q")).alias("v"))
 
 
 def choose_files(spark, d):
-    p = table(spark, d, "pages").select(c("page_id").alias("id"), F.concat(F.lit("t"), (c("page_id") % 7).cast("string")).alias("title"), F.when(c("page_id") % 2 == 0, F.concat(c("url"), F.lit("/Rally.png"))).alias("wd_image"), F.when(c("page_id") % 3 == 0, c("url")).alias("fa_image"), F.lit("").alias("en_image"))
+    p = table(spark, d, "pages").select(c("page_id").alias("id"), F.concat(F.lit("t"), (c("page_id") % 7).cast("string")).alias("title"), F.when(c("page_id") % 2 == 0, F.concat(F.lit("Rally "), c("page_id").cast("string"), F.lit(".png"))).when(c("page_id") % 5 == 0, "A*b é~.jpg").alias("wd_image"), F.when(c("page_id") % 3 == 0, c("url")).alias("fa_image"), F.lit("").alias("en_image"))
     bl = spark.createDataFrame([("t3",)], "title string")
-    return en.choose_image(p, bl).select("id", "status", "source")
+    return en.choose_image(p, bl).select("id", "status", "source", "url")
 
 
 def revert_vs_backup(spark, d):
@@ -201,15 +172,10 @@ QUERIES = {
     "dependent_counts": (dependent_counts, """SELECT c_custkey, coalesce(o.n, 0) AS orders, coalesce(e.n, 0) AS events, coalesce(v.n, 0) AS turns FROM customer
       LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON o.k = c_custkey LEFT JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) e ON e.k = c_custkey
       LEFT JOIN (SELECT conv_id AS k, count(*) AS n FROM conversations GROUP BY 1) v ON v.k = c_custkey"""),
-    "queue_reported_first": (queue_reported_first, "SELECT event_id, user_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'error' ORDER BY value DESC, event_id DESC LIMIT 300"),
-    "queue_double_self_join": (queue_double_self_join, """SELECT l_orderkey, l_linenumber, a.p_name AS person, z.p_name AS duplicate_of FROM lineitem LEFT JOIN part a ON l_partkey = a.p_partkey
-      LEFT JOIN part z ON l_suppkey = z.p_partkey ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 300"""),
     "semi_accept": (semi_accept, """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'accepted' ELSE 'rejected' END AS kind, source, count(*) AS n FROM documents GROUP BY ALL"""),
     "upsert_settings": (upsert_settings, """WITH o AS (SELECT user_id, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY 1),
       n AS (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 1 GROUP BY 1)
       SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n)"""),
-    "patch_overlay": (patch_overlay, """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 2 THEN 'New' ELSE c_name END AS name,
-      CASE c_custkey % 4 WHEN 1 THEN 44 WHEN 2 THEN NULL ELSE (c_custkey % 100)::INT END AS age FROM customer"""),
     "settings_gate": (settings_gate, "SELECT 'on' AS k, r_name FROM region UNION ALL SELECT 'default', 'dflt'"),
     "session_expiry": (session_expiry, f"""SELECT CASE WHEN c_custkey % 5 = 0 THEN 'inactive' WHEN ts + INTERVAL 12 HOUR < {_SESS} THEN 'expired' ELSE 'ok' END AS state, count(*) AS n
       FROM events JOIN customer ON c_custkey = user_id GROUP BY 1"""),
@@ -233,10 +199,10 @@ QUERIES = {
       SELECT event_id, user_id, allowed FROM w"""),
     "conformance_violations": (conformance_violations, """SELECT p_partkey, 'size_range' AS violation FROM part WHERE NOT p_size BETWEEN 1 AND 40
       UNION ALL SELECT p_partkey, 'brand_pattern' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]$') UNION ALL SELECT p_partkey, 'price' FROM part WHERE NOT p_retailprice > 1000"""),
-    "csv_projection": (csv_projection, "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types FROM part GROUP BY 1"),
     "enrich_fill_if_empty": (enrich_fill, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE coalesce(quality::VARCHAR, '') END AS v FROM documents LEFT JOIN labels USING (doc_id)"),
-    "choose_image": (choose_files, """SELECT page_id AS id, CASE WHEN page_id % 7 = 3 THEN 'blacklist' WHEN page_id % 3 = 0 THEN 'accept' ELSE 'need_search' END AS status,
-      CASE WHEN page_id % 7 <> 3 AND page_id % 3 = 0 THEN 'wiki_fa' END AS source FROM pages"""),
+    "choose_image": (choose_files, """WITH x AS (SELECT *, page_id % 7 = 3 AS bl, page_id % 2 = 1 AND page_id % 5 = 0 AS wd, page_id % 3 = 0 AS fa FROM pages)
+      SELECT page_id AS id, CASE WHEN bl THEN 'blacklist' WHEN wd OR fa THEN 'wiki' ELSE 'need_search' END AS status, CASE WHEN bl THEN NULL WHEN wd THEN 'wikidata_P18' WHEN fa THEN 'fa_pageimage' END AS source,
+        CASE WHEN bl THEN NULL WHEN wd THEN 'https://commons.wikimedia.org/wiki/Special:FilePath/A%2Ab_%C3%A9~.jpg?width=600' WHEN fa THEN url END AS url FROM x"""),
     "revert_vs_backup": (revert_vs_backup, """SELECT CASE WHEN o_orderkey % 2 = 0 AND strftime(o_orderdate, '%y') <> '95' THEN 'moved' ELSE o_orderpriority END AS event, count(*) AS n FROM orders GROUP BY 1"""),
     "reclassify_trust_order": (reclassify_trust_order, """WITH o AS (SELECT o_orderkey % 4 AS k, o_orderkey % 5 AS s, (year(o_orderdate) - 595)::INT AS y FROM orders),
       e AS (SELECT * FROM (VALUES (1397, 'mordad_97'), (1398, 'aban_98'), (1400, 'khuzestan_1400'), (1401, 'khizesh_1401'), (1402, 'dey_1402'), (1403, 'dey_1403'), (1404, 'khizesh_1404')) v(y, event)),

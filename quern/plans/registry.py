@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import browsing, records, resolution, texts
+from quern.plans import browsing, curation, moderating, publishing, records, resolution, texts
 
-FAMILIES = (browsing, texts, records, resolution)
+FAMILIES = (browsing, texts, records, resolution, curation, publishing, moderating)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

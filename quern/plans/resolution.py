@@ -17,9 +17,8 @@ c = F.col
 
 
 def exact_dup_groups(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.sha1("text").alias("h"))
-    g = t.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return g.where("n >= 2")
+    t = table(spark, d, "documents").select(c("doc_id").alias("id"), F.sha1("text").alias("sha1"))
+    return r.shared_files(t).select("sha1", "n", F.md5(F.array_join("ids", ";")).alias("ids"))
 
 
 def rarity_weights(spark, d):
@@ -33,7 +32,7 @@ def keyed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_pairs(spark, d):
-    return r.block_pairs(keyed(spark, d), 40)
+    return r.block_pairs(keyed(spark, d), r.NAME_CAP)
 
 
 def bits(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +54,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     """Equal first 40 characters, or equal texts: a star per group."""
     t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("k"), F.sha1("text").alias("h"))
     e = None
-    for key, why in (("k", "NAME_EQ"), ("h", "STORY")):
+    for key, why in (("k", "STORY+name"), ("h", "NAME_EQ+ctx")):
         low = t.groupBy(key).agg(F.min("doc_id").alias("a"))
-        one = t.join(low, key).where("doc_id != a").select("a", c("doc_id").alias("b"), F.lit(why).alias("reason"))
+        one = t.join(low, key).where("doc_id != a").select("a", c("doc_id").alias("b"), F.lit(why).alias("reason"), F.lit(False).alias("same_file"))
         e = one if e is None else e.unionByName(one)
     return e
 
@@ -67,7 +66,8 @@ def dup_components(spark, d):
 
 
 def chain_split(spark, d):
-    return r.split(edges(spark, d), c("reason") == "STORY")
+    """Large components hold together by equal texts alone, which stand for equal names."""
+    return r.split(edges(spark, d), r.is_strong())
 
 
 #: Documents of a block that meet those of another part of it in one task.
@@ -111,14 +111,14 @@ def fuzzy_ratio(spark, d):
 
 
 def people(spark: SparkSession, d: str, deal: bool = False) -> DataFrame:
-    """Orders as records: names repeat by customer, cities by nation of it."""
+    """Orders as records: names repeat by customer, cities by nation and key."""
     o, cu = table(spark, d, "orders"), table(spark, d, "customer")
     t = (dealt(o) if deal else o).join(cu, c("o_custkey") == c("c_custkey"))
     s = lambda x: F.lit(x).cast("string")
     return t.select(
-        F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("id"), F.concat(F.lit("person "), c("c_name")).alias("name"), s(None).alias("name_en"), c("o_orderpriority").alias("event"), s(None).alias("gender"),
+        F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("id"), F.concat(F.substring("c_name", 10, 9), F.lit(" person")).alias("name"), s(None).alias("name_en"), c("o_orderpriority").alias("event"), s(None).alias("gender"),
         F.when(c("o_orderkey") % 3 == 0, (c("o_orderkey") % 80).cast("int")).alias("age"), s(None).cast("int").alias("birth_year"), F.date_format("o_orderdate", "'13'yy/MM/dd").alias("date_jalali"), s(None).alias("date_gregorian"),
-        F.concat(F.lit("city"), (c("c_nationkey") % 5).cast("string")).alias("city"), s(None).alias("province"), s(None).alias("cause"), s(None).alias("occupation"), F.when(c("o_orderkey") % 2 == 0, c("o_orderstatus")).alias("story"), s(None).alias("story_en"),
+        F.concat(F.lit("city"), (c("c_nationkey") + 25 * (c("o_orderkey") % 400)).cast("string")).alias("city"), s(None).alias("province"), s(None).alias("cause"), s(None).alias("occupation"), F.when(c("o_orderkey") % 2 == 0, c("o_orderstatus")).alias("story"), s(None).alias("story_en"),
         F.when(c("o_orderkey") % 5 == 0, F.lit("http://p")).alias("photo_url"), F.array(c("o_orderstatus")).alias("memorial_links"), (c("o_totalprice") > 300000).alias("notable"), F.lit("reported").alias("verification"), F.array(c("o_orderpriority")).alias("sources"),
     )
 
@@ -136,16 +136,9 @@ def survivor_merge(spark, d):
     return r.merge(p, cl)[0].select("id", "age", "story", "photo_url", "notable", F.array_join("sources", ";").alias("sources"))
 
 
-def review_groups(spark, d):
-    """Equal texts under different sources."""
-    t = table(spark, d, "documents").select(F.lpad(c("doc_id").cast("string"), 12, "0").alias("id"), c("source").alias("name"), F.sha1("text").alias("sha1"))
-    g = t.groupBy("sha1").agg(F.count_distinct("name").alias("names"), F.count("*").alias("n"))
-    return g.where("names > 1")
-
-
 _KEY = "lang || '|' || lower(array_to_string(list_slice(string_split(string_split(text, chr(10))[1], ' '), 1, 2), ' '))"
 _EDGES = """t AS (SELECT doc_id, substr(text, 1, 40) AS k, sha1(text) AS h FROM documents),
-  e AS (SELECT min(doc_id) OVER (PARTITION BY k) AS a, doc_id AS b, 'NAME_EQ' AS reason FROM t UNION ALL SELECT min(doc_id) OVER (PARTITION BY h), doc_id, 'STORY' FROM t),
+  e AS (SELECT min(doc_id) OVER (PARTITION BY k) AS a, doc_id AS b, 'STORY+name' AS reason FROM t UNION ALL SELECT min(doc_id) OVER (PARTITION BY h), doc_id, 'NAME_EQ+ctx' FROM t),
   g AS (SELECT * FROM e WHERE a <> b)"""
 _P = """p AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, c_name AS name, strftime(o_orderdate, '13%y/%m/%d') AS dj, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 80)::INT END AS age,
     CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS story, CASE WHEN o_orderkey % 5 = 0 THEN 'http://p' END AS photo_url, o_totalprice > 300000 AS notable, o_orderpriority AS src
@@ -154,10 +147,10 @@ _P = """p AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, c_name AS name, s
       1 + CASE WHEN story IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN photo_url IS NOT NULL THEN 4 ELSE 0 END + 3 + 2 + CASE WHEN age IS NOT NULL AND age <> 0 THEN 1 ELSE 0 END
       + coalesce(length(story), 0) / 100 + 1 + CASE WHEN notable THEN 5 ELSE 0 END DESC, id) AS rank FROM p)"""
 QUERIES = {
-    "exact_dup_groups": (exact_dup_groups, 'SELECT sha1(text) AS h, count(*) AS n, min(doc_id) AS "first", max(doc_id) AS "last" FROM documents GROUP BY 1 HAVING count(*) >= 2'),
+    "exact_dup_groups": (exact_dup_groups, "SELECT sha1(text) AS sha1, count(*)::INT AS n, md5(string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id)) AS ids FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"),
     "rarity_weights": (rarity_weights, """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%m-%d') END AS md FROM orders)
       SELECT o_orderkey, md, CASE WHEN md IS NOT NULL THEN count(*) OVER (PARTITION BY md) END AS md_n, CASE WHEN md IS NOT NULL THEN count(*) OVER (PARTITION BY md) <= 25 END AS rare FROM o"""),
-    "block_pairs": (block_pairs, f"""WITH t AS (SELECT doc_id AS id, {_KEY} AS key, count(*) OVER (PARTITION BY {_KEY}) AS n FROM documents), s AS (SELECT * FROM t WHERE n BETWEEN 2 AND 40)
+    "block_pairs": (block_pairs, f"""WITH t AS (SELECT doc_id AS id, {_KEY} AS key, count(*) OVER (PARTITION BY {_KEY}) AS n FROM documents), s AS (SELECT * FROM t WHERE n BETWEEN 2 AND 800)
       SELECT x.id AS a, y.id AS b FROM s x JOIN s y USING (key) WHERE x.id < y.id"""),
     "hamming_bands": (hamming_bands, """WITH b AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << (63 - i)::INT) ELSE 0 END))::HUGEINT AS v FROM embeddings),
       k AS (SELECT id, 'p' || (v >> 52)::VARCHAR AS key FROM b UNION ALL SELECT id, 'q' || ((v >> 20) & 4095)::VARCHAR FROM b),
@@ -168,7 +161,7 @@ QUERIES = {
       SELECT node, min(comp) AS component FROM r GROUP BY 1"""),
     "chain_split": (chain_split, f"""WITH RECURSIVE {_EDGES}, z AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r AS (SELECT a AS node, a AS comp FROM z UNION SELECT z.b, r.comp FROM r JOIN z ON z.a = r.node),
       k AS (SELECT node, min(comp) AS component FROM r GROUP BY 1), n AS (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM k),
-      y AS (SELECT z.a, z.b FROM (SELECT a, b FROM g WHERE reason = 'STORY' UNION SELECT b, a FROM g WHERE reason = 'STORY') z JOIN n ON n.node = z.a WHERE n.size > 4),
+      y AS (SELECT z.a, z.b FROM (SELECT a, b FROM g WHERE reason = 'NAME_EQ+ctx' UNION SELECT b, a FROM g WHERE reason = 'NAME_EQ+ctx') z JOIN n ON n.node = z.a WHERE n.size > 4),
       q AS (SELECT a AS node, a AS comp FROM y UNION SELECT y.b, q.comp FROM q JOIN y ON y.a = q.node)
       SELECT node, component FROM n WHERE size <= 4 UNION ALL SELECT node, min(comp) FROM q GROUP BY 1"""),
     "fuzzy_ratio": (fuzzy_ratio, None),
@@ -178,5 +171,4 @@ QUERIES = {
         min_by(photo_url, rank) FILTER (photo_url IS NOT NULL) AS photo_url, bool_or(notable) AS notable,
         array_to_string(list_filter(list(src ORDER BY rank), lambda x, i: NOT list_contains(list_slice(list(src ORDER BY rank), 1, i - 1), x)), ';') AS sources
       FROM w GROUP BY name, dj"""),
-    "review_groups": (review_groups, "SELECT sha1(text) AS sha1, count(DISTINCT source) AS names, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1"),
 }

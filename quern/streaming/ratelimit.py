@@ -34,7 +34,8 @@ def decide(times: np.ndarray, most: int, window: int, count: int = 0, start: int
 def rate_limit(events: DataFrame, key: str, ts: str, tie: str, most: int, window_seconds: int) -> DataFrame:
     """``events`` with a column allowed: rows sorted by key and time stream through one carried state a task.
 
-    A hot key is read in batches and never held whole.
+    A hot key is read in batches and never held whole. Rows with a blank key are allowed
+    where they are, without being dealt.
     """
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
     names = schema.names
@@ -55,8 +56,9 @@ def rate_limit(events: DataFrame, key: str, ts: str, tie: str, most: int, window
                 ok[a:b], count, start = decide(micros[a:b], most, window_seconds * 1_000_000, count, start)
             yield pdf.assign(allowed=ok)[names]
 
-    src = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "__us", tie)
-    return src.mapInPandas(run, schema)
+    blank = F.coalesce(F.col(key).cast("string") == "", F.lit(True))
+    src = events.where(~blank).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "__us", tie)
+    return src.mapInPandas(run, schema).unionByName(events.where(blank).withColumn("allowed", F.lit(True)))
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, tie: str, most: int, window_seconds: int) -> DataFrame:

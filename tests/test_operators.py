@@ -43,7 +43,13 @@ def test_text_functions(spark):
     assert q(tx.hamming_hex(F.lit("f" * 64), F.lit("0" * 64))) == 256 and q(tx.hamming_hex(F.lit("ff"), F.lit("f"))) == 999
     assert q(tx.int_prefix(F.lit("12abc"))) == 12 and q(tx.int_prefix(F.lit("200"))) is None and q(tx.int_prefix(F.lit("x"))) is None
     assert q(tx.bump_minor(F.lit("1.2.3"))) == "1.3.0" and q(tx.bump_minor(F.lit("x"))) == "1.1.0"
-    assert json.loads(q(tx.with_key(F.lit("bad{"), "nt", F.lit(1)))) == {"nt": "1"}
+    assert json.loads(q(tx.with_key(F.lit("bad{"), "nt", F.lit(True)))) == {"nt": True} and json.loads(q(tx.with_key(F.lit(None).cast("string"), "ph", F.lit('a"b')))) == {"ph": 'a"b'}
+    kept = '{"b":1.5,"a":"x\\"y","n":null,"l":[1,{"k":"v"}],"t":true}'
+    assert json.loads(q(tx.with_key(F.lit(kept), "a", F.lit(None).cast("string")))) == json.loads(kept) | {"a": None}
+    assert list(json.loads(q(tx.with_key(F.lit(kept), "n", F.lit(3))))) == list("banlt") and json.loads(q(tx.with_key(F.lit(kept), "z", F.lit("ی"))))["z"] == "ی"
+    assert q(tx.media_file(F.lit("https://c.org/wiki/Special:FilePath/A%20b.jpg?width=6"))) == ("A b.jpg", "commons.wikimedia.org") and q(tx.media_file(F.lit("https://x/q.png"))) is None
+    assert q(tx.unquote(F.lit("100%+a%20b"))) == "100%+a%20b" and q(tx.unquote(F.lit("a+b%20c"))) == "a+b c"
+    assert q(tx.link_kind(F.lit("https://netflix.com/a"))) == "twitter"  # the rule is a part of the host
     assert q(tx.html_escape(F.lit("<a&'\">"))) == "&lt;a&amp;&#39;&quot;&gt;" and q(tx.clean(F.lit("  ab\u0000c "), 2)) == "ab"
     assert q(tx.host(F.lit("https://www.x.com/a"))) == "x.com" and q(tx.link_kind(F.lit("nonsense"))) == "invalid"
 
@@ -85,18 +91,16 @@ def test_resolution(spark):
     got = {(r.a[-1], r.b[-1]): r.reason for r in e.collect()}
     assert got == {("1", "2"): "NAME_EQ+ctx", ("1", "3"): "NAME_SUBSET+ctx", ("2", "3"): "NAME_SUBSET+ctx"}
     cl = resolve.split(e, resolve.is_strong())
-    out, audit = resolve.merge(p, cl)
+    out, audit = resolve.merge(p, cl, e)
     rows = {r.id[-1]: r for r in out.collect()}
     assert sorted(rows) == ["2", "4"] and rows["2"].story == "y" * 50 and rows["2"].sources == ["b", "a"] and rows["2"].photo_url == "u1" and rows["2"].age == 21
     a = audit.first()
-    assert len(a.merged_ids) == 2 and a.age_conflicts == ["20"]
+    assert len(a.merged_ids) == 2 and a.age_conflicts == ["20"] and a.reasons == ["NAME_EQ+ctx", "NAME_SUBSET+ctx"]
+    assert [(x.field, x.before, x.after, x.src[-1]) for x in a.changes] == [("photo_url", None, "u1", "1")]
     prints = spark.createDataFrame([(f"jvn_{i:010x}", "s", "0" * 64, "0" * 64, None) for i in (1, 4)], "id string, sha1 string, phash string, dhash string, face_phash string")
     none = spark.createDataFrame([], "removed_id string")
     assert [len(r.ids) for r in resolve.review(p, prints, none).collect()] == [2]
     assert resolve.score(p, resolve.candidates(p, prints), prints).count() >= 3
-    seeds = people(spark, person(1, name="a b", story="once upon a time there was a long story"), person(2, name="a b", story="once upon a time there was a long story!"), person(3, name="a b", story="zzz")).withColumn("ordinal", F.col("id"))
-    keep = {r.id[-1]: r.keeper[-1] for r in resolve.greedy_dedup(seeds).collect()}
-    assert keep["1"] == keep["2"] != keep["3"]
     merged, done = resolve.apply_merges(p, spark.createDataFrame([(f"jvn_{1:010x}", f"jvn_{4:010x}"), (f"jvn_{1:010x}", "missing")], "keep string, dup string"))
     assert merged.count() == 3 and done.count() == 1
 
@@ -134,6 +138,8 @@ def test_classification(spark):
     assert {r.id[-1] for r in audit.collect()} == {"1", "2", "5", "6"} and out.columns == p.columns
     v1 = {r.id[-1]: r.event for r in classify.reassign_v1(p)[0].collect()}
     assert v1["1"] == "aban_98" and v1["3"] == "executions"
+    late = people(spark, person(1, date_jalali="1400/10/18"), person(2, date_jalali="1400/05/18"), person(3, date_jalali="1400/10/18", event="khizesh_1404"))
+    assert {r.id[-1]: r.event for r in classify.reassign_v1(late)[0].collect()} == {"1": "khizesh_1404", "2": "khuzestan_1400", "3": "khizesh_1404"}
     fixed, status = classify.apply_corrections(p, spark.createDataFrame([("jvn_0000000001", "dey_96"), ("nope", "x")], "id string, event string"))
     assert {r.status for r in status.collect()} == {"moved", "NOT FOUND"} and fixed.count() == 7
     broken = people(spark, person(1, date_jalali="2020", date_gregorian="1398/08/25"), person(2, date_jalali="1398/01/01"))
@@ -168,8 +174,23 @@ def test_archive_round_trip(spark, tmp_path):
     publish.publish(long, ev, str(tmp_path / "out"))
     stats = json.loads(next((tmp_path / "out/statistics").glob("*.json")).read_text())
     assert stats["total"] == 2 and stats["by_event"] == {"aban_98": 0, "green_88": 1} and stats["notable"] == 1
-    raw = next((tmp_path / "out/csv").glob("*.csv")).read_bytes()
-    assert raw.startswith("﻿id,".encode()) and raw.count(b"\r\n") == 3 and b"s1; s2" in raw and b'"\xd8\xa8""x"' in raw
+    raw = b"".join(f.read_bytes() for d in ("0-header", "1-rows") for f in sorted((tmp_path / "out/csv" / d).glob("*.txt")))
+    assert raw.startswith("\ufeffid,".encode()) and raw.count(b"\r\n") == 3 and b"s1; s2" in raw and b'"\xd8\xa8""x"' in raw
+    import csv
+
+    publish.write_csv(long, str(tmp_path / "one"), one_file=True)
+    (one,) = (tmp_path / "one").glob("*.txt")
+    got = list(csv.reader(one.read_text(encoding="utf-8-sig").splitlines()))
+    assert got[0] == S.CSV and sorted(r[1] for r in got[1:]) == ["الف", 'ب"x'] and len(got) == 3
+    publish.write_document(long, ev, meta, str(tmp_path / "doc"))
+    whole = json.loads("".join(f.read_text() for f in sorted((tmp_path / "doc").glob("*.txt"))))
+    assert whole["metadata"] == {"version": "1"} and list(whole["events"]) == ["aban_98", "green_88"] and [x["name"] for x in whole["people"]] == ["الف", 'ب"x'] and whole["people"][0]["age"] is None
+    publish.write_document(long, ev, meta, str(tmp_path / "lite"), lite=True)
+    lite = json.loads("".join(f.read_text() for f in sorted((tmp_path / "lite").glob("*.txt"))))
+    assert lite["people"][0] == {"id": "jvn_0000000001", "n": "الف", "e": "green_88", "g": "زن", "nt": True, "v": "documented"} and set(lite) == {"meta", "events", "people"}
+    publish.write_event_documents(long, ev, str(tmp_path / "by"))
+    each = {d.name: json.loads("".join(f.read_text() for f in sorted(d.glob("*.txt")))) for d in (tmp_path / "by").glob("event=*")}
+    assert {k: (v["event"], v["count"], len(v["people"])) for k, v in each.items()} == {"event=green_88": ("green_88", 1, 1), "event=aban_98": ("aban_98", 0, 0)} and each["event=green_88"]["info"]["title"] == "t"
     assert os.path.isdir(tmp_path / "out/by-event/people/event=green_88") and not os.path.exists(tmp_path / "out/by-event/people/event=gone")
     assert spark.read.json(str(tmp_path / "out/min")).count() == 2
     assert archive.read_flags(spark, str(tmp_path / "none")).count() == 0
@@ -183,8 +204,9 @@ def test_moderation(spark):
     people_, photos, refused = moderation.approve_photos(p, ph, ids)
     assert {r.id: r.photo_url for r in people_.collect()} == {"p1": "http://x/y", "p2": None}
     assert {r.id: r.why for r in refused.collect()} == {2: "bad_url", 3: "no_person", 4: "not_pending"} and photos.where("status = 'approved'").count() == 1
-    t = {r.id: r for r in moderation.toggle_notable(p, spark.createDataFrame([("p1",)], "id string")).collect()}
-    assert t["p1"].notable and json.loads(t["p1"].data_json) == {"n": "a", "nt": "1"} and t["p2"].notable
+    told = spark.createDataFrame([("p1", True), ("p2", True)], "id string, notable boolean")
+    t = {r.id: r for r in moderation.set_notable(moderation.set_notable(p, told), told).collect()}
+    assert t["p1"].notable and json.loads(t["p1"].data_json) == {"n": "a", "nt": True} and t["p2"].notable and json.loads(t["p2"].data_json) == {"nt": True}
     sub = spark.createDataFrame([(1, "n", "e", None, None, "pending", None), (2, "m", "e", None, None, "approved", None)], "id int, name string, event string, city string, photo_url string, status string, approved_person_id string")
     people_, subs = moderation.approve_submissions(sub, p.withColumns({"event": F.lit("e"), "city": F.lit("c")}), ids)
     assert people_.count() == 3 and subs.where("approved_person_id IS NOT NULL").count() == 1
