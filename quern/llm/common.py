@@ -93,7 +93,9 @@ def ranked(rows: DataFrame, keys: list[str], at: Column, order: list[str], count
     as_key = lambda d, n, *more: d.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(n)], *more)
     groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).withColumn("_cells", F.ceil(F.col("_rows") / limit))
     # by merging: both grow with the input, and a hot key is split by adaptive execution
-    d = rows.withColumn("_at", at).join(as_key(groups, keys, "_cells").hint("merge"), same(keys)).withColumn("_cell", F.floor(F.col("_at") * F.col("_cells")))
+    d = rows.withColumn("_at", at).join(
+        as_key(groups, keys, "_cells").hint("merge"), same(keys)
+    ).withColumn("_cell", F.floor(F.col("_at") * F.col("_cells")))
     d = d.select(*rows.columns, "_at", "_cell")
     cells = d.groupBy(*keys, "_cell").agg(F.sum(count).alias("_n"))
     line = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -39,7 +39,10 @@ def winners(rows: DataFrame) -> DataFrame:
     """One row a digest: its winner (most code points, smallest doc_id, null last) and count."""
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("w")
     agg = rows.groupBy("digest").agg(best, F.count("*").alias("cnt"))
-    return agg.select("digest", (-F.col("w.m")).alias("n"), F.col("w.z").alias("z"), F.coalesce("w.doc_id", F.lit(0)).cast("long").alias("doc"), F.col("w.rid").alias("rid"), "cnt")
+    return agg.select(
+        "digest", (-F.col("w.m")).alias("n"), F.col("w.z").alias("z"), F.coalesce("w.doc_id", F.lit(0)).cast("long").alias("doc"),
+        F.col("w.rid").alias("rid"), "cnt"
+    )
 
 
 def positions(words: np.ndarray, level: int, m: int) -> np.ndarray:
@@ -142,7 +145,9 @@ def merge(index: DataFrame, fresh: DataFrame, buckets: int) -> DataFrame:
             member = slot >= 0
             member[member] = (own[slot[member]] == words[member]).all(axis=1)
             s, m = slot[member], {k: f[k][member].astype(np.int64) for k in cols}
-            better = (m["n"] > h["n"][s]) | (m["n"] == h["n"][s]) & ((m["z"] < h["z"][s]) | (m["z"] == h["z"][s]) & ((m["doc"] < h["doc"][s]) | (m["doc"] == h["doc"][s]) & (m["rid"] < h["rid"][s])))
+            better = (m["n"] > h["n"][s]) | (m["n"] == h["n"][s]) & (
+                (m["z"] < h["z"][s]) | (m["z"] == h["z"][s]) & ((m["doc"] < h["doc"][s]) | (m["doc"] == h["doc"][s]) & (m["rid"] < h["rid"][s]))
+            )
             for k in ("n", "z", "doc", "rid"):
                 h[k][s[better]] = m[k][better]
             h["cnt"][s] += m["cnt"]
@@ -150,7 +155,12 @@ def merge(index: DataFrame, fresh: DataFrame, buckets: int) -> DataFrame:
             own, h, member = np.zeros((0, 4), np.uint64), {k: np.zeros(0, np.int64) for k in cols}, np.zeros(len(words), bool)
         digest = [x.tobytes() for x in own] + [x.tobytes() for x in words[~member]]
         out = {k: np.concatenate((h[k], f[k][~member].astype(np.int64))) for k in ("z", "doc", "rid", "cnt")}
-        return pd.DataFrame({"digest": digest, "doc": out["doc"], "z": out["z"].astype(bool), "rid": out["rid"], "cnt": out["cnt"], "known": np.arange(len(digest)) < len(own)})
+        return pd.DataFrame(
+            {
+                "digest": digest, "doc": out["doc"], "z": out["z"].astype(bool), "rid": out["rid"], "cnt": out["cnt"],
+                "known": np.arange(len(digest)) < len(own)
+            }
+        )
 
     right = fresh.withColumn("bucket", bucket_of(buckets)).groupBy("bucket")
     return index.groupBy("bucket").cogroup(right).applyInPandas(lookup, "digest binary, doc long, z boolean, rid long, cnt long, known boolean")
@@ -180,7 +190,10 @@ def exact_duplicates(docs: DataFrame, *carry: str) -> DataFrame:
     index = build_index(history, buckets)
     out = merge(index, winners(rows.where(~old)), buckets).withColumnRenamed("rid", "keep_rid")
     got = rows.join(out, "digest")
-    return got.select(*carry, "doc_id", F.when(~F.col("z"), F.col("doc")).alias("keep_id"), F.col("cnt").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known")
+    return got.select(
+        *carry, "doc_id", F.when(~F.col("z"), F.col("doc")).alias("keep_id"), F.col("cnt").alias("group_size"),
+        (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known"
+    )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,9 @@ def _matcher(notices: tuple[tuple[str, str], ...], edits: float):
     for i, (n, label) in enumerate(notices):
         k = int(edits * len(n))
         # whole words: an edit at the rim is spent on the notice, and what follows it is no part of a word
-        compiled.append((n, label, k, regex.compile(rf"(?e)(?<![^ ])(?=[^ ])(?:{regex.escape(n)}){{e<={k}}}(?<=[^ ])(?![^ ])"), KEYS.intersection(n.split())))
+        compiled.append(
+            (n, label, k, regex.compile(rf"(?e)(?<![^ ])(?=[^ ])(?:{regex.escape(n)}){{e<={k}}}(?<=[^ ])(?![^ ])"), KEYS.intersection(n.split()))
+        )
         for off, seed in split_seeds(n, k + 1):
             a.add_word(seed, (*a.get(seed, ()), (i, off, len(seed))))
     a.make_automaton()
@@ -165,4 +167,7 @@ def licences(docs: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    return src.mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>")
+    return src.mapInArrow(
+        tidied(run),
+        f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>"
+    )

@@ -36,13 +36,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     s = s.withColumn("cap", F.col("source_size").cast("double") * most)
     order = Window.orderBy(F.col("cap") / F.col("w"), "sid")
     upto, every = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(F.lit(0))
-    s = s.withColumns({"cap_upto": F.sum("cap").over(upto), "w_upto": F.sum("w").over(upto), "w_all": F.sum("w").over(every), "total": F.sum(F.col("source_size").cast("double")).over(every)})
+    s = s.withColumns(
+        {
+            "cap_upto": F.sum("cap").over(upto), "w_upto": F.sum("w").over(upto), "w_all": F.sum("w").over(every),
+            "total": F.sum(F.col("source_size").cast("double")).over(every)
+        }
+    )
     # before each source: what the sources not yet stopped would get for a unit of weight
     s = s.withColumn("level", (F.col("total") - (F.col("cap_upto") - F.col("cap"))) / (F.col("w_all") - (F.col("w_upto") - F.col("w"))))
     s = s.withColumn("stops", F.col("cap") <= F.col("level") * F.col("w"))
     s = s.withColumn("open_level", F.min(F.when(~F.col("stops"), F.struct(F.col("cap") / F.col("w"), "sid", "level"))).over(every)["level"])
     target = F.when(F.col("stops"), F.col("cap")).otherwise(F.col("open_level") * F.col("w"))
-    return s.select("source", "sid", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("per_copy"))
+    return s.select(
+        "source", "sid", "source_size", target.alias("target"),
+        F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("per_copy")
+    )
 
 
 def order_of(doc_id: Column, seed: int) -> Column:
@@ -74,7 +82,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     t = t.withColumn("offset", unit(F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
     # one row a source and size in each window, cells or not
     sizes = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = by_size.withColumn("start", F.sum("cnt").over(sizes) - F.col("cnt")).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "start")
+    start = by_size.withColumn("start", F.sum("cnt").over(sizes) - F.col("cnt")).select(
+        F.col("source").alias("_s"), F.col("size").alias("_z"), "start"
+    )
     ids = ranked(alike, tied, order_of(F.col("doc_id"), seed), ["doc_id"], "cnt", TIES)
     ids = ids.join(start.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     ids = stage(ids.select(*tied, "doc_id", "cnt", (F.col("start") + F.col("upto") - F.col("cnt")).alias("before")))

@@ -158,7 +158,10 @@ def pieces(docs: DataFrame, path: str | None, length: int = LENGTH, end: int = 0
                     for x, v in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part))):
                         x.append(v)
             take = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])],
+                names=["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+            )
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return stage(src.mapInArrow(tidied(run), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long"))
@@ -232,7 +235,11 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
 
     cell = F.pmod(F.xxhash64("row", "piece"), F.lit(cells)).cast("long")
     kind = p.schema["doc_id"].dataType.simpleString()
-    one = stage(short.withColumn("cell", cell).groupBy("cell").applyInPandas(first, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long, cell long, bin long, offset long"))
+    one = stage(
+        short.withColumn("cell", cell).groupBy("cell").applyInPandas(
+            first, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long, cell long, bin long, offset long"
+        )
+    )
     bins = one.groupBy("cell", "bin").agg(F.sum("length").alias("used"))
     open_ = stage(bins.where(F.col("used") < length))
     again = max(1, -(-open_.count() // CELL))
@@ -247,8 +254,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     out = one.join(two, ["cell", "bin"], "left")
     # numbers of three kinds, told apart by their remainder: kept bins, repacked bins, full pieces
     seq = F.when(F.col("to").isNull(), 3 * (F.col("cell") + F.col("bin") * cells)).otherwise(3 * (F.col("group") + F.col("to") * again) + 1)
-    placed = out.select("doc_id", "piece", "start", "length", "ids_crc32", seq.alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    placed = out.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", seq.alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
+    )
     # rows are numbered partition by partition, and a document's full pieces come first, so this pair is unique
     whole = p.where(F.col("length") == length).withColumn("k", F.monotonically_increasing_id())
-    full = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (3 * F.col("k") + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = whole.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (3 * F.col("k") + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
     return placed.unionByName(full)

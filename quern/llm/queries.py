@@ -80,7 +80,10 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secrets, op2_simhash, op3_mixing, op4_packing, op5_substrings, op6_toxicity, op7_sharding, op8_sketches, op9_exact, op10_licences, pipeline)
+    found = (
+        op1_secrets, op2_simhash, op3_mixing, op4_packing, op5_substrings, op6_toxicity, op7_sharding, op8_sketches, op9_exact, op10_licences,
+        pipeline
+    )
     return {f.__name__: f for f in found}
 
 

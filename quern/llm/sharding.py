@@ -60,7 +60,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     text = F.coalesce("text", F.lit(""))
     spark = docs.sparkSession
     like = ["doc_id", "size", "text_crc32"]
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
+    rows = docs.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32")
+    )
     rows = rows.groupBy(*like).agg(F.count("*").alias("cnt")).withColumn("at", F.xxhash64("doc_id", "text_crc32", "size"))
     nodes = ring(spark, shards, vnodes)
     # a position belongs to the first node at or after it; cells of equal width list their nodes
@@ -95,4 +97,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     schema = "arc int, from long, upto long, shard int, slot_from long, home_shard int"
     plan = F.broadcast(spark.createDataFrame([(*p, nodes[p[0]][1]) for p in pieces], schema))  # about one row a virtual node
     rows = rows.join(plan, "arc").where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
-    return rows.select(*like, F.lit("rows").alias("law"), "shard", (F.col("slot_from") + F.col("rank") - F.col("from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+    return rows.select(
+        *like, F.lit("rows").alias("law"), "shard", (F.col("slot_from") + F.col("rank") - F.col("from")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "home_shard"
+    )

@@ -100,7 +100,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *carry: str, copies: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = as_bytes(b.column(b.num_columns - 1))
-            fp = np.array([copy_fingerprints(t) if copies else (fingerprint(t, words),) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            fp = np.array(
+                [copy_fingerprints(t) if copies else (fingerprint(t, words),) for t in texts], np.uint64
+            ).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=schema.names)
 
     return src.mapInArrow(tidied(run), schema)
@@ -116,7 +118,13 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
 def _leaders() -> np.ndarray:
     """The error of at most three bits that has each syndrome."""
     one = [1 << i for i in range(23)]
-    errors = np.array([0, *one, *(a | b for i, a in enumerate(one) for b in one[:i]), *(a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j])], np.int64)
+    errors = np.array(
+        [
+            0, *one, *(a | b for i, a in enumerate(one) for b in one[:i]),
+            *(a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j])
+        ],
+        np.int64
+    )
     table = np.zeros(2048, np.int64)
     table[_syndrome(errors)] = errors
     return table
@@ -327,9 +335,13 @@ def classes(nodes: DataFrame, limits: tuple[int, ...] = (BITS,)) -> DataFrame:
         for b in batches:
             node, *fps = (np.asarray(c) for c in b.columns)
             row, key, tile = spread(first_key(fps[0]), node, hot_first, False)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tile), *(pa.array(x[row]) for x in (node, *fps))], names=["key", "tile", "node", *names])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(tile), *(pa.array(x[row]) for x in (node, *fps))], names=["key", "tile", "node", *names]
+            )
 
-    coarse = nodes.mapInArrow(coarse_keys, f"key long, tile int, {longs('node', *names)}").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
+    coarse = nodes.mapInArrow(
+        coarse_keys, f"key long, tile int, {longs('node', *names)}"
+    ).repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
     grouped = stage(coarse.mapInArrow(lambda x: _coarse(x, limits), longs("node", "grp", *names)))
     plain = len(limits) == 1
 
@@ -341,12 +353,18 @@ def classes(nodes: DataFrame, limits: tuple[int, ...] = (BITS,)) -> DataFrame:
                 row = row + at
                 took, key, tile = spread(key, node[row], hot_all, True)
                 row = row[took]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tile), pa.array((group ^ fps[0] if plain else group)[row]), *(pa.array(x[row]) for x in fps)], names=["key", "tile", "off", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(tile), pa.array((group ^ fps[0] if plain else group)[row]), *(pa.array(x[row]) for x in fps)],
+                    names=["key", "tile", "off", *names]
+                )
 
     def links(batches):
         def undo(bs):
             for b in bs:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.asarray(b.column(2)) ^ np.asarray(b.column(3))), *b.columns[3:]], names=["key", "tile", "grp", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(np.asarray(b.column(2)) ^ np.asarray(b.column(3))), *b.columns[3:]],
+                    names=["key", "tile", "grp", *names]
+                )
 
         for a, c in near_runs(undo(batches) if plain else batches, limits):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["src", "dst"])
@@ -354,7 +372,9 @@ def classes(nodes: DataFrame, limits: tuple[int, ...] = (BITS,)) -> DataFrame:
     # a node has some 180 keys, so few nodes are a task; where the node is its fingerprint, the
     # group travels as its difference from it, mostly zero, which compresses
     many = grouped.repartition(max(tasks(nodes.sparkSession), grouped.count() // TASK_NODES), "node")
-    keys = many.mapInArrow(tidied(all_keys), f"key long, tile int, {longs('off', *names)}").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    keys = many.mapInArrow(
+        tidied(all_keys), f"key long, tile int, {longs('off', *names)}"
+    ).repartition("key", "tile").sortWithinPartitions("key", "tile")
     comp = components(keys.mapInArrow(tidied(links), "src long, dst long"))
     joined = grouped.join(comp.withColumnRenamed("node", "__n"), F.col("grp") == F.col("__n"), "left")
     return joined.select("node", F.coalesce("component", "grp").alias("class"))

@@ -127,7 +127,9 @@ def sketch_documents(docs: DataFrame, words: int = WORDS, fraction: int = FRACTI
     def run(batches):
         s = Sketcher(words, fraction)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_text(s(t or b"")) for t in as_bytes(b.column(1))], pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([as_text(s(t or b"")) for t in as_bytes(b.column(1))], pa.string())], names=["doc_id", "fingerprint"]
+            )
 
     return src.mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
@@ -160,7 +162,10 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     come last; rows of one doc_id are ordered by a hash of text and place, and cut like others.
     """
     src, a, b = numbered(docs.select("doc_id", "text"))
-    src = src.select("doc_id", "text", F.col("doc_id").isNull().alias("z"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("k"), F.xxhash64("text", a, b).alias("h"))
+    src = src.select(
+        "doc_id", "text", F.col("doc_id").isNull().alias("z"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("k"),
+        F.xxhash64("text", a, b).alias("h")
+    )
     ids = src.select("z", "k", "h")
     n, = ids.agg(F.count("*")).first()
     parts = max(1, min(CUTS, n // RUN))
@@ -177,7 +182,9 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     src = src.withColumn("own", part).join(guards, "own").withColumn("opens", (F.col("k") == F.col("d")) & (F.col("h") == F.col("g")))
     each = F.array(F.struct(F.col("place").alias("part"), F.lit(False).alias("guard")))
     also = F.array(F.struct(F.col("before").alias("part"), F.lit(True).alias("guard")))
-    out = src.withColumn("p", F.explode(F.when(F.col("opens"), F.concat(each, also)).otherwise(each))).select("p.part", "p.guard", "doc_id", "z", "k", "h", "text")
+    out = src.withColumn(
+        "p", F.explode(F.when(F.col("opens"), F.concat(each, also)).otherwise(each))
+    ).select("p.part", "p.guard", "doc_id", "z", "k", "h", "text")
     return out.repartitionById(len(order) or 1, F.col("part")).sortWithinPartitions("part", "guard", "z", "k", "h").select("part", "guard", "doc_id", "text")
 
 
@@ -207,8 +214,25 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: int = FRA
                     k = len(held[2]) // 3
                     edited = (held[2][: len(held[2]) - k] + t[:k]).encode()
                     e = sketch(edited)
-                    out.append((held[1], len(held[2]), hashlib.sha256(edited).hexdigest(), as_text(held[3]), as_text(e), likeness(held[3], e), likeness(held[3], own)))
+                    out.append(
+                        (
+                            held[1], len(held[2]), hashlib.sha256(edited).hexdigest(), as_text(held[3]), as_text(e), likeness(held[3], e),
+                            likeness(held[3], own)
+                        )
+                    )
                 held = None if guard else (part, i, t, own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out) if out else [()] * 7, (b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
-
-    return with_neighbour(docs).mapInArrow(tidied(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x, y) for x,
+                    y in zip(
+                        zip(*out) if out else [()] * 7,
+                        (b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                    )
+                ],
+                names=names
+            )
+
+    return with_neighbour(docs).mapInArrow(
+        tidied(run),
+        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )

@@ -140,7 +140,9 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     seen = all_.groupBy("digest", "more").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("digest", "more", "low.*")
     # staged, so that the join deals both sides anew and can split a hot digest; chunks are cut again, which takes less than keeping them
     seen = stage(seen.withColumnsRenamed({"doc": "low", "k": "low_k"}))
-    hit = all_.join(seen, ["digest", "more"]).select("doc", "k", "start", "size", "halves", "low", ((F.col("low") == F.col("doc")) & (F.col("low_k") == F.col("k"))).alias("own"))
+    hit = all_.join(seen, ["digest", "more"]).select(
+        "doc", "k", "start", "size", "halves", "low", ((F.col("low") == F.col("doc")) & (F.col("low_k") == F.col("k"))).alias("own")
+    )
     place = Window.partitionBy("doc", "k").orderBy("start", "size")
     # copies of a row give the same chunks again; a run goes on where the chunk before ends
     one = hit.groupBy("doc", "k", "start", "size", "halves", "low", "own").agg(F.count("*").alias("_n"))
@@ -152,13 +154,18 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     )
     span = span.withColumn("all", F.sum("halves").over(Window.partitionBy("doc", "k", "run")))
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return span.where(F.col("all") >= 2 * words).select(known("doc").alias("doc_id"), "start", "end", F.floor(F.col("halves") / 2).alias("words"), "first", known("low").alias("first_doc_id"), F.col("k").alias("text_hash"))
+    return span.where(F.col("all") >= 2 * words).select(
+        known("doc").alias("doc_id"), "start", "end", F.floor(F.col("halves") / 2).alias("words"), "first", known("low").alias("first_doc_id"),
+        F.col("k").alias("text_hash")
+    )
 
 
 def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans that are not ``first`` cut out of their texts."""
     i, k, c = (fresh(docs, n) for n in ("__id", "__k", "__cuts"))
-    cutsdf = spans.where(~F.col("first")).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(k)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(c))
+    cutsdf = spans.where(~F.col("first")).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(k)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias(c)
+    )
     both = docs.join(cutsdf, F.col("doc_id").eqNullSafe(F.col(i)) & (F.hash("text") == F.col(k)), "left").select(*docs.columns, c)
     schema = docs.schema
     at = docs.columns.index("text")

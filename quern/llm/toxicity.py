@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
 
     def entries(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(stems(fold(t)) & pure) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["e"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sorted(stems(fold(t)) & pure) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["e"]
+            )
 
     each = [r[0] for r in toxic.mapInArrow(entries, "e array<string>").collect()]
     holders: dict[str, set[int]] = {}
@@ -213,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
                 c.update({p for at, (end, _) in matches(f, a).items() for p in phrases(f, at, end)})
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["p", "n"])
 
-    tally = lambda d: {r[0]: r[1] for r in d.mapInArrow(context, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n >= 2").collect()}
+    tally = lambda d: {
+        r[0]: r[1] for r in d.mapInArrow(context, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n >= 2").collect()
+    }
     clean_p = tally(clean)
     toxic_p = tally(toxic) if clean_p else {}
     lex.exceptions = frozenset(p for p in clean_p if p not in toxic_p)
