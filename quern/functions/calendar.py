@@ -118,7 +118,13 @@ def relative_time(c: Column, now: Column) -> Column:
 
 
 _FOLD = str.maketrans("۰۱۲۳۴۵۶۷۸۹", "0123456789")
-_re = {k: re.compile(v) for k, v in {"before": NOT_DEATH_BEFORE, "after": NOT_DEATH_AFTER, "death": DEATH_WORDS, "dey": DEY_YEAR, "year": "13[0-9]{2}|14[0-9]{2}", "bb": BIRTH_BEFORE, "ba": BIRTH_AFTER, "an": ANNIVERSARY, "ob": OTHERS, "dmy": rf"\d{{1,2}}\s*(?:{MONTHS})\s*(13[7-9][0-9]|140[0-9])"}.items()}
+_re = {
+    k: re.compile(v) for k,
+    v in {
+        "before": NOT_DEATH_BEFORE, "after": NOT_DEATH_AFTER, "death": DEATH_WORDS, "dey": DEY_YEAR, "year": "13[0-9]{2}|14[0-9]{2}",
+        "bb": BIRTH_BEFORE, "ba": BIRTH_AFTER, "an": ANNIVERSARY, "ob": OTHERS, "dmy": rf"\d{{1,2}}\s*(?:{MONTHS})\s*(13[7-9][0-9]|140[0-9])"
+    }.items()
+}
 
 
 def read_story_year(text: str | None) -> tuple[int | None, str | None]:
@@ -151,6 +157,15 @@ def read_story_year_v1(text: str | None) -> int | None:
     return years.pop() if len(years) == 1 else None
 
 
+#: A year of the century in digits of any script; a story without one tells none.
+HAS_YEAR = r"[1۱][34۳۴]\p{Nd}{2}"
+
+
+def tells_year(story: Column) -> Column:
+    """The story if it has a year at all, else null, which Python passes over."""
+    return F.when(story.rlike(HAS_YEAR), story)
+
+
 @F.pandas_udf(T.StructType([T.StructField("year", T.IntegerType()), T.StructField("conf", T.StringType())]))
 def story_year(c: pd.Series) -> pd.DataFrame:
     got = [read_story_year(x) for x in c]

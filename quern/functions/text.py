@@ -59,7 +59,9 @@ def is_subset(a: Column, b: Column) -> Column:
     long = F.when(F.size(a) <= F.size(b), b).otherwise(a)
     # the place after each matched token, or -1 once one is missing
     step = lambda at, w: F.when(at < 0, at).otherwise(
-        F.coalesce(F.nullif(F.array_position(F.slice(long, at + 1, F.greatest(F.size(long) - at, F.lit(0))), w), F.lit(0)) + at, F.lit(-1)).cast("int")
+        F.coalesce(
+            F.nullif(F.array_position(F.slice(long, at + 1, F.greatest(F.size(long) - at, F.lit(0))), w), F.lit(0)) + at, F.lit(-1)
+        ).cast("int")
     )
     found = F.aggregate(short, F.lit(0), step) >= 0
     return F.when((F.size(a) == 0) | (F.size(b) == 0), False).when(a == b, True).otherwise((F.size(short) >= 2) & found)
@@ -199,4 +201,6 @@ def media_file(url: Column) -> Column:
     lang, name = F.regexp_extract(url, p, 1), F.regexp_extract(url, p, 2)
     commons = F.lit("commons.wikimedia.org")
     both = lambda n, h: F.struct(unquote(n).alias("name"), h.alias("host"))
-    return F.when(direct != "", both(direct, commons)).when(lang != "", both(name, F.when(lang == "commons", commons).otherwise(F.concat(lang, F.lit(".wikipedia.org")))))
+    return F.when(direct != "", both(direct, commons)).when(
+        lang != "", both(name, F.when(lang == "commons", commons).otherwise(F.concat(lang, F.lit(".wikipedia.org"))))
+    )

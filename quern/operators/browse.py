@@ -142,7 +142,10 @@ def cards(people: DataFrame, events: DataFrame) -> DataFrame:
     out = people.join(events.select("event", "title"), "event", "left")
     meta = F.concat_ws(" · ", F.concat(to_native_digits(c("age")), F.lit(" ساله")), F.nullif(c("city"), F.lit("")))
     badge = F.when(c("verification") == "documented", "documented").otherwise("reported")
-    return out.select("id", "name", F.coalesce("title", "event").alias("label"), meta.alias("meta"), badge.alias("badge"), truthy(c("notable")).alias("star"), F.nullif(c("photo_url"), F.lit("")).alias("photo"))
+    return out.select(
+        "id", "name", F.coalesce("title", "event").alias("label"), meta.alias("meta"), badge.alias("badge"), truthy(c("notable")).alias("star"),
+        F.nullif(c("photo_url"), F.lit("")).alias("photo")
+    )
 
 
 def details(people: DataFrame) -> DataFrame:
@@ -151,12 +154,21 @@ def details(people: DataFrame) -> DataFrame:
     fact = lambda label, v: F.when(v.isNotNull() & (v != ""), F.struct(F.lit(label).alias("label"), v.alias("value")))
     facts = F.array_compact(F.array(fact("age", F.concat(to_native_digits(c("age")), F.lit(" سال"))), fact("gender", c("gender")), fact("date", to_native_digits(c("date_jalali"))), *[fact(k, c(k)) for k in ("city", "province", "occupation", "cause")]))
     story, english = F.nullif(c("story"), F.lit("")), F.nullif(c("story_en"), F.lit(""))
-    return people.select("id", facts.alias("facts"), links(c("memorial_links")).alias("links"), story.alias("story"), F.when(~english.eqNullSafe(story), english).alias("story_en"))
+    return people.select(
+        "id", facts.alias("facts"), links(c("memorial_links")).alias("links"), story.alias("story"),
+        F.when(~english.eqNullSafe(story), english).alias("story_en")
+    )
 
 
 def links(urls: Column, most: int = 6) -> Column:
     """The first ``most`` links as structs (url, host, kind); a constant where a URL has no host."""
-    return F.transform(F.slice(urls, 1, most), lambda u: F.struct(u.alias("url"), F.coalesce(host(u), F.lit("منبع")).alias("host"), F.when(host(u).isNull(), "generic").otherwise(link_kind(u)).alias("kind")))
+    return F.transform(
+        F.slice(urls, 1, most),
+        lambda u: F.struct(
+            u.alias("url"), F.coalesce(host(u), F.lit("منبع")).alias("host"),
+            F.when(host(u).isNull(), "generic").otherwise(link_kind(u)).alias("kind")
+        )
+    )
 
 
 def summary_rows(df: DataFrame, exclude: str = "صنفی", width: int = 60) -> DataFrame:
@@ -164,7 +176,9 @@ def summary_rows(df: DataFrame, exclude: str = "صنفی", width: int = 60) -> D
     return df.where(F.col("decade") != exclude).select("id", "title", "date", truncate(F.col("spark"), width).alias("spark"), "casualties")
 
 
-def timeline(df: DataFrame, decade: str = "all", text: str = "", columns: tuple[str, ...] = ("title", "summary", "spark", "details", "outcome", "category")) -> DataFrame:
+def timeline(
+    df: DataFrame, decade: str = "all", text: str = "", columns: tuple[str, ...] = ("title", "summary", "spark", "details", "outcome", "category")
+) -> DataFrame:
     """Entries of a decade that contain the text, case counting, in any of the columns."""
     out = df if decade == "all" else df.where(F.col("decade") == decade)
     return out.where(any_contains(text, columns, fold=False)) if text.strip() else out

@@ -9,8 +9,14 @@ from quern.functions import calendar as cal
 from quern.functions.text import fold_digits
 
 #: Events by year, of the first and of the later pass, and stories that are no record.
-EVENT_YEARS = {"kuye_daneshgah_78": 1378, "green_88": 1388, "dey_96": 1396, "darvish_96": 1396, "mordad_97": 1397, "kazerun_97": 1397, "aban_98": 1398, "khuzestan_1400": 1400, "khizesh_1401": 1401, "khizesh_1404": 1404}
-YEARS_V1 = {1378: "kuye_daneshgah_78", 1388: "green_88", 1396: "dey_96", 1397: "mordad_97", 1398: "aban_98", 1400: "khuzestan_1400", 1401: "khizesh_1401", 1404: "khizesh_1404"}
+EVENT_YEARS = {
+    "kuye_daneshgah_78": 1378, "green_88": 1388, "dey_96": 1396, "darvish_96": 1396, "mordad_97": 1397, "kazerun_97": 1397, "aban_98": 1398,
+    "khuzestan_1400": 1400, "khizesh_1401": 1401, "khizesh_1404": 1404
+}
+YEARS_V1 = {
+    1378: "kuye_daneshgah_78", 1388: "green_88", 1396: "dey_96", 1397: "mordad_97", 1398: "aban_98", 1400: "khuzestan_1400", 1401: "khizesh_1401",
+    1404: "khizesh_1404"
+}
 YEARS = {1377: "chain_murders_77", **YEARS_V1, 1402: "dey_1402", 1403: "dey_1403"}
 DERVISH, DEY = "دراویش|درویش|گنابادی", "دی"
 JUNK = [r"تام\s*مورلی", r"محل\s*دفن\s*او\s*فاضلاب", r"وحوش\s*انگلیسی", r"حمله\s*انگلیسی", r"هواپیمای\s*فوکر"]
@@ -24,14 +30,17 @@ def _audit(d: DataFrame, target: Column, reason: Column, conf: Column) -> tuple[
     keep = [c for c in d.columns if not c.startswith("_")]
     d = d.withColumns({"_to": target, "_why": reason, "_conf": conf})
     moved = d.where(F.col("_to") != F.coalesce("event", F.lit("")))
-    audit = moved.select("id", "name", F.col("event").alias("from"), F.col("_to").alias("to"), F.col("_why").alias("reason"), F.col("_conf").alias("confidence"), "date_jalali", F.substring("story", 1, 140).alias("story_excerpt"))
+    audit = moved.select(
+        "id", "name", F.col("event").alias("from"), F.col("_to").alias("to"), F.col("_why").alias("reason"), F.col("_conf").alias("confidence"),
+        "date_jalali", F.substring("story", 1, 140).alias("story_excerpt")
+    )
     return d.withColumn("event", F.coalesce("_to", "event")).select(*keep), audit
 
 
 def reassign_v1(people: DataFrame, event_years: dict[str, int] | None = None, years: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """People and audit after the first pass: the best year picks the event; other events stay."""
     event_years, years = event_years or EVENT_YEARS, years or YEARS_V1
-    d = people.withColumn("_sy", cal.story_year_v1(F.coalesce("story", F.lit(""))))
+    d = people.withColumn("_sy", cal.story_year_v1.asNondeterministic()(cal.tells_year(F.col("story"))))
     d = d.withColumn("_y", cal.best_year(F.col("date_jalali"), F.col("date_gregorian"), F.col("_sy")))
     own = F.try_element_at(F.create_map(*[F.lit(x) for kv in event_years.items() for x in kv]), F.col("event"))
     y = F.col("_y.year")
@@ -57,9 +66,16 @@ def reassign(people: DataFrame, years: dict[int, str] | None = None) -> tuple[Da
     """
     years = years or YEARS
     c = F.col
-    d = people.withColumn("_sy", cal.story_year(F.coalesce("story", F.lit(""))))
+    # named nondeterministic, so that the optimizer computes it once a row and not again under a filter
+    d = people.withColumn("_sy", cal.story_year.asNondeterministic()(cal.tells_year(c("story"))))
     # each a column of its own, so that it is computed once however often the rules name it
-    d = d.withColumns({"_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")), "_dey": F.contains(F.coalesce("story", F.lit("")), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")), "_fixed": ~F.coalesce(c("event").isin(list(years.values())), F.lit(False)), "_s": c("_sy.year"), "_c": c("_sy.conf")})
+    d = d.withColumns(
+        {
+            "_dj": cal.jalali_year(c("date_jalali")), "_month": cal.has_month(c("date_jalali")),
+            "_dey": F.contains(F.coalesce("story", F.lit("")), F.lit(DEY)), "_junk": is_junk(c("story"), c("date_jalali")),
+            "_fixed": ~F.coalesce(c("event").isin(list(years.values())), F.lit(False)), "_s": c("_sy.year"), "_c": c("_sy.conf")
+        }
+    )
     d = d.withColumns({"_es": event_of(c("_s"), years), "_ed": event_of(c("_dj"), years)})
     special = lambda y, e: F.when((y == 1400) & c("_dey"), F.lit("khizesh_1401")).otherwise(e)
     told, bare = c("_c").isin("high", "medium"), c("_ed").isNotNull() & ~c("_month")
@@ -110,5 +126,10 @@ def repair_dates(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     gy, gm, gd = (F.regexp_extract(fold_digits(c("date_gregorian")), p, i).try_cast("int") for i in (1, 2, 3))
     broken = (y.isNull() | ~y.between(1300, 1410)) & gy.isNotNull()
     d = people.withColumn("_fix", F.coalesce(broken, F.lit(False)))
-    fixed = d.withColumns({"date_jalali": F.when(c("_fix"), F.format_string("%d/%02d/%02d", gy, gm, gd)).otherwise(c("date_jalali")), "date_gregorian": F.when(c("_fix"), cal.from_jalali(gy, gm, gd).cast("string")).otherwise(c("date_gregorian"))})
+    fixed = d.withColumns(
+        {
+            "date_jalali": F.when(c("_fix"), F.format_string("%d/%02d/%02d", gy, gm, gd)).otherwise(c("date_jalali")),
+            "date_gregorian": F.when(c("_fix"), cal.from_jalali(gy, gm, gd).cast("string")).otherwise(c("date_gregorian"))
+        }
+    )
     return fixed.select(*people.columns), d.where("_fix").select("id", "date_jalali", "date_gregorian")

@@ -10,7 +10,9 @@ from quern.functions.empties import empty_number, empty_text
 from quern.functions.text import commons_url, media_file, path_tail
 
 #: Parts of file names that are no portrait's.
-BAD_FILES = ["solidarity", "colage", "collage", "protest", "demonstration", "rally", "mural", "placard", "banner", "memorial_park", "statue", "iep2009", ".svg"]
+BAD_FILES = [
+    "solidarity", "colage", "collage", "protest", "demonstration", "rally", "mural", "placard", "banner", "memorial_park", "statue", "iep2009", ".svg"
+]
 
 
 def fill(old: Column, new: Column, number: bool = False) -> Column:
@@ -30,7 +32,12 @@ def enrich(people: DataFrame, raw: DataFrame, blacklist: DataFrame, images: Data
     birth, death = cal.parse_wd_time(c("birth")), cal.parse_wd_time(c("death"))
     has = c("_id").isNotNull()
     links = F.array_union(c("memorial_links"), F.array_compact(F.array("fa_url", "en_url")))
-    tags = F.array_compact(F.array(F.when(c("pageid").isNotNull(), F.lit("wikipedia_fa")), F.when(c("label_en").isNotNull() | birth.isNotNull() | death.isNotNull(), F.lit("wikidata"))))
+    tags = F.array_compact(
+        F.array(
+            F.when(c("pageid").isNotNull(), F.lit("wikipedia_fa")),
+            F.when(c("label_en").isNotNull() | birth.isNotNull() | death.isNotNull(), F.lit("wikidata"))
+        )
+    )
     new = {
         "name_en": fill(c("name_en"), c("label_en")),
         "birth_year": fill(c("birth_year"), cal.to_jalali(birth)["y"], True),
@@ -62,7 +69,10 @@ def choose_image(raw: DataFrame, blacklist: DataFrame) -> DataFrame:
     """
     c = F.col
     one = lambda s, name, url: F.struct(F.lit(s).alias("source"), name.alias("name"), url.alias("url"))
-    cand = F.array(one("wikidata_P18", c("wd_image"), F.when(c("wd_image") != "", commons_url(c("wd_image")))), *[one(s, path_tail(c(k)), c(k)) for s, k in (("fa_pageimage", "fa_image"), ("en_pageimage", "en_image"))])
+    cand = F.array(
+        one("wikidata_P18", c("wd_image"), F.when(c("wd_image") != "", commons_url(c("wd_image")))),
+        *[one(s, path_tail(c(k)), c(k)) for s, k in (("fa_pageimage", "fa_image"), ("en_pageimage", "en_image"))]
+    )
     first = F.get(F.filter(cand, lambda x: x["url"].isNotNull() & (x["url"] != "") & ~bad_file(x["name"])), F.lit(0))
     bl = blacklist.select(c("title").alias("_t")).distinct()
     d = raw.join(bl, c("title") == c("_t"), "left").withColumn("pick", F.when(c("_t").isNull(), first))
@@ -77,11 +87,19 @@ def resolve_images(decisions: DataFrame, info: DataFrame) -> DataFrame:
     no_info or bad_type. Other decisions stay as they are.
     """
     c = F.col
-    i = info.select(c("name").alias("_n"), c("host").alias("_h"), c("url").alias("photo_fullres"), F.coalesce("thumb", "url").alias("photo_direct"), "mime", "width", "height").dropDuplicates(["_n", "_h"])
+    i = info.select(
+        c("name").alias("_n"), c("host").alias("_h"), c("url").alias("photo_fullres"), F.coalesce("thumb", "url").alias("photo_direct"), "mime",
+        "width", "height"
+    ).dropDuplicates(["_n", "_h"])
     d = decisions.withColumn("_f", F.when(c("status") == "wiki", media_file(c("url"))))
     j = d.join(i, (c("_f.name") == c("_n")) & (c("_f.host") == c("_h")), "left")
     picture = F.coalesce(c("mime").startswith("image") & ~F.contains("mime", F.lit("svg")), F.lit(False))
-    why = F.when((c("status") != "wiki") | c("url").isNull(), None).when(c("_f").isNull(), "bad_url").when(c("_n").isNull(), "no_info").when(~picture, "bad_type")
+    why = F.when(
+        (c("status") != "wiki") | c("url").isNull(), None
+    ).when(c("_f").isNull(), "bad_url").when(c("_n").isNull(), "no_info").when(~picture, "bad_type")
     good = (c("status") == "wiki") & c("url").isNotNull() & why.isNull()
     told = lambda k: F.when(good, c(k)).alias(k)
-    return j.select("id", F.when(why.isNotNull(), "need_search").when(good, "resolved").otherwise(c("status")).alias("status"), why.alias("reason"), "source", "url", *map(told, ("photo_direct", "photo_fullres", "mime", "width", "height")))
+    return j.select(
+        "id", F.when(why.isNotNull(), "need_search").when(good, "resolved").otherwise(c("status")).alias("status"), why.alias("reason"), "source",
+        "url", *map(told, ("photo_direct", "photo_fullres", "mime", "width", "height"))
+    )

@@ -62,11 +62,20 @@ def new_comment_status(mode: Column) -> Column:
 
 def merge_people(people: DataFrame, comments: DataFrame, photos: DataFrame, reports: DataFrame, merges: DataFrame) -> tuple[DataFrame, ...]:
     """Merges (keep, dup), both known: dependents move, the duplicate's reports are resolved and kept, the duplicate goes."""
-    ok = merges.join(people.select(F.col("id").alias("keep")), "keep", "left_semi").join(people.select(F.col("id").alias("dup")), "dup", "left_semi").where("keep != dup")
+    ok = merges.join(
+        people.select(F.col("id").alias("keep")), "keep", "left_semi"
+    ).join(people.select(F.col("id").alias("dup")), "dup", "left_semi").where("keep != dup")
     m = ok.select("dup", "keep")
-    point = lambda d: d.join(m, F.col("person_id") == F.col("dup"), "left").withColumn("person_id", F.coalesce("keep", "person_id")).select(*d.columns)
+    point = lambda d: d.join(
+        m, F.col("person_id") == F.col("dup"), "left"
+    ).withColumn("person_id", F.coalesce("keep", "person_id")).select(*d.columns)
     r = reports.join(m, F.col("person_id") == F.col("dup"), "left")
-    r = r.withColumns({"status": F.when(F.col("dup").isNotNull(), "resolved").otherwise(F.col("status")), "admin_note": F.when(F.col("dup").isNotNull(), "merged").otherwise(F.col("admin_note"))}).select(*reports.columns)
+    r = r.withColumns(
+        {
+            "status": F.when(F.col("dup").isNotNull(), "resolved").otherwise(F.col("status")),
+            "admin_note": F.when(F.col("dup").isNotNull(), "merged").otherwise(F.col("admin_note"))
+        }
+    ).select(*reports.columns)
     return people.join(m, people.id == m.dup, "left_anti"), point(comments), point(photos), r
 
 
@@ -81,7 +90,12 @@ def patch(people: DataFrame, patches: DataFrame, columns: dict[str, str]) -> Dat
     """Sparse patches (id, fields map): only keys present change; blanks become null, ``int`` columns parse within 1 to 129."""
     j = people.join(patches.select(F.col("id").alias("_id"), "fields"), people.id == F.col("_id"), "left")
     for name, kind in columns.items():
-        j = j.withColumn(name, F.when(F.coalesce(F.map_contains_key("fields", name), F.lit(False)), cleaned(F.try_element_at("fields", F.lit(name)), kind)).otherwise(F.col(name)))
+        j = j.withColumn(
+            name,
+            F.when(
+                F.coalesce(F.map_contains_key("fields", name), F.lit(False)), cleaned(F.try_element_at("fields", F.lit(name)), kind)
+            ).otherwise(F.col(name))
+        )
     return j.select(*people.columns)
 
 
@@ -106,7 +120,9 @@ def edit_people(people: DataFrame, patches: DataFrame, keys: dict[str, tuple[str
     no http address, or it leaves a name of under two characters. One patch a person.
     """
     keys = keys or PATCHED
-    p = patches.select(F.col("id").alias("_id"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("_f"), F.col("notable").alias("_nt"))
+    p = patches.select(
+        F.col("id").alias("_id"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("_f"), F.col("notable").alias("_nt")
+    )
     has = lambda k: F.map_contains_key("_f", k)
     value = lambda k: cleaned(F.try_element_at("_f", F.lit(k)), *keys[k][:2])
     bad_url = F.lit(False)
@@ -118,9 +134,18 @@ def edit_people(people: DataFrame, patches: DataFrame, keys: dict[str, tuple[str
     why = F.when(F.col("_k").isNull(), "no_person").when(bad_url, "bad_url").when(short, "no_name")
     checked = p.join(known, F.col("_id") == F.col("_k"), "left").withColumn("_why", why)
     j = people.join(checked.where("_why IS NULL"), people.id == F.col("_id"), "left")
-    entry = lambda k: F.when(has(k), F.create_map(F.lit(k), tx.json_text(value(k)))).otherwise(F.create_map().cast("map<string,string>"))
-    flag = F.when(F.col("_nt").isNotNull(), F.create_map(F.lit("nt"), tx.json_text(F.col("_nt")))).otherwise(F.create_map().cast("map<string,string>"))
-    new = {"data_json": F.when(F.col("_id").isNotNull(), tx.with_keys(F.col("data_json"), F.map_concat(*map(entry, keys), flag))).otherwise(F.col("data_json")), "notable": F.coalesce("_nt", "notable")}
+    entry = lambda k: F.when(
+        has(k), F.create_map(F.lit(k), tx.json_text(value(k)))
+    ).otherwise(F.create_map().cast("map<string,string>"))
+    flag = F.when(
+        F.col("_nt").isNotNull(), F.create_map(F.lit("nt"), tx.json_text(F.col("_nt")))
+    ).otherwise(F.create_map().cast("map<string,string>"))
+    new = {
+        "data_json": F.when(
+            F.col("_id").isNotNull(), tx.with_keys(F.col("data_json"), F.map_concat(*map(entry, keys), flag))
+        ).otherwise(F.col("data_json")),
+        "notable": F.coalesce("_nt", "notable")
+    }
     for k, (*_, column) in keys.items():
         if column:
             new[column] = F.when(F.coalesce(has(k), F.lit(False)), value(k)).otherwise(F.col(column))
@@ -130,7 +155,11 @@ def edit_people(people: DataFrame, patches: DataFrame, keys: dict[str, tuple[str
 def mirror_rows(people: DataFrame) -> DataFrame:
     """Mirror rows of long records: eight columns, empty texts as null but the name, notable as 0 or 1."""
     c = F.col
-    return people.select("id", F.coalesce("name", F.lit("")).alias("name"), *[F.nullif(c(k), F.lit("")).alias(k) for k in ("name_en", "event", "city", "photo_url", "slug")], F.coalesce("notable", F.lit(False)).cast("int").alias("notable"))
+    return people.select(
+        "id", F.coalesce("name", F.lit("")).alias("name"),
+        *[F.nullif(c(k), F.lit("")).alias(k) for k in ("name_en", "event", "city", "photo_url", "slug")],
+        F.coalesce("notable", F.lit(False)).cast("int").alias("notable")
+    )
 
 
 def replace_mirror(mirror: DataFrame, people: DataFrame) -> DataFrame:
@@ -138,7 +167,10 @@ def replace_mirror(mirror: DataFrame, people: DataFrame) -> DataFrame:
     return mirror.join(people.select("id"), "id", "left_anti").unionByName(mirror_rows(people), allowMissingColumns=True).select(*mirror.columns)
 
 
-def queue(rows: DataFrame, people: DataFrame, status: str | None = None, kind: str | None = None, default: str = "pending", reported: bool = False, order: list[Column] | None = None, limit: int = 300) -> DataFrame:
+def queue(
+    rows: DataFrame, people: DataFrame, status: str | None = None, kind: str | None = None, default: str = "pending", reported: bool = False,
+    order: list[Column] | None = None, limit: int = 300
+) -> DataFrame:
     """A review queue: rows of a status (``default`` if none is asked, ``all`` for any) and kind, with the names of their people.
 
     ``reported`` asks for rows that were reported, whatever their status. Rows of unknown people stay.
@@ -165,22 +197,37 @@ def dashboard(comments: DataFrame, reports: DataFrame, photos: DataFrame, submis
     """One row of eight counts, each table read once."""
     n = lambda d, **tests: d.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
     is_ = lambda s: F.col("status") == s
-    c = n(comments, comments_pending=is_("pending"), comments_approved=is_("approved"), comments_reported=(F.col("report_count") > 0) & ~is_("rejected"))
+    c = n(
+        comments, comments_pending=is_("pending"), comments_approved=is_("approved"), comments_reported=(F.col("report_count") > 0) & ~is_("rejected")
+    )
     r = n(reports, reports_open=is_("open"), reports_duplicate=(F.col("report_type") == "duplicate") & is_("open"))
-    return scalars(c=c, r=r, f=n(photos, photos_pending=is_("pending")), s=n(submissions, submissions_pending=is_("pending")), p=people.agg(F.count("*").alias("people_total")))
+    return scalars(
+        c=c, r=r, f=n(photos, photos_pending=is_("pending")), s=n(submissions, submissions_pending=is_("pending")),
+        p=people.agg(F.count("*").alias("people_total"))
+    )
 
 
 def guard_comments(rows: DataFrame) -> DataFrame:
     """(rows' columns, why): cleaned comments, and why one is refused, else null; a nameless author gets the default."""
     c = F.col
-    d = rows.withColumns({"person_id": tx.clean(c("person_id"), 40), "body": tx.clean(c("body")), "author_name": F.coalesce(F.nullif(tx.clean(c("author_name"), 60), F.lit("")), F.lit("ناشناس"))})
+    d = rows.withColumns(
+        {
+            "person_id": tx.clean(c("person_id"), 40), "body": tx.clean(c("body")),
+            "author_name": F.coalesce(F.nullif(tx.clean(c("author_name"), 60), F.lit("")), F.lit("ناشناس"))
+        }
+    )
     return d.withColumn("why", F.when((c("person_id") == "") | (F.char_length("body") < 2), "short"))
 
 
 def guard_reports(rows: DataFrame) -> DataFrame:
     """Reports with a blank kind as ``other``; refused without a person or of an unknown kind."""
     c = F.col
-    d = rows.withColumns({"person_id": tx.clean(c("person_id"), 40), "report_type": F.coalesce(F.nullif(tx.clean(c("report_type"), 30), F.lit("")), F.lit("other")), "duplicate_of": F.nullif(tx.clean(c("duplicate_of"), 40), F.lit(""))})
+    d = rows.withColumns(
+        {
+            "person_id": tx.clean(c("person_id"), 40), "report_type": F.coalesce(F.nullif(tx.clean(c("report_type"), 30), F.lit("")), F.lit("other")),
+            "duplicate_of": F.nullif(tx.clean(c("duplicate_of"), 40), F.lit(""))
+        }
+    )
     return d.withColumn("why", F.when(c("person_id") == "", "no_person").when(~c("report_type").isin(REPORT_TYPES), "bad_type"))
 
 
@@ -194,7 +241,12 @@ def set_notable(people: DataFrame, commands: DataFrame) -> DataFrame:
     """Set notable to the value that commands (id, notable) give, in column and JSON together; one command a person, so replaying it changes nothing."""
     j = people.join(commands.select(F.col("id").alias("_id"), F.coalesce("notable", F.lit(False)).alias("_nt")), people.id == F.col("_id"), "left")
     told = F.col("_id").isNotNull()
-    return j.withColumns({"data_json": F.when(told, tx.with_key(F.col("data_json"), "nt", F.col("_nt"))).otherwise(F.col("data_json")), "notable": F.coalesce("_nt", "notable")}).select(*people.columns)
+    return j.withColumns(
+        {
+            "data_json": F.when(told, tx.with_key(F.col("data_json"), "nt", F.col("_nt"))).otherwise(F.col("data_json")),
+            "notable": F.coalesce("_nt", "notable")
+        }
+    ).select(*people.columns)
 
 
 def approve_photos(people: DataFrame, photos: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -202,17 +254,29 @@ def approve_photos(people: DataFrame, photos: DataFrame, ids: DataFrame) -> tupl
     c = photos.join(ids.select("id").distinct(), "id", "left_semi")
     known = people.select(F.col("id").alias("_p"))
     c = c.join(known, c.person_id == known._p, "left")
-    why = F.when(F.col("status") != "pending", "not_pending").when(~tx.is_http_url(F.col("photo_url")), "bad_url").when(F.col("_p").isNull(), "no_person")
+    why = F.when(F.col("status") != "pending", "not_pending").when(
+        ~tx.is_http_url(F.col("photo_url")), "bad_url"
+    ).when(F.col("_p").isNull(), "no_person")
     good = latest(c.where(why.isNull()), ["person_id"], [F.desc("id")]).select(F.col("person_id").alias("_id"), F.col("photo_url").alias("_url"))
     done = c.where(why.isNull()).select(F.col("id").alias("_d"))
     p = people.join(good, people.id == F.col("_id"), "left")
-    p = p.withColumns({"data_json": F.when(F.col("_id").isNotNull(), tx.with_key(F.col("data_json"), "ph", F.col("_url"))).otherwise(F.col("data_json")), "photo_url": F.coalesce("_url", "photo_url")}).select(*people.columns)
-    f = photos.join(done, photos.id == done._d, "left").withColumn("status", F.when(F.col("_d").isNotNull(), "approved").otherwise(F.col("status"))).select(*photos.columns)
+    p = p.withColumns(
+        {
+            "data_json": F.when(F.col("_id").isNotNull(), tx.with_key(F.col("data_json"), "ph", F.col("_url"))).otherwise(F.col("data_json")),
+            "photo_url": F.coalesce("_url", "photo_url")
+        }
+    ).select(*people.columns)
+    f = photos.join(done, photos.id == done._d, "left").withColumn(
+        "status", F.when(F.col("_d").isNotNull(), "approved").otherwise(F.col("status"))
+    ).select(*photos.columns)
     return p, f, c.where(why.isNotNull()).select("id", why.alias("why"))
 
 
 #: Keys of an approved submission's JSON and the submission's columns.
-SNAPSHOT = {"n": "name", "ne": "name_en", "a": "age", "g": "gender", "e": "event", "c": "city", "pr": "province", "dj": "date_jalali", "ca": "cause", "oc": "occupation", "s": "story", "ph": "photo_url", "src_text": "sources"}
+SNAPSHOT = {
+    "n": "name", "ne": "name_en", "a": "age", "g": "gender", "e": "event", "c": "city", "pr": "province", "dj": "date_jalali", "ca": "cause",
+    "oc": "occupation", "s": "story", "ph": "photo_url", "src_text": "sources"
+}
 
 
 def approve_submissions(submissions: DataFrame, people: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -221,17 +285,28 @@ def approve_submissions(submissions: DataFrame, people: DataFrame, ids: DataFram
     pid = F.concat(F.lit("jvn_"), F.substring(F.sha1(F.concat_ws("|", F.lit("submission"), F.col("id").cast("string"))), 1, 10))
     have = lambda c: F.col(c) if c in submissions.columns else F.lit(None).cast("string")
     told = [have(long).alias(short) for short, long in SNAPSHOT.items()]
-    snap = F.to_json(F.struct(*told, F.lit("reported").alias("v"), F.lit("community_submission").alias("_source"), F.col("id").alias("_submission_id")), {"ignoreNullFields": "false"})
+    snap = F.to_json(
+        F.struct(*told, F.lit("reported").alias("v"), F.lit("community_submission").alias("_source"), F.col("id").alias("_submission_id")),
+        {"ignoreNullFields": "false"}
+    )
     new = ok.select(pid.alias("id"), "name", "event", "city", "photo_url", F.lit(False).alias("notable"), snap.alias("data_json"))
     done = ok.select(F.col("id").alias("_id"), pid.alias("_pid"))
     s = submissions.join(done, submissions.id == F.col("_id"), "left")
-    s = s.withColumns({"status": F.when(F.col("_id").isNotNull(), "approved").otherwise(F.col("status")), "approved_person_id": F.coalesce("_pid", "approved_person_id")}).select(*submissions.columns)
+    s = s.withColumns(
+        {
+            "status": F.when(F.col("_id").isNotNull(), "approved").otherwise(F.col("status")),
+            "approved_person_id": F.coalesce("_pid", "approved_person_id")
+        }
+    ).select(*submissions.columns)
     return people.unionByName(new, allowMissingColumns=True), s
 
 
 def audit(commands: DataFrame) -> DataFrame:
     """Audit rows of commands (admin_id, action, entity_type, entity_id, detail, created_at)."""
-    return commands.select("admin_id", "action", "entity_type", F.col("entity_id").cast("string").alias("entity_id"), F.substring("detail", 1, 2000).alias("detail"), "created_at")
+    return commands.select(
+        "admin_id", "action", "entity_type", F.col("entity_id").cast("string").alias("entity_id"), F.substring("detail", 1, 2000).alias("detail"),
+        "created_at"
+    )
 
 
 def guarded(rows: DataFrame, settings: DataFrame, flag: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions import calendar as cal
 from quern.functions import text as tx
@@ -21,7 +23,10 @@ SAME_IMAGE, SAME_FACE, NEAR_FACE = 12, 18, 78
 RARE_DATE, RARE_CITY, FUZZY_NAME, STORY_SHARE, STORY_LEAST = 25, 40, 0.88, 0.6, 40
 SMALL_CLUSTER = 4
 #: Weights of a record's completeness.
-WEIGHTS = {"name": 1, "story": 6, "photo_url": 4, "date_jalali": 3, "city": 2, "age": 1, "birth_year": 1, "name_en": 1, "story_en": 3, "province": 1, "cause": 1, "occupation": 1, "gender": 1}
+WEIGHTS = {
+    "name": 1, "story": 6, "photo_url": 4, "date_jalali": 3, "city": 2, "age": 1, "birth_year": 1, "name_en": 1, "story_en": 3, "province": 1,
+    "cause": 1, "occupation": 1, "gender": 1
+}
 NUMBERS, LISTS = ("age", "birth_year"), ("sources", "memorial_links")
 
 
@@ -31,12 +36,17 @@ def is_empty(name: str) -> Column:
 
 
 #: Fields that the first measure of completeness counts.
-FULLNESS = ("name_en", "gender", "age", "birth_year", "date_jalali", "date_gregorian", "city", "province", "cause", "occupation", "story", "story_en", "photo_url")
+FULLNESS = (
+    "name_en", "gender", "age", "birth_year", "date_jalali", "date_gregorian", "city", "province", "cause", "occupation", "story", "story_en",
+    "photo_url"
+)
 
 
 def completeness_v1() -> Column:
     n = sum((F.when(is_empty(f), 0).otherwise(1) for f in FULLNESS), F.lit(0))
-    return n + F.coalesce(F.char_length("story"), F.lit(0)) / 200 + F.when(F.col("verification") == "documented", 0.5).otherwise(0) + F.when(truthy(F.col("notable")), 0.3).otherwise(0)
+    return n + F.coalesce(F.char_length("story"), F.lit(0)) / 200 + F.when(
+        F.col("verification") == "documented", 0.5
+    ).otherwise(0) + F.when(truthy(F.col("notable")), 0.3).otherwise(0)
 
 
 def completeness() -> Column:
@@ -59,7 +69,9 @@ def block_pairs(keyed: DataFrame, cap: int, key: str = "key", id_: str = "id") -
 
 def shared_files(prints: DataFrame, least: int = 2) -> DataFrame:
     """(sha1, n, ids): image files that ``least`` records or more have, and the sorted set of those."""
-    return prints.where("sha1 IS NOT NULL").groupBy("sha1").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") >= least).select("sha1", "n", "ids")
+    return prints.where("sha1 IS NOT NULL").groupBy("sha1").agg(
+        F.array_sort(F.collect_set("id")).alias("ids")
+    ).withColumn("n", F.size("ids")).where(F.col("n") >= least).select("sha1", "n", "ids")
 
 
 def name_keys(people: DataFrame) -> DataFrame:
@@ -72,7 +84,12 @@ def name_keys(people: DataFrame) -> DataFrame:
 def visual_keys(prints: DataFrame) -> DataFrame:
     """(id, key): two bands of three digits of the image hash, one of the face hash, and the content hash."""
     band = lambda c, at, tag: F.when(F.col(c) != "", F.concat(F.lit(tag), F.substring(c, at, 3)))
-    keys = F.array_compact(F.array(F.when(F.col("sha1") != "", F.concat(F.lit("s:"), F.col("sha1"))), band("phash", 1, "p:"), band("phash", 4, "q:"), band("face_phash", 1, "f:")))
+    keys = F.array_compact(
+        F.array(
+            F.when(F.col("sha1") != "", F.concat(F.lit("s:"), F.col("sha1"))), band("phash", 1, "p:"), band("phash", 4, "q:"),
+            band("face_phash", 1, "f:")
+        )
+    )
     return prints.select("id", F.explode(keys).alias("key"))
 
 
@@ -86,7 +103,9 @@ def visual_level(x: str, y: str) -> Column:
     """2 the same image, 1 maybe the same face, 0 neither."""
     c = lambda t, n: F.col(f"{t}.{n}")
     d = lambda n: tx.hamming_hex(c(x, n), c(y, n))
-    same = ((c(x, "sha1") != "") & (c(x, "sha1") == c(y, "sha1"))) | (d("phash") <= SAME_IMAGE) | (d("dhash") <= SAME_IMAGE) | (d("face_phash") <= SAME_FACE)
+    same = (
+        (c(x, "sha1") != "") & (c(x, "sha1") == c(y, "sha1"))
+    ) | (d("phash") <= SAME_IMAGE) | (d("dhash") <= SAME_IMAGE) | (d("face_phash") <= SAME_FACE)
     return F.when(F.coalesce(same, F.lit(False)), 2).when(d("face_phash") <= NEAR_FACE, 1).otherwise(0)
 
 
@@ -107,6 +126,7 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
         p = p.join(prints.select("id", "sha1", "phash", "dhash", "face_phash"), "id", "left").select(*cols, "sha1", "phash", "dhash", "face_phash")
     else:
         p = p.select(*cols)
+    p = stage(p)  # read for both sides of the pairs, and again for those that need texts
     j = pairs.join(p.alias("x"), F.col("a") == F.col("x.id")).join(p.alias("y"), F.col("b") == F.col("y.id"))
     x, y = (lambda n: F.col(f"x.{n}")), (lambda n: F.col(f"y.{n}"))
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -117,15 +137,23 @@ def score(people: DataFrame, pairs: DataFrame, prints: DataFrame | None = None)
     rare_date, rare_city = same("md") & yes(x("date_n") <= RARE_DATE), city & yes(x("city_n") <= RARE_CITY)
     long_story = (F.char_length(x("st")) > STORY_LEAST) & (F.char_length(y("st")) > STORY_LEAST)
     equal, subset = (x("nm") != "") & (x("nm") == y("nm")), yes(tx.is_subset(x("tok"), y("tok")))
-    city_token = F.arrays_overlap(F.filter(F.split(x("ct"), " "), lambda w: F.length(w) > 2), F.filter(F.split(y("ct"), " "), lambda w: F.length(w) > 2))
+    city_token = F.arrays_overlap(
+        F.filter(F.split(x("ct"), " "), lambda w: F.length(w) > 2), F.filter(F.split(y("ct"), " "), lambda w: F.length(w) > 2)
+    )
     same_file = F.lit(False) if prints is None else (x("sha1") != "") & (x("sha1") == y("sha1"))
-    flags = {"same_file": same_file, "image": F.lit(False) if prints is None else visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token), "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset, "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story}
+    flags = {
+        "same_file": same_file, "image": F.lit(False) if prints is None else visual_level("x", "y") == 2, "city": city, "ctok": yes(city_token),
+        "by": by, "age_eq": age, "md_eq": same("md"), "rare_date": rare_date, "rare_city": rare_city, "equal": equal, "subset": subset,
+        "overlap": yes(F.arrays_overlap(x("tok"), y("tok"))), "long_story": long_story
+    }
     # names and stories travel with the pairs that need them only, and are joined to those again
     j = stage(j.select("a", "b", *[yes(v).alias(k) for k, v in flags.items()]))
     c = F.col
     texts = p.select("id", "nm", "st")
     with_texts = lambda d: d.join(texts.toDF("a", "nx", "sx"), "a").join(texts.toDF("b", "ny", "sy"), "b")
-    sure = (c("equal") & (c("city") | c("ctok") | c("by") | c("image") | c("md_eq") | c("age_eq"))) | (c("subset") & (c("city") | c("ctok") | c("image") | c("by") | c("rare_date") | c("age_eq")))
+    sure = (c("equal") & (c("city") | c("ctok") | c("by") | c("image") | c("md_eq") | c("age_eq"))) | (
+        c("subset") & (c("city") | c("ctok") | c("image") | c("by") | c("rare_date") | c("age_eq"))
+    )
     needs_story = c("long_story") & (c("image") | c("overlap") | c("city")) & ~(sure & ~c("image"))
     with_story = with_texts(j.where(needs_story)).select("a", "b", (ratio(c("sx"), c("sy")) >= STORY_SHARE).alias("story"))
     needs_name = c("city") & ~sure
@@ -189,7 +217,9 @@ def merge(people: DataFrame, clusters: DataFrame, edges: DataFrame | None = None
     first = lambda n: F.min_by(c(n), F.when(~is_empty(n), c("rank"))).alias(n)
     longest = lambda n: F.max_by(c(n), F.struct(F.coalesce(F.char_length(n), F.lit(0)), -c("rank"))).alias(n)
     ranked = lambda n: F.array_sort(F.collect_list(F.struct("rank", c(n).alias("v"))))
-    united = lambda n: F.aggregate(ranked(n), F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, F.coalesce(r["v"], F.array().cast("array<string>")))).alias(n)
+    united = lambda n: F.aggregate(
+        ranked(n), F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, F.coalesce(r["v"], F.array().cast("array<string>")))
+    ).alias(n)
     others = lambda n: F.array_sort(F.collect_set(F.when((c("rank") > 1) & ~is_empty(n), c(n).cast("string"))))
     # of each field that may change: the base's value, and the record that the new one is from
     base = lambda n: F.min_by(c(n).cast("string"), "rank").alias(f"_was_{n}")
@@ -197,12 +227,24 @@ def merge(people: DataFrame, clusters: DataFrame, edges: DataFrame | None = None
     origin = lambda n: F.max_by("id", F.struct(F.coalesce(F.char_length(n), F.lit(0)), -c("rank"))).alias(f"_by_{n}")
     g = m.groupBy("component").agg(
         F.min_by("id", "rank").alias("id"), *map(first, plain), *map(longest, longer), F.bool_or(F.coalesce("notable", F.lit(False))).alias("notable"), *map(united, LISTS),
-        F.array_sort(F.collect_list(F.when(c("rank") > 1, c("id")))).alias("merged_ids"), F.array_sort(F.collect_list(F.when(c("rank") > 1, c("name")))).alias("merged_names"),
+        F.array_sort(F.collect_list(F.when(c("rank") > 1, c("id")))).alias("merged_ids"), F.array_sort(
+            F.collect_list(F.when(c("rank") > 1, c("name")))
+        ).alias("merged_names"),
         others("age").alias("ages"), others("photo_url").alias("photos"), *map(base, plain + longer), *map(source, plain), *map(origin, longer),
     )
-    show = lambda n: F.when((c(n).cast("string") != "") & ~c(n).cast("string").eqNullSafe(c(f"_was_{n}")), F.struct(F.lit(n).alias("field"), F.substring(c(f"_was_{n}"), 1, 40).alias("before"), F.substring(c(n).cast("string"), 1, 40).alias("after"), c(f"_by_{n}").alias("src")))
+    show = lambda n: F.when(
+        (c(n).cast("string") != "") & ~c(n).cast("string").eqNullSafe(c(f"_was_{n}")),
+        F.struct(
+            F.lit(n).alias("field"), F.substring(c(f"_was_{n}"), 1, 40).alias("before"), F.substring(c(n).cast("string"), 1, 40).alias("after"),
+            c(f"_by_{n}").alias("src")
+        )
+    )
     g = g.withColumn("changes", F.array_compact(F.array(*map(show, plain + longer))))
-    audit = g.select("component", c("id").alias("kept_id"), c("name").alias("kept_name"), "merged_ids", "merged_names", "changes", F.array_except("ages", F.array(c("age").cast("string"))).alias("age_conflicts"), F.array_except("photos", F.array("photo_url")).alias("alt_photos"))
+    audit = g.select(
+        "component", c("id").alias("kept_id"), c("name").alias("kept_name"), "merged_ids", "merged_names", "changes",
+        F.array_except("ages", F.array(c("age").cast("string"))).alias("age_conflicts"),
+        F.array_except("photos", F.array("photo_url")).alias("alt_photos")
+    )
     if edges is not None:
         audit = audit.join(reasons(edges, clusters), "component", "left")
     rest = people.join(clusters, people.id == clusters.node, "left_anti")
@@ -212,7 +254,10 @@ def merge(people: DataFrame, clusters: DataFrame, edges: DataFrame | None = None
 def merge_summary(people: DataFrame, after: DataFrame, audit: DataFrame) -> DataFrame:
     """One row: records before and after, clusters, records removed."""
     n = lambda d, k: d.agg(F.count("*").alias(k))
-    return scalars(b=n(people, "before"), a=n(after, "after"), c=audit.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.size("merged_ids")), F.lit(0)).alias("removed")))
+    return scalars(
+        b=n(people, "before"), a=n(after, "after"),
+        c=audit.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.size("merged_ids")), F.lit(0)).alias("removed"))
+    )
 
 
 @F.pandas_udf(T.BooleanType())
@@ -223,7 +268,9 @@ def all_related(names: pd.Series) -> pd.Series:
     def related(a: str, b: str) -> bool:
         short, long = sorted(([w for w in x.split() if len(w) > 1] for x in (a, b)), key=len)
         rest = iter(long)
-        return (bool(short) and (short == long or (len(short) > 1 and all(w in rest for w in short)))) or bool(a and b) and SequenceMatcher(None, a, b).ratio() >= FUZZY_NAME
+        return (
+            bool(short) and (short == long or (len(short) > 1 and all(w in rest for w in short)))
+        ) or bool(a and b) and SequenceMatcher(None, a, b).ratio() >= FUZZY_NAME
 
     return pd.Series([all(related(a, b) for i, a in enumerate(x) for b in x[i + 1 :]) for x in map(list, names)], dtype=bool)
 
@@ -254,20 +301,25 @@ def conservative_dedup(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     is compared as it is by then. Depends on the order of rows, so a name is one task;
     names are record-sized groups.
     """
-    cols = people.withColumns({"__nm": tx.norm_name_v1(F.col("name")), "__st": tx.norm_text_v1(F.col("story")), "__ct": F.trim(F.coalesce("city", F.lit(""))), "__md": cal.month_day_text(F.col("date_jalali"))})
+    cols = people.withColumns(
+        {
+            "__nm": tx.norm_name_v1(F.col("name")), "__st": tx.norm_text_v1(F.col("story")), "__ct": F.trim(F.coalesce("city", F.lit(""))),
+            "__md": cal.month_day_text(F.col("date_jalali"))
+        }
+    )
     single = cols.where("__nm = ''")
     many = cols.where("__nm != ''")
     kept, fields = people.columns, [f for f in people.columns if f not in ("id", "event", "ordinal")]
-    whole = {f.name for f in people.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType))}
     out_schema = T.StructType([*people.schema.fields, T.StructField("__into", people.schema["id"].dataType), T.StructField("__at", T.IntegerType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    shape = to_arrow_schema(out_schema)
+
+    def run(group: pa.Table) -> pa.Table:
         from difflib import SequenceMatcher
 
         share = lambda a, b: SequenceMatcher(None, a, b).ratio()
-        rows = [{k: (v.tolist() if hasattr(v, "tolist") and getattr(v, "ndim", 0) else v) for k, v in r.items()} for r in pdf.sort_values("ordinal").to_dict("records")]
-        none = lambda v: v is None or (not isinstance(v, (list, str)) and pd.isna(v))
-        empty = lambda v: none(v) or v in ("", 0, [])
+        rows = sorted(group.to_pylist(), key=lambda r: r["ordinal"])
+        empty = lambda v: v is None or v in ("", 0, [])
 
         def alike(s: dict, o: dict) -> bool:
             told = len(s["__st"]) > 25 and len(o["__st"]) > 25
@@ -296,7 +348,7 @@ def conservative_dedup(people: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def fullness(r: dict) -> float:
             n = sum(not empty(r[f]) for f in FULLNESS)
-            return n + len(r["story"] or "") / 200 + 0.5 * (r["verification"] == "documented") + 0.3 * bool(not none(r["notable"]) and r["notable"])
+            return n + len(r["story"] or "") / 200 + 0.5 * (r["verification"] == "documented") + 0.3 * bool(r["notable"])
 
         gone: dict[int, tuple] = {}
         for i, s in enumerate(rows):
@@ -308,15 +360,17 @@ def conservative_dedup(people: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if k != best:
                     absorb(rows[best], rows[k])
                     gone[k] = (rows[best]["id"], len(gone))
-        plain = lambda f, v: None if none(v) else int(v) if f in whole else v
-        out = pd.DataFrame([{**{f: plain(f, r[f]) for f in kept}, "__into": gone.get(k, (None,))[0], "__at": gone.get(k, (None, None))[1]} for k, r in enumerate(rows)], columns=out_schema.names, dtype=object)
-        return out
+        out = [{**{f: r[f] for f in kept}, "__into": gone.get(k, (None,))[0], "__at": gone.get(k, (None, None))[1]} for k, r in enumerate(rows)]
+        return pa.Table.from_pylist(out, shape)
 
-    done = stage(many.groupBy("__nm").applyInPandas(run, out_schema))
+    done = stage(many.groupBy("__nm").applyInArrow(run, out_schema))
     after = done.where("__into IS NULL").select(*people.columns).unionByName(single.select(*people.columns))
     keepers = people.select(F.col("id").alias("__into"), F.col("event").alias("kept_event"))
     audit = done.where("__into IS NOT NULL").join(keepers, "__into", "left")
-    return after, audit.select(tx.norm_name_v1(F.col("name")).alias("name"), F.col("__into").alias("kept_id"), "kept_event", F.col("id").alias("removed_id"), F.col("event").alias("removed_event"))
+    return after, audit.select(
+        tx.norm_name_v1(F.col("name")).alias("name"), F.col("__into").alias("kept_id"), "kept_event", F.col("id").alias("removed_id"),
+        F.col("event").alias("removed_event")
+    )
 
 
 def apply_merges(people: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,8 +379,16 @@ def apply_merges(people: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
     clusters = good.select(F.col("keep").alias("component"), F.col("dup").alias("node"))
     clusters = clusters.unionByName(good.select(F.col("keep").alias("component"), F.col("keep").alias("node")).distinct())
     c = F.col
-    m = people.join(clusters, people.id == clusters.node).withColumn("rank", F.when(c("id") == c("component"), F.lit("")).otherwise(c("id").cast("string")))
+    m = people.join(clusters, people.id == clusters.node).withColumn(
+        "rank", F.when(c("id") == c("component"), F.lit("")).otherwise(c("id").cast("string"))
+    )
     first = lambda n: F.min_by(c(n), F.when(~is_empty(n), c("rank"))).alias(n)
-    united = lambda n: F.aggregate(F.array_sort(F.collect_list(F.struct("rank", c(n).alias("v")))), F.array().cast("array<string>"), lambda a, r: F.array_union(a, F.coalesce(r["v"], F.array().cast("array<string>")))).alias(n)
-    g = m.groupBy("component").agg(*[first(n) for n in people.columns if n not in ("id", "notable", *LISTS)], F.bool_or(F.coalesce("notable", F.lit(False))).alias("notable"), *map(united, LISTS)).withColumnRenamed("component", "id")
+    united = lambda n: F.aggregate(
+        F.array_sort(F.collect_list(F.struct("rank", c(n).alias("v")))), F.array().cast("array<string>"), lambda a,
+        r: F.array_union(a, F.coalesce(r["v"], F.array().cast("array<string>")))
+    ).alias(n)
+    g = m.groupBy("component").agg(
+        *[first(n) for n in people.columns if n not in ("id", "notable", *LISTS)], F.bool_or(F.coalesce("notable", F.lit(False))).alias("notable"),
+        *map(united, LISTS)
+    ).withColumnRenamed("component", "id")
     return people.join(clusters, people.id == clusters.node, "left_anti").unionByName(g.select(*people.columns)), good

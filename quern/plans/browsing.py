@@ -18,7 +18,9 @@ def people(spark: SparkSession, d: str) -> DataFrame:
     age = F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 90).cast("int"))
     return c.select(
         F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"), F.col("n_name").alias("event"), F.col("r_name").alias("province"),
-        age.alias("age"), F.when(F.col("c_acctbal") > 5000, F.lit("http://x/p.jpg")).alias("photo_url"), (F.col("c_mktsegment") == "BUILDING").alias("notable"), F.col("c_mktsegment").alias("verification"),
+        age.alias("age"), F.when(
+            F.col("c_acctbal") > 5000, F.lit("http://x/p.jpg")
+        ).alias("photo_url"), (F.col("c_mktsegment") == "BUILDING").alias("notable"), F.col("c_mktsegment").alias("verification"),
     )
 
 
@@ -63,8 +65,13 @@ def document_search(spark, d):
 
 def timeline_decade_search(spark, d):
     o = table(spark, d, "orders")
-    o = o.select("o_orderkey", F.concat(F.substring(F.year("o_orderdate").cast("string"), 1, 3), F.lit("0")).alias("decade"), "o_orderstatus", "o_orderpriority")
-    return b.timeline(o, "1990", "URGENT", ("o_orderstatus", "o_orderpriority")).select("o_orderkey", "decade", tx.truncate(F.col("o_orderpriority"), 4).alias("short"))
+    o = o.select(
+        "o_orderkey", F.concat(F.substring(F.year("o_orderdate").cast("string"), 1, 3), F.lit("0")).alias("decade"), "o_orderstatus",
+        "o_orderpriority"
+    )
+    return b.timeline(o, "1990", "URGENT", ("o_orderstatus", "o_orderpriority")).select(
+        "o_orderkey", "decade", tx.truncate(F.col("o_orderpriority"), 4).alias("short")
+    )
 
 
 def relevance_sort(spark, d):
@@ -72,18 +79,24 @@ def relevance_sort(spark, d):
 
 
 def date_sort_blank_last(spark, d):
-    o = table(spark, d, "orders").withColumn("dg", F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).when(F.col("o_orderkey") % 4 != 1, F.date_format("o_orderdate", "yyyy-MM-dd")))
+    o = table(spark, d, "orders").withColumn(
+        "dg", F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).when(F.col("o_orderkey") % 4 != 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
     return o.orderBy(F.nullif("dg", F.lit("")).desc_nulls_last(), "o_orderkey").limit(500).select("o_orderkey", "dg")
 
 
 def event_order_default(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_name").alias("event"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey")).cast("int").alias("order"))
+    n = table(spark, d, "nation").select(
+        F.col("n_name").alias("event"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey")).cast("int").alias("order")
+    )
     p = people(spark, d).join(n, "event", "left").withColumn("place", b.event_order())
     return p.orderBy("place", "id").limit(200).select("id", "event", "place")
 
 
 def age_sorts(spark, d):
-    up, down = (people(spark, d).orderBy(*b.sort_keys(s)).offset(10).limit(30).select("id", "age", F.lit(s).alias("sort")) for s in ("age", "age_desc"))
+    up, down = (
+        people(spark, d).orderBy(*b.sort_keys(s)).offset(10).limit(30).select("id", "age", F.lit(s).alias("sort")) for s in ("age", "age_desc")
+    )
     return up.unionByName(down)
 
 
@@ -114,7 +127,8 @@ def label_counts(spark, d):
 QUERIES = {
     "browse_facets_sorted_page": (browse_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE province = 'ASIA' AND photo_url IS NOT NULL
       ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 48 OFFSET 2"""),
-    "text_search_page": (text_search_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE contains(lower(name || ' ' || event || ' ' || province), '1 nation_1')
+    "text_search_page": (text_search_page, f"""WITH {PEOPLE} SELECT id, name, event, age FROM people WHERE contains(lower(name || ' ' || event || ' '
+      || province), '1 nation_1')
       ORDER BY age DESC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 48"""),
     "bucket_filter": (bucket_filter, """WITH p AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_size * 2 END AS age FROM part)
       SELECT 'child' AS bucket, count(*) AS n, min(age) AS low, max(age) AS high FROM p WHERE age <= 17
@@ -124,20 +138,37 @@ QUERIES = {
       UNION ALL SELECT 'other', count(*), min(age), max(age) FROM p WHERE age IS NOT NULL"""),
     "multi_field_search": (multi_field_search, """SELECT p_partkey, p_name, p_brand, p_type FROM part
       WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1') OR contains(lower(p_type), 'brand#1')"""),
-    "document_search": (document_search, "SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE contains(lower(text), 'license') GROUP BY source"),
+    "document_search": (
+        document_search,
+        "SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE contains(lower(text), 'license') GROUP BY source"
+    ),
     "timeline_decade_search": (timeline_decade_search, """SELECT o_orderkey, substr(year(o_orderdate)::VARCHAR, 1, 3) || '0' AS decade,
       CASE WHEN length(o_orderpriority) > 4 THEN substr(o_orderpriority, 1, 4) || '…' ELSE o_orderpriority END AS short
       FROM orders WHERE year(o_orderdate) // 10 = 199 AND (contains(o_orderstatus, 'URGENT') OR contains(o_orderpriority, 'URGENT'))"""),
-    "relevance_sort": (relevance_sort, f"WITH {PEOPLE} SELECT id, {RELEVANCE}::INT AS relevance FROM people ORDER BY relevance DESC, ordinal LIMIT 100"),
-    "date_sort_blank_last": (date_sort_blank_last, """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS dg FROM orders)
+    "relevance_sort": (
+        relevance_sort, f"WITH {PEOPLE} SELECT id, {RELEVANCE}::INT AS relevance FROM people ORDER BY relevance DESC, ordinal LIMIT 100"
+    ),
+    "date_sort_blank_last": (date_sort_blank_last, """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 <> 1 THEN
+      strftime(o_orderdate, '%Y-%m-%d') END AS dg FROM orders)
       SELECT o_orderkey, dg FROM o ORDER BY nullif(dg, '') DESC NULLS LAST, o_orderkey LIMIT 500"""),
     "event_order_default": (event_order_default, f"""WITH {PEOPLE}, e AS (SELECT n_name AS event, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS o FROM nation)
       SELECT id, event, coalesce(nullif(o, 0), 99)::INT AS place FROM people LEFT JOIN e USING (event) ORDER BY place, id LIMIT 200"""),
-    "age_sorts": (age_sorts, f"""WITH {PEOPLE} SELECT * FROM (SELECT id, age, 'age' AS sort FROM people ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 30 OFFSET 10)
+    "age_sorts": (age_sorts, f"""WITH {PEOPLE} SELECT * FROM (SELECT id, age, 'age' AS sort FROM people ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC,
+      ordinal LIMIT 30 OFFSET 10)
       UNION ALL SELECT * FROM (SELECT id, age, 'age_desc' AS sort FROM people ORDER BY age DESC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 30 OFFSET 10)"""),
-    "facet_having_min": (facet_having_min, f"WITH {PEOPLE} SELECT trim(event) AS value, count(*) AS n FROM people WHERE event <> '' GROUP BY 1 HAVING count(*) >= 5"),
-    "zero_filled_counts": (zero_filled_counts, """SELECT n_nationkey, n_regionkey AS place, count(s_suppkey) AS n FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) ON s_nationkey = n_nationkey GROUP BY ALL"""),
-    "ilike_lookup": (ilike_lookup, "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE '%b_and#2%' OR p_name ILIKE '%b_and#2%' ORDER BY p_partkey LIMIT 25"),
-    "latest_per_thread": (latest_per_thread, "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1"),
+    "facet_having_min": (
+        facet_having_min, f"WITH {PEOPLE} SELECT trim(event) AS value, count(*) AS n FROM people WHERE event <> '' GROUP BY 1 HAVING count(*) >= 5"
+    ),
+    "zero_filled_counts": (
+        zero_filled_counts,
+        """SELECT n_nationkey, n_regionkey AS place, count(s_suppkey) AS n FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) ON s_nationkey = n_nationkey GROUP BY ALL"""
+    ),
+    "ilike_lookup": (
+        ilike_lookup, "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE '%b_and#2%' OR p_name ILIKE '%b_and#2%' ORDER BY p_partkey LIMIT 25"
+    ),
+    "latest_per_thread": (
+        latest_per_thread,
+        "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1"
+    ),
     "label_counts": (label_counts, "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
 }

@@ -27,8 +27,12 @@ def long_people(spark: SparkSession, d: str) -> DataFrame:
     cu = table(spark, d, "customer")
     k, s = c("c_custkey"), lambda v: F.lit(v).cast("string")
     value = {
-        "id": F.concat(F.lit("jvn_"), F.lpad(F.lower(F.hex(k)), 10, "0")), "slug": F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))), "name": c("c_name"), "name_en": F.when(k % 3 == 0, "").otherwise(c("c_name")),
-        "event": F.when(k % 11 == 0, "gone").otherwise(F.concat(F.lit("e"), c("c_nationkey").cast("string"))), "gender": F.when(k % 5 == 0, None).when(k % 2 == 0, "w").otherwise("m"), "age": F.when(k % 7 != 0, (k % 90).cast("int")),
+        "id": F.concat(F.lit("jvn_"), F.lpad(F.lower(F.hex(k)), 10, "0")), "slug": F.when(
+            k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))
+        ), "name": c("c_name"), "name_en": F.when(k % 3 == 0, "").otherwise(c("c_name")),
+        "event": F.when(k % 11 == 0, "gone").otherwise(
+            F.concat(F.lit("e"), c("c_nationkey").cast("string"))
+        ), "gender": F.when(k % 5 == 0, None).when(k % 2 == 0, "w").otherwise("m"), "age": F.when(k % 7 != 0, (k % 90).cast("int")),
         "birth_year": s(None).cast("int"), "date_jalali": s(None), "date_gregorian": s(None), "city": F.when(k % 6 == 0, 'a "b", c').otherwise("town"), "province": s(None), "cause": s(None), "occupation": s(None), "story": F.when(k % 2 == 0, "told"),
         "story_en": F.when(k % 8 == 0, "told").when(k % 8 == 2, "said"), "photo_url": F.when(k % 9 == 0, "http://p"), "memorial_links": F.array(F.lit("https://www.x.com/a")), "notable": c("c_mktsegment") == "BUILDING",
         "verification": F.when(k % 2 == 0, "documented").otherwise("reported"), "flagged_review": s(None), "sources": F.array(F.lit("s1"), c("c_mktsegment")),
@@ -37,7 +41,10 @@ def long_people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.concat(F.lit("e"), c("n_nationkey").cast("string")).alias("event"), c("n_name").alias("title"), (c("n_regionkey")).cast("int").alias("order"))
+    return table(spark, d, "nation").select(
+        F.concat(F.lit("e"), c("n_nationkey").cast("string")).alias("event"), c("n_name").alias("title"),
+        (c("n_regionkey")).cast("int").alias("order")
+    )
 
 
 def meta(spark: SparkSession) -> DataFrame:
@@ -48,8 +55,19 @@ def archive_scan(spark, d):
     """A short-form archive document written from the tables and scanned back as long records with their ordinal."""
     cu = table(spark, d, "customer").where("c_custkey <= 500")  # an archive is one document
     k = c("c_custkey")
-    person = F.struct(k.cast("string").alias("id"), c("c_name").alias("n"), F.lit("e1").alias("e"), F.when(k % 2 == 0, 1).when(k % 3 == 0, 0).alias("nt"), F.when(k % 5 == 0, k).alias("a"), F.when(k % 4 == 0, F.array(c("c_mktsegment"))).alias("src"))
-    doc = cu.agg(F.to_json(F.struct(F.create_map(F.lit("version"), F.lit("1")).alias("meta"), F.create_map(F.lit("e1"), F.struct(F.lit("t").alias("title"), F.lit(3).alias("order"))).alias("events"), F.sort_array(F.collect_list(F.struct(k, person.alias("p"))))["p"].alias("people"))).alias("value"))
+    person = F.struct(
+        k.cast("string").alias("id"), c("c_name").alias("n"), F.lit("e1").alias("e"), F.when(k % 2 == 0, 1).when(k % 3 == 0, 0).alias("nt"),
+        F.when(k % 5 == 0, k).alias("a"), F.when(k % 4 == 0, F.array(c("c_mktsegment"))).alias("src")
+    )
+    doc = cu.agg(
+        F.to_json(
+            F.struct(
+                F.create_map(F.lit("version"), F.lit("1")).alias("meta"),
+                F.create_map(F.lit("e1"), F.struct(F.lit("t").alias("title"), F.lit(3).alias("order"))).alias("events"),
+                F.sort_array(F.collect_list(F.struct(k, person.alias("p"))))["p"].alias("people")
+            )
+        ).alias("value")
+    )
     path = scratch_path(spark)
     doc.write.text(path)
     p, _, _ = archive.read_archive(spark, path)
@@ -70,21 +88,30 @@ def flags_carried(spark, d):
 def last_fingerprints(spark, d):
     """Each id's last good fingerprint in the order of the file."""
     e = table(spark, d, "embeddings").orderBy("vec_id").coalesce(1)
-    rec = e.select(c("vec_id").cast("string").alias("url"), (c("vec_id") % 3 != 0).alias("ok"), F.sha1(c("vec_id").cast("string")).alias("sha1"), F.array(F.concat(F.lit("p"), (c("vec_id") % 100).cast("string")), F.concat(F.lit("q"), c("label").cast("string"))).alias("ids"))
+    rec = e.select(
+        c("vec_id").cast("string").alias("url"), (c("vec_id") % 3 != 0).alias("ok"), F.sha1(c("vec_id").cast("string")).alias("sha1"),
+        F.array(F.concat(F.lit("p"), (c("vec_id") % 100).cast("string")), F.concat(F.lit("q"), c("label").cast("string"))).alias("ids")
+    )
     path = scratch_path(spark)
     rec.write.json(path)
     return archive.read_fingerprints(spark, path).select("id", "sha1")
 
 
 def urls_of_records(spark, d):
-    p = long_people(spark, d).withColumn("photo_url", F.when(c("age") % 4 == 0, F.concat(F.lit(" http://p/"), (c("age") % 8).cast("string"), F.lit(" "))).when(c("age") % 4 == 1, "  "))
+    p = long_people(spark, d).withColumn(
+        "photo_url", F.when(c("age") % 4 == 0, F.concat(F.lit(" http://p/"), (c("age") % 8).cast("string"), F.lit(" "))).when(c("age") % 4 == 1, "  ")
+    )
     return archive.urls_to_ids(p).select("url", F.md5(F.array_join("ids", ";")).alias("ids"), F.size("ids").alias("n"))
 
 
 def page_details(spark, d):
     """Page records of an encyclopedia's answers; a page that is missing gives nulls."""
     k = c("page_id")
-    page = F.struct(k.alias("pageid"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.struct(F.concat(F.lit("Q"), k.cast("string")).alias("wikibase_item")).alias("pageprops"), F.when(k % 2 == 0, F.struct(c("url").alias("source"))).alias("original"), c("url").alias("fullurl"))
+    page = F.struct(
+        k.alias("pageid"), F.concat(F.lit("T "), k.cast("string")).alias("title"),
+        F.struct(F.concat(F.lit("Q"), k.cast("string")).alias("wikibase_item")).alias("pageprops"),
+        F.when(k % 2 == 0, F.struct(c("url").alias("source"))).alias("original"), c("url").alias("fullurl")
+    )
     answer = F.to_json(F.struct(F.struct(F.create_map(F.when(k % 4 == 0, "-1").otherwise(k.cast("string")), page).alias("pages")).alias("query")))
     return archive.page_details(table(spark, d, "pages").select(k.alias("id"), answer.alias("pages")), "fa")
 
@@ -98,10 +125,18 @@ def claims(spark, d):
         k.alias("id"),
         F.to_json(F.struct(F.when(k % 2 == 0, snak(F.concat(F.lit("F"), k.cast("string"), F.lit(".jpg")))).alias("P18"), F.when(k % 3 == 0, snak(F.struct(F.lit("+1990-01-02T00:00:00Z").alias("time")))).alias("P569"), snak(item(F.lit("Q1"))).alias("P19"),
                            F.when(k % 5 == 0, F.concat(snak(item(F.lit("Q7"))), snak(item(F.lit("Q8"))))).when(k % 5 == 1, snak(item(F.lit("Q9")))).alias("P106"))).alias("claims"),
-        F.to_json(F.struct(F.struct(F.lit("En").alias("title")).alias("enwiki"), F.when(k % 2 == 1, F.struct(F.lit("Fa").alias("title"))).alias("fawiki"), F.struct(F.lit("De").alias("title")).alias("dewiki"))).alias("sitelinks"),
+        F.to_json(
+            F.struct(
+                F.struct(F.lit("En").alias("title")).alias("enwiki"), F.when(k % 2 == 1, F.struct(F.lit("Fa").alias("title"))).alias("fawiki"),
+                F.struct(F.lit("De").alias("title")).alias("dewiki")
+            )
+        ).alias("sitelinks"),
     )
     got = archive.entity_claims(p)
-    return got.select("id", "image", "birth", "birth_place", F.array_join("occupations", ";").alias("jobs"), F.element_at("sitelinks", "enwiki").alias("en"), F.try_element_at("sitelinks", F.lit("fawiki")).alias("fa"), F.size("sitelinks").alias("n"))
+    return got.select(
+        "id", "image", "birth", "birth_place", F.array_join("occupations", ";").alias("jobs"), F.element_at("sitelinks", "enwiki").alias("en"),
+        F.try_element_at("sitelinks", F.lit("fawiki")).alias("fa"), F.size("sitelinks").alias("n")
+    )
 
 
 def rows_to_do(spark, d):
@@ -115,7 +150,9 @@ def lookups(spark, d):
     cu = table(spark, d, "customer")
     one = archive.row_of(cu, "c_mktsegment", "BUILDING", "c_custkey").select(c("c_name").alias("value"))
     none = archive.row_of(cu, "c_mktsegment", "none", "c_custkey").select(c("c_name").alias("value"))
-    return archive.newest(o).select(F.lit("newest").alias("kind"), c("path").alias("value")).unionByName(one.select(F.lit("first").alias("kind"), "value")).unionByName(none.select(F.lit("none").alias("kind"), "value"))
+    return archive.newest(o).select(
+        F.lit("newest").alias("kind"), c("path").alias("value")
+    ).unionByName(one.select(F.lit("first").alias("kind"), "value")).unionByName(none.select(F.lit("none").alias("kind"), "value"))
 
 
 def document(spark, d):
@@ -124,7 +161,9 @@ def document(spark, d):
 
 
 def lite_document(spark, d):
-    return publish.document_lines(long_people(spark, d), events(spark, d), meta(spark), lite=True).where("part.kind = 1").select("part.id", c("value"))
+    return publish.document_lines(
+        long_people(spark, d), events(spark, d), meta(spark), lite=True
+    ).where("part.kind = 1").select("part.id", c("value"))
 
 
 def csv_form(spark, d):
@@ -139,7 +178,9 @@ def event_documents(spark, d):
 def statistics(spark, d):
     s = publish.statistics(long_people(spark, d), events(spark, d))
     flat = lambda k: s.select(F.lit(k).alias("kind"), F.explode(k).alias("value", "n"))
-    total = s.select(F.explode(F.create_map(F.lit("total"), c("total"), F.lit("notable"), c("notable"))).alias("value", "n")).select(F.lit("all").alias("kind"), "value", "n")
+    total = s.select(
+        F.explode(F.create_map(F.lit("total"), c("total"), F.lit("notable"), c("notable"))).alias("value", "n")
+    ).select(F.lit("all").alias("kind"), "value", "n")
     return total.unionByName(flat("by_event")).unionByName(flat("by_verification")).unionByName(flat("by_gender"))
 
 
@@ -167,16 +208,25 @@ def cards(spark, d):
 
 def details(spark, d):
     p = long_people(spark, d)
-    more = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("https://www.h"), i.cast("string"), F.lit(".netflix.com/"), c("city").substr(1, 1)))
+    more = F.transform(
+        F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("https://www.h"), i.cast("string"), F.lit(".netflix.com/"), c("city").substr(1, 1))
+    )
     x = b.details(p.withColumn("memorial_links", F.concat(F.array(F.lit("bad")), more)))
     show = lambda f: F.concat_ws("=", f["label"], f["value"])
-    return x.select("id", F.array_join(F.transform("facts", show), ";").alias("facts"), F.array_join(F.transform("links", lambda u: F.concat_ws(":", u["host"], u["kind"])), ";").alias("links"), "story", "story_en")
+    return x.select(
+        "id", F.array_join(F.transform("facts", show), ";").alias("facts"),
+        F.array_join(F.transform("links", lambda u: F.concat_ws(":", u["host"], u["kind"])), ";").alias("links"), "story", "story_en"
+    )
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     """Orders as timeline entries, their clerks' decades one of two words."""
     o = table(spark, d, "orders")
-    return o.select(c("o_orderkey").alias("id"), F.concat(F.lit("t"), c("o_orderkey").cast("string")).alias("title"), F.date_format("o_orderdate", "yyyy").alias("date"), F.when(c("o_orderkey") % 3 == 0, "صنفی").otherwise("۱۳۹۰").alias("decade"), F.repeat(c("o_orderpriority"), (c("o_orderkey") % 9).cast("int")).alias("spark"), c("o_orderstatus").alias("casualties"))
+    return o.select(
+        c("o_orderkey").alias("id"), F.concat(F.lit("t"), c("o_orderkey").cast("string")).alias("title"),
+        F.date_format("o_orderdate", "yyyy").alias("date"), F.when(c("o_orderkey") % 3 == 0, "صنفی").otherwise("۱۳۹۰").alias("decade"),
+        F.repeat(c("o_orderpriority"), (c("o_orderkey") % 9).cast("int")).alias("spark"), c("o_orderstatus").alias("casualties")
+    )
 
 
 def summary_table(spark, d):
@@ -195,48 +245,82 @@ def random_ids(spark, d):
     return x.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct"), F.count_if(c("id").rlike("^[0-9a-f]{10}$")).alias("formed"))
 
 
-_LONG = """l AS (SELECT c_custkey AS k, 'jvn_' || lpad(lower(hex(c_custkey)), 10, '0') AS id, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey END AS slug, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name_en,
-    CASE WHEN c_custkey % 11 = 0 THEN 'gone' ELSE 'e' || c_nationkey END AS event, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'w' ELSE 'm' END AS gender, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 90)::INT END AS age,
-    CASE WHEN c_custkey % 6 = 0 THEN 'a "b", c' ELSE 'town' END AS city, CASE WHEN c_custkey % 2 = 0 THEN 'told' END AS story, CASE c_custkey % 8 WHEN 0 THEN 'told' WHEN 2 THEN 'said' END AS story_en, CASE WHEN c_custkey % 9 = 0 THEN 'http://p' END AS photo_url,
+_LONG = """l AS (SELECT c_custkey AS k, 'jvn_' || lpad(lower(hex(c_custkey)), 10, '0') AS id, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey END AS
+  slug, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS name_en,
+    CASE WHEN c_custkey % 11 = 0 THEN 'gone' ELSE 'e' || c_nationkey END AS event, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN
+      'w' ELSE 'm' END AS gender, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 90)::INT END AS age,
+    CASE WHEN c_custkey % 6 = 0 THEN 'a "b", c' ELSE 'town' END AS city, CASE WHEN c_custkey % 2 = 0 THEN 'told' END AS story, CASE c_custkey % 8 WHEN
+      0 THEN 'told' WHEN 2 THEN 'said' END AS story_en, CASE WHEN c_custkey % 9 = 0 THEN 'http://p' END AS photo_url,
     c_mktsegment = 'BUILDING' AS notable, CASE WHEN c_custkey % 2 = 0 THEN 'documented' ELSE 'reported' END AS verification, c_mktsegment AS seg FROM customer)"""
 _RECORD = """to_json({id: id, slug: slug, name: name, name_en: name_en, event: event, gender: gender, age: age, birth_year: NULL, date_jalali: NULL, date_gregorian: NULL, city: city, province: NULL, cause: NULL, occupation: NULL, story: story, story_en: story_en,
     photo_url: photo_url, memorial_links: ['https://www.x.com/a'], notable: notable, verification: verification, flagged_review: NULL, sources: ['s1', seg]})::VARCHAR"""
 _EV = "ev AS (SELECT 'e' || n_nationkey AS event, n_name AS title, n_regionkey::INT AS o FROM nation)"
 _Q = """'"'"""
 QUERIES = {
-    "archive_scan": (archive_scan, """SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS ordinal, c_custkey::VARCHAR AS id, c_name AS name, c_custkey % 2 = 0 AS notable, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::INT END AS age, 0::INT AS links,
+    "archive_scan": (archive_scan, """SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS ordinal, c_custkey::VARCHAR AS id, c_name AS name,
+      c_custkey % 2 = 0 AS notable, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::INT END AS age, 0::INT AS links,
       CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE '' END AS sources FROM customer WHERE c_custkey <= 500"""),
-    "flags_carried": (flags_carried, f"WITH {_LONG} SELECT id, CASE WHEN age % 2 = 0 THEN 'new' WHEN age % 3 = 0 THEN 'old ' || name END AS flagged_review FROM l"),
-    "last_fingerprints": (last_fingerprints, """WITH x AS (SELECT vec_id, 'p' || vec_id % 100 AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, 'q' || label FROM embeddings WHERE vec_id % 3 <> 0)
+    "flags_carried": (
+        flags_carried, f"WITH {_LONG} SELECT id, CASE WHEN age % 2 = 0 THEN 'new' WHEN age % 3 = 0 THEN 'old ' || name END AS flagged_review FROM l"
+    ),
+    "last_fingerprints": (last_fingerprints, """WITH x AS (SELECT vec_id, 'p' || vec_id % 100 AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL
+      SELECT vec_id, 'q' || label FROM embeddings WHERE vec_id % 3 <> 0)
       SELECT id, sha1(max(vec_id)::VARCHAR) AS sha1 FROM x GROUP BY id"""),
-    "urls_of_records": (urls_of_records, f"WITH {_LONG} SELECT 'http://p/' || age % 8 AS url, md5(string_agg(id, ';' ORDER BY id)) AS ids, count(*)::INT AS n FROM l WHERE age % 4 = 0 GROUP BY 1"),
+    "urls_of_records": (
+        urls_of_records,
+        f"WITH {_LONG} SELECT 'http://p/' || age % 8 AS url, md5(string_agg(id, ';' ORDER BY id)) AS ids, count(*)::INT AS n FROM l WHERE age % 4 = 0 GROUP BY 1"
+    ),
     "page_details": (page_details, """WITH x AS (SELECT page_id AS id, page_id % 4 <> 0 AS has, * FROM pages)
-      SELECT id, CASE WHEN has THEN 'T ' || page_id END AS title, CASE WHEN has THEN page_id END AS pageid, CASE WHEN has THEN 'Q' || page_id END AS qid, NULL::VARCHAR AS extract, CASE WHEN has AND id % 2 = 0 THEN url END AS pageimage_original,
+      SELECT id, CASE WHEN has THEN 'T ' || page_id END AS title, CASE WHEN has THEN page_id END AS pageid, CASE WHEN has THEN 'Q' || page_id END AS
+        qid, NULL::VARCHAR AS extract, CASE WHEN has AND id % 2 = 0 THEN url END AS pageimage_original,
         NULL::VARCHAR AS pageimage_thumb, CASE WHEN has THEN url END AS fullurl, CASE WHEN has THEN 'fa' END AS lang FROM x"""),
-    "entity_claims": (claims, """SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'F' || page_id || '.jpg' END AS image, CASE WHEN page_id % 3 = 0 THEN '+1990-01-02T00:00:00Z' END AS birth, 'Q1' AS birth_place,
-      CASE page_id % 5 WHEN 0 THEN 'Q7;Q8' WHEN 1 THEN 'Q9' END AS jobs, 'En' AS en, CASE WHEN page_id % 2 = 1 THEN 'Fa' END AS fa, (1 + page_id % 2)::INT AS n FROM pages"""),
+    "entity_claims": (claims, """SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'F' || page_id || '.jpg' END AS image, CASE WHEN page_id % 3 = 0
+      THEN '+1990-01-02T00:00:00Z' END AS birth, 'Q1' AS birth_place,
+      CASE page_id % 5 WHEN 0 THEN 'Q7;Q8' WHEN 1 THEN 'Q9' END AS jobs, 'En' AS en, CASE WHEN page_id % 2 = 1 THEN 'Fa' END AS fa, (1 + page_id %
+        2)::INT AS n FROM pages"""),
     "rows_to_do": (rows_to_do, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
     "lookups": (lookups, """SELECT 'newest' AS kind, 'backup-' || strftime(max(o_orderdate), '%Y%m%d') || '.json' AS value FROM orders
       UNION ALL SELECT 'first', min_by(c_name, c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING'"""),
     "archive_document": (document, f"""WITH {_LONG}, {_EV}, f AS (SELECT min(id) AS first FROM l)
       SELECT 1::INT AS kind, id, md5(CASE WHEN id = first THEN '' ELSE ',' END || {_RECORD}) AS value FROM l, f UNION ALL SELECT 2, '', md5(']}}')
-      UNION ALL SELECT 0, '', md5('{{"metadata":{{"version":"1.0.0"}},"events":{{' || (SELECT string_agg('"' || event || '":' || to_json({{title: title, "order": o}})::VARCHAR, ',' ORDER BY event) FROM ev) || '}},"people":[')"""),
+      UNION ALL SELECT 0, '', md5('{{"metadata":{{"version":"1.0.0"}},"events":{{' || (SELECT string_agg('"' || event || '":' ||
+        to_json({{title: title, "order": o}})::VARCHAR, ',' ORDER BY event) FROM ev) || '}},"people":[')"""),
     "lite_document": (lite_document, f"""WITH {_LONG}, f AS (SELECT min(id) AS first FROM l)
-      SELECT id, CASE WHEN id = first THEN '' ELSE ',' END || '{{"id":"' || id || '","n":"' || name || '","ne":"' || name_en || '","e":"' || event || '"' || coalesce(',"g":"' || gender || '"', '') || coalesce(',"a":' || age, '')
-        || ',"c":' || to_json(city)::VARCHAR || ',"nt":' || notable::VARCHAR || ',"v":"' || verification || '"' || coalesce(',"s":"' || story || '"', '') || '}}' AS value FROM l, f"""),
-    "csv_form": (csv_form, f"""WITH {_LONG} SELECT concat_ws(',', id, name, name_en, event, coalesce(gender, ''), coalesce(age::VARCHAR, ''), '', '', '', CASE WHEN city = 'town' THEN city ELSE {_Q} || replace(city, '"', '""') || {_Q} END, '', '', '', notable::VARCHAR, verification, 's1; ' || seg) AS value FROM l"""),
+      SELECT id, CASE WHEN id = first THEN '' ELSE ',' END || '{{"id":"' || id || '","n":"' || name || '","ne":"' || name_en || '","e":"' || event ||
+        '"' || coalesce(',"g":"' || gender || '"', '') || coalesce(',"a":' || age, '')
+        || ',"c":' || to_json(city)::VARCHAR || ',"nt":' || notable::VARCHAR || ',"v":"' || verification || '"' || coalesce(',"s":"' || story || '"',
+          '') || '}}' AS value FROM l, f"""),
+    "csv_form": (
+        csv_form,
+        f"""WITH {_LONG} SELECT concat_ws(',', id, name, name_en, event, coalesce(gender, ''), coalesce(age::VARCHAR, ''), '', '', '', CASE WHEN city = 'town' THEN city ELSE {_Q} || replace(city, '"', '""') || {_Q} END, '', '', '', notable::VARCHAR, verification, 's1; ' || seg) AS value FROM l"""
+    ),
     "event_documents": (event_documents, f"""WITH {_LONG}, {_EV}, f AS (SELECT event, min(id) AS first, count(*) AS n FROM l GROUP BY event)
       SELECT event, 'p' || id AS part, md5(CASE WHEN id = first THEN '' ELSE ',' END || {_RECORD}) AS value FROM l JOIN ev USING (event) JOIN f USING (event)
-      UNION ALL SELECT event, '', md5('{{"event":"' || event || '","info":' || to_json({{title: title, "order": o}})::VARCHAR || ',"count":' || coalesce(n, 0) || ',"people":[') FROM ev LEFT JOIN f USING (event) UNION ALL SELECT event, 'z', md5(']}}') FROM ev"""),
-    "statistics": (statistics, f"""WITH {_LONG}, {_EV} SELECT 'all' AS kind, 'total' AS value, count(*) AS n FROM l UNION ALL SELECT 'all', 'notable', count(*) FILTER (notable) FROM l
-      UNION ALL SELECT 'by_event', ev.event, count(id) FROM ev LEFT JOIN l USING (event) GROUP BY 2 UNION ALL SELECT 'by_verification', verification, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'by_gender', gender, count(*) FROM l WHERE gender IS NOT NULL GROUP BY 2"""),
-    "versions": (versions, f"WITH {_LONG} SELECT 'first' AS version, count(*) AS n, sum(age)::BIGINT AS age, true AS dry FROM l UNION ALL SELECT 'second', count(*), sum(age)::BIGINT, true FROM l WHERE age > 30"),
+      UNION ALL SELECT event, '', md5('{{"event":"' || event || '","info":' || to_json({{title: title, "order": o}})::VARCHAR || ',"count":' ||
+        coalesce(n, 0) || ',"people":[') FROM ev LEFT JOIN f USING (event) UNION ALL SELECT event, 'z', md5(']}}') FROM ev"""),
+    "statistics": (statistics, f"""WITH {_LONG}, {_EV} SELECT 'all' AS kind, 'total' AS value, count(*) AS n FROM l UNION ALL SELECT 'all', 'notable',
+      count(*) FILTER (notable) FROM l
+      UNION ALL SELECT 'by_event', ev.event, count(id) FROM ev LEFT JOIN l USING (event) GROUP BY 2 UNION ALL SELECT 'by_verification', verification,
+        count(*) FROM l GROUP BY 2 UNION ALL SELECT 'by_gender', gender, count(*) FROM l WHERE gender IS NOT NULL GROUP BY 2"""),
+    "versions": (
+        versions,
+        f"WITH {_LONG} SELECT 'first' AS version, count(*) AS n, sum(age)::BIGINT AS age, true AS dry FROM l UNION ALL SELECT 'second', count(*), sum(age)::BIGINT, true FROM l WHERE age > 30"
+    ),
     "saved_in_steps": (saved_in_steps, f"WITH {_LONG} SELECT id, age, id || '!' AS done FROM l"),
-    "cards": (cards, f"""WITH {_LONG}, {_EV} SELECT id, name, coalesce(title, event) AS label, coalesce(translate(age::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' ساله · ', '') || city AS meta, verification AS badge, notable AS star, photo_url AS photo FROM l LEFT JOIN ev USING (event)"""),
-    "details": (details, f"""WITH {_LONG} SELECT id, concat_ws(';', 'age=' || translate(age::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' سال', 'gender=' || gender, 'city=' || city) AS facts,
-      'منبع:generic;' || array_to_string(list_transform(range(1, 6), lambda i: 'h' || i || '.netflix.com:twitter'), ';') AS links, story, CASE WHEN story_en = 'said' THEN 'said' END AS story_en FROM l"""),
-    "summary_table": (summary_table, """WITH x AS (SELECT o_orderkey AS id, 't' || o_orderkey AS title, strftime(o_orderdate, '%Y') AS date, repeat(o_orderpriority, (o_orderkey % 9)::INT) AS s, o_orderstatus AS casualties FROM orders WHERE o_orderkey % 3 <> 0)
+    "cards": (
+        cards,
+        f"""WITH {_LONG}, {_EV} SELECT id, name, coalesce(title, event) AS label, coalesce(translate(age::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' ساله · ', '') || city AS meta, verification AS badge, notable AS star, photo_url AS photo FROM l LEFT JOIN ev USING (event)"""
+    ),
+    "details": (details, f"""WITH {_LONG} SELECT id, concat_ws(';', 'age=' || translate(age::VARCHAR, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ' سال', 'gender='
+      || gender, 'city=' || city) AS facts,
+      'منبع:generic;' || array_to_string(list_transform(range(1, 6), lambda i: 'h' || i || '.netflix.com:twitter'), ';') AS links, story, CASE WHEN
+        story_en = 'said' THEN 'said' END AS story_en FROM l"""),
+    "summary_table": (summary_table, """WITH x AS (SELECT o_orderkey AS id, 't' || o_orderkey AS title, strftime(o_orderdate, '%Y') AS date,
+      repeat(o_orderpriority, (o_orderkey % 9)::INT) AS s, o_orderstatus AS casualties FROM orders WHERE o_orderkey % 3 <> 0)
       SELECT id, title, date, CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '…' ELSE s END AS spark, casualties FROM x"""),
-    "version_bumps": (version_bumps, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 7) || '.' || (p_partkey % 13 + 1) || '.0' ELSE '1.1.0' END AS version FROM part"),
+    "version_bumps": (
+        version_bumps,
+        "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 7) || '.' || (p_partkey % 13 + 1) || '.0' ELSE '1.1.0' END AS version FROM part"
+    ),
     "random_ids": (random_ids, 'SELECT count(*) AS n, count(*) AS "distinct", count(*) AS formed FROM customer'),
 }

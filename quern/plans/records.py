@@ -22,8 +22,19 @@ def status_counts(spark, d):
 
 
 def field_coverage(spark, d):
-    e = table(spark, d, "customer").withColumns({"z": c("c_custkey") % 3, "b": F.when(c("c_custkey") % 4 == 0, "").otherwise(c("c_name")), "l": F.when(c("c_custkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_name"))})
-    return st.coverage(e, {"number": em.empty_number(c("z")), "text": em.empty_text(c("b")), "list": em.empty_list(c("l")), "segment": em.empty_text(em.blank_to_null(c("c_mktsegment")))})
+    e = table(spark, d, "customer").withColumns(
+        {
+            "z": c("c_custkey") % 3, "b": F.when(c("c_custkey") % 4 == 0, "").otherwise(c("c_name")),
+            "l": F.when(c("c_custkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_name"))
+        }
+    )
+    return st.coverage(
+        e,
+        {
+            "number": em.empty_number(c("z")), "text": em.empty_text(c("b")), "list": em.empty_list(c("l")),
+            "segment": em.empty_text(em.blank_to_null(c("c_mktsegment")))
+        }
+    )
 
 
 def top15_groups(spark, d):
@@ -47,7 +58,10 @@ def stats_distinct(spark, d):
 
 def dependent_counts(spark, d):
     cu = table(spark, d, "customer").select("c_custkey")
-    deps = {"orders": (table(spark, d, "orders"), "o_custkey"), "events": (table(spark, d, "events"), "user_id"), "turns": (table(spark, d, "conversations"), "conv_id")}
+    deps = {
+        "orders": (table(spark, d, "orders"), "o_custkey"), "events": (table(spark, d, "events"), "user_id"),
+        "turns": (table(spark, d, "conversations"), "conv_id")
+    }
     return st.dependents(cu, "c_custkey", deps)
 
 
@@ -59,7 +73,9 @@ def semi_accept(spark, d):
 
 def upsert_settings(spark, d):
     e = table(spark, d, "events")
-    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type"))
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(
+        F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("event_type")
+    )
     return mod.upsert(old, e.where("event_id % 2 = 1").select("user_id", "event_id", "event_type"), "user_id", [F.desc("event_id")])
 
 
@@ -90,7 +106,10 @@ def status_transitions(spark, d):
 
 def auto_hide(spark, d):
     """Customers as comments, error events as reports."""
-    cm = table(spark, d, "customer").select(c("c_custkey").alias("id"), F.when(c("c_custkey") % 6 == 0, "spam").otherwise("approved").alias("status"), (c("c_custkey") % 2).alias("report_count"))
+    cm = table(spark, d, "customer").select(
+        c("c_custkey").alias("id"), F.when(c("c_custkey") % 6 == 0, "spam").otherwise("approved").alias("status"),
+        (c("c_custkey") % 2).alias("report_count")
+    )
     rp = table(spark, d, "events").where("event_type = 'error'").select(c("user_id").alias("comment_id"))
     return mod.auto_hide(cm, rp, 3)
 
@@ -131,7 +150,13 @@ def enrich_fill(spark, d):
 
 
 def choose_files(spark, d):
-    p = table(spark, d, "pages").select(c("page_id").alias("id"), F.concat(F.lit("t"), (c("page_id") % 7).cast("string")).alias("title"), F.when(c("page_id") % 2 == 0, F.concat(F.lit("Rally "), c("page_id").cast("string"), F.lit(".png"))).when(c("page_id") % 5 == 0, "A*b é~.jpg").alias("wd_image"), F.when(c("page_id") % 3 == 0, c("url")).alias("fa_image"), F.lit("").alias("en_image"))
+    p = table(spark, d, "pages").select(
+        c("page_id").alias("id"), F.concat(F.lit("t"), (c("page_id") % 7).cast("string")).alias("title"),
+        F.when(
+            c("page_id") % 2 == 0, F.concat(F.lit("Rally "), c("page_id").cast("string"), F.lit(".png"))
+        ).when(c("page_id") % 5 == 0, "A*b é~.jpg").alias("wd_image"),
+        F.when(c("page_id") % 3 == 0, c("url")).alias("fa_image"), F.lit("").alias("en_image")
+    )
     bl = spark.createDataFrame([("t3",)], "title string")
     return en.choose_image(p, bl).select("id", "status", "source", "url")
 
@@ -152,63 +177,96 @@ def reclassify_trust_order(spark, d):
     o = table(spark, d, "orders")
     yy = (F.year("o_orderdate") - 595).cast("string")  # 1992 to 1998 become 1397 to 1403
     k = c("o_orderkey") % 4
-    story = F.when(c("o_orderkey") % 5 == 0, F.concat(F.lit("در "), F.lit("دی ماه "), yy, F.lit(" جان باخت"))).when(c("o_orderkey") % 5 == 1, F.concat(F.lit("کشته "), yy)).otherwise("")
-    p = o.select(c("o_orderkey").alias("id"), F.lit("x").alias("name"), F.when(k == 3, "executions").otherwise("green_88").alias("event"), F.when(k == 0, F.lit(None)).when(k == 1, F.concat(yy, F.lit("/05/01"))).otherwise(yy).alias("date_jalali"), story.alias("story"))
-    return reassign(p.select("id", "name", "event", "date_jalali", "story"))[1].groupBy("from", "to", "reason", "confidence").agg(F.count("*").alias("n"))
+    story = F.when(
+        c("o_orderkey") % 5 == 0, F.concat(F.lit("در "), F.lit("دی ماه "), yy, F.lit(" جان باخت"))
+    ).when(c("o_orderkey") % 5 == 1, F.concat(F.lit("کشته "), yy)).otherwise("")
+    p = o.select(
+        c("o_orderkey").alias("id"), F.lit("x").alias("name"), F.when(k == 3, "executions").otherwise("green_88").alias("event"),
+        F.when(k == 0, F.lit(None)).when(k == 1, F.concat(yy, F.lit("/05/01"))).otherwise(yy).alias("date_jalali"), story.alias("story")
+    )
+    return reassign(
+        p.select("id", "name", "event", "date_jalali", "story")
+    )[1].groupBy("from", "to", "reason", "confidence").agg(F.count("*").alias("n"))
 
 
 _SESS = "(SELECT max(ts) FROM events)"
 QUERIES = {
     "status_counts": (status_counts, """WITH o AS (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS s FROM orders)
       SELECT 'all' AS kind, s, count(*) AS n FROM o GROUP BY s UNION ALL SELECT 'filled', s, count(*) FROM o WHERE s IS NOT NULL AND s <> '' GROUP BY s"""),
-    "field_coverage": (field_coverage, """SELECT 'number' AS field, count(*) FILTER (c_custkey % 3 <> 0) AS n FROM customer UNION ALL SELECT 'text', count(*) FILTER (c_custkey % 4 <> 0) FROM customer
-      UNION ALL SELECT 'list', count(*) FILTER (c_custkey % 5 <> 0) FROM customer UNION ALL SELECT 'segment', count(*) FILTER (trim(c_mktsegment) <> '') FROM customer"""),
+    "field_coverage": (field_coverage, """SELECT 'number' AS field, count(*) FILTER (c_custkey % 3 <> 0) AS n FROM customer UNION ALL SELECT 'text',
+      count(*) FILTER (c_custkey % 4 <> 0) FROM customer
+      UNION ALL SELECT 'list', count(*) FILTER (c_custkey % 5 <> 0) FROM customer UNION ALL SELECT 'segment', count(*) FILTER (trim(c_mktsegment) <>
+        '') FROM customer"""),
     "top15_groups": (top15_groups, "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 15"),
     "rounded_mean": (rounded_mean, "SELECT count(*) AS total, count(*) FILTER (p_size < 18) AS under, round(avg(p_size))::BIGINT AS mean FROM part"),
-    "dashboard_counts": (dashboard_counts, """SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error,
-      count(*) FILTER (event_type = 'purchase') AS purchase, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_orders,
+    "dashboard_counts": (dashboard_counts, """SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view,
+      count(*) FILTER (event_type = 'error') AS error,
+      count(*) FILTER (event_type = 'purchase') AS purchase, (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM orders WHERE o_orderstatus
+        = 'O') AS open_orders,
       (SELECT count(*) FROM labels WHERE toxic = 1) AS toxic FROM events"""),
     "stats_distinct": (stats_distinct, "SELECT count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds FROM events"),
     "dependent_counts": (dependent_counts, """SELECT c_custkey, coalesce(o.n, 0) AS orders, coalesce(e.n, 0) AS events, coalesce(v.n, 0) AS turns FROM customer
-      LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON o.k = c_custkey LEFT JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) e ON e.k = c_custkey
+      LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON o.k = c_custkey LEFT JOIN (SELECT user_id AS k, count(*) AS n FROM
+        events GROUP BY 1) e ON e.k = c_custkey
       LEFT JOIN (SELECT conv_id AS k, count(*) AS n FROM conversations GROUP BY 1) v ON v.k = c_custkey"""),
-    "semi_accept": (semi_accept, """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'accepted' ELSE 'rejected' END AS kind, source, count(*) AS n FROM documents GROUP BY ALL"""),
-    "upsert_settings": (upsert_settings, """WITH o AS (SELECT user_id, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+    "semi_accept": (
+        semi_accept,
+        """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'accepted' ELSE 'rejected' END AS kind, source, count(*) AS n FROM documents GROUP BY ALL"""
+    ),
+    "upsert_settings": (upsert_settings, """WITH o AS (SELECT user_id, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM
+      events WHERE event_id % 2 = 0 GROUP BY 1),
       n AS (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 1 GROUP BY 1)
       SELECT * FROM n UNION ALL SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM n)"""),
     "settings_gate": (settings_gate, "SELECT 'on' AS k, r_name FROM region UNION ALL SELECT 'default', 'dflt'"),
-    "session_expiry": (session_expiry, f"""SELECT CASE WHEN c_custkey % 5 = 0 THEN 'inactive' WHEN ts + INTERVAL 12 HOUR < {_SESS} THEN 'expired' ELSE 'ok' END AS state, count(*) AS n
+    "session_expiry": (session_expiry, f"""SELECT CASE WHEN c_custkey % 5 = 0 THEN 'inactive' WHEN ts + INTERVAL 12 HOUR < {_SESS} THEN 'expired' ELSE
+      'ok' END AS state, count(*) AS n
       FROM events JOIN customer ON c_custkey = user_id GROUP BY 1"""),
     "status_transitions": (status_transitions, """WITH a AS (SELECT l_orderkey AS id, max(l_linenumber) AS m FROM lineitem GROUP BY 1)
-      SELECT CASE WHEN m >= 4 THEN 'approved' WHEN m = 1 THEN 'spam' ELSE o_orderstatus END AS status, count(*) AS n FROM orders LEFT JOIN a ON id = o_orderkey WHERE coalesce(m < 6, true) GROUP BY 1"""),
+      SELECT CASE WHEN m >= 4 THEN 'approved' WHEN m = 1 THEN 'spam' ELSE o_orderstatus END AS status, count(*) AS n FROM orders LEFT JOIN a ON id =
+        o_orderkey WHERE coalesce(m < 6, true) GROUP BY 1"""),
     "auto_hide": (auto_hide, """WITH r AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
-      x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'spam' ELSE 'approved' END AS status, c_custkey % 2 + coalesce(n, 0) AS report_count, n FROM customer LEFT JOIN r ON user_id = c_custkey)
-      SELECT id, CASE WHEN n IS NOT NULL AND status = 'approved' AND report_count >= 3 THEN 'pending' ELSE status END AS status, report_count::BIGINT AS report_count FROM x"""),
+      x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'spam' ELSE 'approved' END AS status, c_custkey % 2 + coalesce(n, 0) AS
+        report_count, n FROM customer LEFT JOIN r ON user_id = c_custkey)
+      SELECT id, CASE WHEN n IS NOT NULL AND status = 'approved' AND report_count >= 3 THEN 'pending' ELSE status END AS status, report_count::BIGINT
+        AS report_count FROM x"""),
     "report_counts": (report_counts, """SELECT user_id, count(*) AS n, count(*) >= 3 AS "over" FROM events WHERE event_type = 'error' GROUP BY 1"""),
-    "merge_entities": (merge_entities, """WITH m AS (SELECT c.c_custkey AS dup, c.c_custkey - 1 AS keep FROM customer c WHERE c.c_custkey % 10 = 3 AND c.c_custkey - 1 IN (SELECT c_custkey FROM customer)),
+    "merge_entities": (merge_entities, """WITH m AS (SELECT c.c_custkey AS dup, c.c_custkey - 1 AS keep FROM customer c WHERE c.c_custkey % 10 = 3 AND
+      c.c_custkey - 1 IN (SELECT c_custkey FROM customer)),
       p AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT dup FROM m) AND c_custkey % 10 <> 7),
       o AS (SELECT coalesce(keep, o_custkey) AS person FROM orders LEFT JOIN m ON dup = o_custkey),
       k AS (SELECT person FROM o WHERE person NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 7))
       SELECT 'people' AS kind, count(*) AS n FROM p UNION ALL SELECT 'comments', count(*) FROM k UNION ALL SELECT 'at_keepers', count(*) FROM k WHERE person % 10 = 2
       UNION ALL SELECT 'reports', count(*) FROM events JOIN m ON dup = user_id"""),
-    "rate_limit_anchored": (rate_limit_anchored, """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    "rate_limit_anchored": (rate_limit_anchored, """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER
+      BY ts, event_id) AS i FROM events),
       w AS (SELECT event_id, user_id, i, ts AS start, 1 AS n, true AS allowed FROM e WHERE i = 1
         UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN e.ts ELSE w.start END,
           CASE WHEN e.ts >= w.start + INTERVAL 1 DAY THEN 1 WHEN w.n < 3 THEN w.n + 1 ELSE w.n END, e.ts >= w.start + INTERVAL 1 DAY OR w.n < 3
         FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
       SELECT event_id, user_id, allowed FROM w"""),
     "conformance_violations": (conformance_violations, """SELECT p_partkey, 'size_range' AS violation FROM part WHERE NOT p_size BETWEEN 1 AND 40
-      UNION ALL SELECT p_partkey, 'brand_pattern' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]$') UNION ALL SELECT p_partkey, 'price' FROM part WHERE NOT p_retailprice > 1000"""),
-    "enrich_fill_if_empty": (enrich_fill, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE coalesce(quality::VARCHAR, '') END AS v FROM documents LEFT JOIN labels USING (doc_id)"),
+      UNION ALL SELECT p_partkey, 'brand_pattern' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]$') UNION ALL SELECT p_partkey,
+        'price' FROM part WHERE NOT p_retailprice > 1000"""),
+    "enrich_fill_if_empty": (
+        enrich_fill,
+        "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE coalesce(quality::VARCHAR, '') END AS v FROM documents LEFT JOIN labels USING (doc_id)"
+    ),
     "choose_image": (choose_files, """WITH x AS (SELECT *, page_id % 7 = 3 AS bl, page_id % 2 = 1 AND page_id % 5 = 0 AS wd, page_id % 3 = 0 AS fa FROM pages)
-      SELECT page_id AS id, CASE WHEN bl THEN 'blacklist' WHEN wd OR fa THEN 'wiki' ELSE 'need_search' END AS status, CASE WHEN bl THEN NULL WHEN wd THEN 'wikidata_P18' WHEN fa THEN 'fa_pageimage' END AS source,
+      SELECT page_id AS id, CASE WHEN bl THEN 'blacklist' WHEN wd OR fa THEN 'wiki' ELSE 'need_search' END AS status, CASE WHEN bl THEN NULL WHEN wd
+        THEN 'wikidata_P18' WHEN fa THEN 'fa_pageimage' END AS source,
         CASE WHEN bl THEN NULL WHEN wd THEN 'https://commons.wikimedia.org/wiki/Special:FilePath/A%2Ab_%C3%A9~.jpg?width=600' WHEN fa THEN url END AS url FROM x"""),
-    "revert_vs_backup": (revert_vs_backup, """SELECT CASE WHEN o_orderkey % 2 = 0 AND strftime(o_orderdate, '%y') <> '95' THEN 'moved' ELSE o_orderpriority END AS event, count(*) AS n FROM orders GROUP BY 1"""),
+    "revert_vs_backup": (
+        revert_vs_backup,
+        """SELECT CASE WHEN o_orderkey % 2 = 0 AND strftime(o_orderdate, '%y') <> '95' THEN 'moved' ELSE o_orderpriority END AS event, count(*) AS n FROM orders GROUP BY 1"""
+    ),
     "reclassify_trust_order": (reclassify_trust_order, """WITH o AS (SELECT o_orderkey % 4 AS k, o_orderkey % 5 AS s, (year(o_orderdate) - 595)::INT AS y FROM orders),
-      e AS (SELECT * FROM (VALUES (1397, 'mordad_97'), (1398, 'aban_98'), (1400, 'khuzestan_1400'), (1401, 'khizesh_1401'), (1402, 'dey_1402'), (1403, 'dey_1403'), (1404, 'khizesh_1404')) v(y, event)),
+      e AS (SELECT * FROM (VALUES (1397, 'mordad_97'), (1398, 'aban_98'), (1400, 'khuzestan_1400'), (1401, 'khizesh_1401'), (1402, 'dey_1402'), (1403,
+        'dey_1403'), (1404, 'khizesh_1404')) v(y, event)),
       x AS (SELECT o.*, e.event, CASE WHEN o.y = 1400 AND s = 0 THEN 'khizesh_1401' ELSE e.event END AS told FROM o LEFT JOIN e USING (y) WHERE k <> 3),
-      r AS (SELECT CASE WHEN s = 0 AND told IS NOT NULL THEN told WHEN event IS NULL THEN NULL WHEN k = 1 THEN told WHEN k = 2 THEN event WHEN k = 0 AND s = 1 THEN event END AS "to",
-        CASE WHEN s = 0 AND told IS NOT NULL THEN 'story_year=' || y WHEN k = 1 THEN 'date_year=' || y WHEN k = 2 THEN 'date_year_only=' || y ELSE 'story_year_no_date=' || y END AS reason,
+      r AS (SELECT CASE WHEN s = 0 AND told IS NOT NULL THEN told WHEN event IS NULL THEN NULL WHEN k = 1 THEN told WHEN k = 2 THEN event WHEN k = 0
+        AND s = 1 THEN event END AS "to",
+        CASE WHEN s = 0 AND told IS NOT NULL THEN 'story_year=' || y WHEN k = 1 THEN 'date_year=' || y WHEN k = 2 THEN 'date_year_only=' || y ELSE
+          'story_year_no_date=' || y END AS reason,
         CASE WHEN s = 0 AND told IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence FROM x)
       SELECT 'green_88' AS "from", "to", reason, confidence, count(*) AS n FROM r WHERE "to" IS NOT NULL GROUP BY ALL"""),
 }

@@ -11,7 +11,12 @@ from quern import schema as S
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(people in the long form with their ordinal, events, meta) of one archive document."""
-    shape = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("events", T.MapType(T.StringType(), T.StructType(S.EVENT.fields[1:]))), T.StructField("people", T.ArrayType(S.PERSON_SHORT))])
+    shape = T.StructType(
+        [
+            T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("events", T.MapType(T.StringType(), T.StructType(S.EVENT.fields[1:]))), T.StructField("people", T.ArrayType(S.PERSON_SHORT))
+        ]
+    )
     doc = spark.read.schema(shape).option("multiLine", True).json(path)
     rows = doc.select(F.posexplode("people").alias("ordinal", "p"))
     people = rows.select("ordinal", "p.*").select("ordinal", *[c.alias(n) for n, c in zip(S.LONG, _long_columns())])
@@ -54,13 +59,19 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def urls_to_ids(people: DataFrame) -> DataFrame:
-    return people.where(F.coalesce(F.trim("photo_url"), F.lit("")) != "").groupBy(F.trim("photo_url").alias("url")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return people.where(
+        F.coalesce(F.trim("photo_url"), F.lit("")) != ""
+    ).groupBy(F.trim("photo_url").alias("url")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def cached_images(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
     """(url, ok, missing, sha1, length): the cache's files by sha1 of the URL; one that is missing or empty is not ok."""
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([0-9a-f]{40})[^/]*$", 1).alias("key"), F.sha1("content").alias("sha1"), "length")
-    return urls.withColumn("key", F.sha1("url")).join(files, "key", "left").select("url", F.coalesce(F.col("length") > 0, F.lit(False)).alias("ok"), F.col("length").isNull().alias("missing"), "sha1", "length")
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_extract("path", r"([0-9a-f]{40})[^/]*$", 1).alias("key"), F.sha1("content").alias("sha1"), "length"
+    )
+    return urls.withColumn("key", F.sha1("url")).join(files, "key", "left").select(
+        "url", F.coalesce(F.col("length") > 0, F.lit(False)).alias("ok"), F.col("length").isNull().alias("missing"), "sha1", "length"
+    )
 
 
 def todo(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -82,9 +93,14 @@ def page_details(raw: DataFrame, lang: str, page: str = "pages") -> DataFrame:
     """Details of the first page of an encyclopedia's answer (JSON, pages by their number) for each id; page -1 is no page, its fields are null."""
     first = F.get(F.json_object_keys(F.get_json_object(page, "$.query.pages")), F.lit(0))
     c = F.col
-    at = lambda p: F.get_json_object(F.call_function("get_json_object", c(page), F.concat(F.lit("$.query.pages['"), c("_p"), F.lit("']"))), f"$.{p}")
+    at = lambda p: F.get_json_object(
+        F.call_function("get_json_object", c(page), F.concat(F.lit("$.query.pages['"), c("_p"), F.lit("']"))), f"$.{p}"
+    )
     d = raw.withColumn("_p", F.nullif(first, F.lit("-1")))
-    fields = {"title": "title", "pageid": "pageid", "qid": "pageprops.wikibase_item", "extract": "extract", "pageimage_original": "original.source", "pageimage_thumb": "thumbnail.source", "fullurl": "fullurl"}
+    fields = {
+        "title": "title", "pageid": "pageid", "qid": "pageprops.wikibase_item", "extract": "extract", "pageimage_original": "original.source",
+        "pageimage_thumb": "thumbnail.source", "fullurl": "fullurl"
+    }
     out = [at(p).cast("long" if n == "pageid" else "string").alias(n) for n, p in fields.items()]
     return d.select("id", *out, F.when(c("_p").isNotNull(), F.lit(lang)).alias("lang"))
 
@@ -97,4 +113,8 @@ def entity_claims(raw: DataFrame, claims: str = "claims", links: str = "sitelink
     title = lambda k: F.get_json_object(links, f"$.{k}.title")
     both = F.map_filter(F.create_map(*[x for k in ("enwiki", "fawiki") for x in (F.lit(k), title(k))]), lambda _, v: v.isNotNull())
     more = [both.alias("sitelinks")] if links in raw.columns else []
-    return raw.select("id", *more, snak("P18").alias("image"), snak("P569", ".time").alias("birth"), snak("P570", ".time").alias("death"), snak("P19", ".id").alias("birth_place"), F.coalesce(jobs, F.when(one.isNotNull(), F.array(F.regexp_replace(one, '"', "")))).alias("occupations"))
+    return raw.select(
+        "id", *more, snak("P18").alias("image"), snak("P569", ".time").alias("birth"), snak("P570", ".time").alias("death"),
+        snak("P19", ".id").alias("birth_place"),
+        F.coalesce(jobs, F.when(one.isNotNull(), F.array(F.regexp_replace(one, '"', "")))).alias("occupations")
+    )

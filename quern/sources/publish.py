@@ -53,7 +53,10 @@ def document_lines(people: DataFrame, events: DataFrame, meta: DataFrame, lite:
     name = "meta" if lite else "metadata"
     m = meta.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m"))  # a handful of rows each
     e = events.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", F.struct(*[c for c in events.columns if c != "event"]).alias("i"))))).alias("e"))
-    head = m.crossJoin(e).select(F.struct(F.lit(0).alias("kind"), F.lit("").alias("id")).alias("part"), F.concat(F.lit(f'{{"{name}":'), F.to_json("m"), F.lit(',"events":'), F.to_json("e"), F.lit(',"people":[')).alias("value"))
+    head = m.crossJoin(e).select(
+        F.struct(F.lit(0).alias("kind"), F.lit("").alias("id")).alias("part"),
+        F.concat(F.lit(f'{{"{name}":'), F.to_json("m"), F.lit(',"events":'), F.to_json("e"), F.lit(',"people":[')).alias("value")
+    )
     first = people.agg(F.min("id").alias("_first"))
     shown = S.to_lite(people) if lite else people
     text = F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "true" if lite else "false"})
@@ -74,10 +77,20 @@ def by_event(people: DataFrame, events: DataFrame) -> DataFrame:
     """
     docs = event_documents(people, events)
     info = [c for c in events.columns if c != "event"]
-    head = docs.select("event", F.lit("").alias("part"), F.concat(F.lit('{"event":'), json_text(F.col("event")), F.lit(',"info":'), F.to_json(F.struct(*[F.col(f"info.{c}").alias(c) for c in info]), {"ignoreNullFields": "false"}), F.lit(',"count":'), F.col("count").cast("string"), F.lit(',"people":[')).alias("value"))
+    head = docs.select(
+        "event", F.lit("").alias("part"),
+        F.concat(
+            F.lit('{"event":'), json_text(F.col("event")), F.lit(',"info":'),
+            F.to_json(F.struct(*[F.col(f"info.{c}").alias(c) for c in info]), {"ignoreNullFields": "false"}), F.lit(',"count":'),
+            F.col("count").cast("string"), F.lit(',"people":[')
+        ).alias("value")
+    )
     known = people.join(events.select("event"), "event", "left_semi").select(*people.columns)
     first = known.groupBy("event").agg(F.min("id").alias("_first"))
-    rows = known.join(first, "event").select("event", F.concat(F.lit("p"), F.col("id")).alias("part"), F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), record_json(people)).alias("value"))
+    rows = known.join(first, "event").select(
+        "event", F.concat(F.lit("p"), F.col("id")).alias("part"),
+        F.concat(F.when(F.col("id") == F.col("_first"), "").otherwise(","), record_json(people)).alias("value")
+    )
     tail = docs.select("event", F.lit("z").alias("part"), F.lit("]}").alias("value"))
     return head.unionByName(rows).unionByName(tail)
 
@@ -126,7 +139,9 @@ def write_lite(people: DataFrame, path: str) -> None:
 def event_documents(people: DataFrame, events: DataFrame) -> DataFrame:
     """(event, info, count): every known event; people of unknown events are left out."""
     n = people.groupBy("event").agg(F.count("*").alias("count"))
-    return events.select("event", F.struct(*[c for c in events.columns if c != "event"]).alias("info")).join(n, "event", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return events.select(
+        "event", F.struct(*[c for c in events.columns if c != "event"]).alias("info")
+    ).join(n, "event", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def write_by_event(people: DataFrame, events: DataFrame, path: str) -> None:
@@ -139,7 +154,9 @@ def write_by_event(people: DataFrame, events: DataFrame, path: str) -> None:
 def statistics(people: DataFrame, events: DataFrame) -> DataFrame:
     """One row: total, notable, and maps of counts by event (all known), verification and gender. All are counted anew."""
     def as_map(key: str, counted: DataFrame) -> DataFrame:
-        return counted.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n"))))).alias(f"by_{key}"))
+        return counted.where(F.col(key).isNotNull()).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n"))))).alias(f"by_{key}")
+        )
 
     n = lambda k: people.groupBy(k).agg(F.count("*").alias("n"))
     by_event = events.select("event").join(n("event"), "event", "left").select("event", F.coalesce("n", F.lit(0)).alias("n"))
