@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut after every byte where the gear hash of the last 32 bytes has its high bits
+A text is cut after every byte where the gear hash of the last 16 bytes has its high bits
 zero, unless the chunk would be shorter than the least; one that would be longer than the
 most ends there. (In a text that repeats itself the hash may never be zero; the most is a
 prime, so that the forced cuts of two such texts come to meet at each of its phases.) Cuts
@@ -21,22 +21,23 @@ from pyspark.sql import functions as F
 from quern.llm.common import as_bytes, fresh, small_batches, tidied
 from quern.sources.stage import stage
 
-#: High bits that a cut needs zero, least and most bytes of a chunk, and words a span needs.
-MASK_BITS, LEAST, MOST, WORDS = 4, 12, 61, 25
+#: High bits that a cut needs zero, least and most bytes of a chunk, and words a run needs with its rims;
+#: bytes that a passage loses at its two rims, about.
+MASK_BITS, LEAST, MOST, WORDS, RIMS = 4, 12, 61, 34, 60
 #: Stands for a null doc_id, after all others.
 NO_ID = (1 << 63) - 1
 
 _S = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _S = (_S ^ (_S >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-GEAR = ((_S ^ (_S >> np.uint64(27))) >> np.uint64(32)).astype(np.uint32)
+GEAR = ((_S ^ (_S >> np.uint64(27))) >> np.uint64(48)).astype(np.uint16)
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
-    """Gear hash h = 2 h + G[byte] (32 bits) at every byte, by doubling the window five times."""
+    """Gear hash h = 2 h + G[byte] (16 bits, so of 16 bytes) at every byte, by doubling the window four times."""
     h = GEAR[np.frombuffer(data, np.uint8)]
-    for s in (1, 2, 4, 8, 16):
+    for s in (1, 2, 4, 8):
         n = h.copy()
-        n[s:] += h[:-s] << np.uint32(s)
+        n[s:] += h[:-s] << np.uint16(s)
         h = n
     return h
 
@@ -45,7 +46,7 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST) -> list[in
     """Ends of the chunks, the last at the text's end; none for an empty text."""
     if not data:
         return []
-    at = (np.flatnonzero((gear_hashes(data) >> np.uint32(32 - mask_bits)) == 0) + 1).tolist() if len(data) > 1 else []
+    at = (np.flatnonzero((gear_hashes(data) >> np.uint16(16 - mask_bits)) == 0) + 1).tolist() if len(data) > 1 else []
     out, last = [], 0
     for c in (*at, len(data)):
         while c - last > MOST:
@@ -120,13 +121,13 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST) -> D
 def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, least: int = LEAST) -> DataFrame:
     """Repeated spans: doc_id, start, end (bytes of the UTF-8 text), words, first, first_doc_id, text_hash.
 
-    A run is neighbouring chunks that each occur in two documents or more, ``words`` words
-    or more in all (white space separates words; of scripts without it two letters are
-    one); what only one document repeats is left alone. A run is given as spans that are
+    A run is neighbouring chunks that each occur in two documents or more. It counts if its words,
+    and those that RIMS more bytes of its own density would have, are ``words`` or more:
+    a passage loses up to a chunk at either rim, which is many words where they are short. White space
+    separates words; of scripts without it two letters are one. What only one document repeats is left alone. A run is given as spans that are
     ``first`` throughout or nowhere: chunks that are met here first (smallest doc_id, null
     last), which a dedup keeps, and such as an earlier document has. So each chunk is kept
-    somewhere. A passage of n words loses up to a chunk, about five words, at either rim, so the
-    default finds passages of over 50 words and leaves phrases alone. Null and empty texts
+    somewhere. The default finds passages of over 50 words and leaves phrases alone. Null and empty texts
     have no spans. Rows that agree in doc_id and text are one document; texts that share a
     doc_id, or have none, are documents of their own, told apart by text_hash. Other
     columns are ignored.
@@ -152,9 +153,10 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     span = one.groupBy("doc", "k", "run", "part").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("halves").alias("halves"), F.first("own").alias("first"), F.min("low").alias("low")
     )
-    span = span.withColumn("all", F.sum("halves").over(Window.partitionBy("doc", "k", "run")))
+    whole = Window.partitionBy("doc", "k", "run")
+    span = span.withColumns({"all": F.sum("halves").over(whole), "bytes": F.sum(F.col("end") - F.col("start")).over(whole)})
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return span.where(F.col("all") >= 2 * words).select(
+    return span.where(F.col("all") * (1 + F.lit(RIMS) / F.col("bytes")) >= 2 * words).select(
         known("doc").alias("doc_id"), "start", "end", F.floor(F.col("halves") / 2).alias("words"), "first", known("low").alias("first_doc_id"),
         F.col("k").alias("text_hash")
     )
