@@ -124,7 +124,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches, small ones joined to about ``size`` bytes."""
     held, n = [], 0
     for b in batches:
