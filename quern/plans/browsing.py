@@ -75,14 +75,14 @@ def timeline_decade_search(spark, d):
 
 
 def relevance_sort(spark, d):
-    return people(spark, d).orderBy(*b.sort_keys("relevance")).limit(100).select("id", b.relevance().alias("relevance"))
+    return people(spark, d).orderBy(*b.sort_keys("relevance")).select("id", b.relevance().alias("relevance"))
 
 
 def date_sort_blank_last(spark, d):
     o = table(spark, d, "orders").withColumn(
         "dg", F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).when(F.col("o_orderkey") % 4 != 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
     )
-    return o.orderBy(F.nullif("dg", F.lit("")).desc_nulls_last(), "o_orderkey").limit(500).select("o_orderkey", "dg")
+    return o.orderBy(F.nullif("dg", F.lit("")).desc_nulls_last(), "o_orderkey").select("o_orderkey", "dg")
 
 
 def event_order_default(spark, d):
@@ -90,7 +90,7 @@ def event_order_default(spark, d):
         F.col("n_name").alias("event"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey")).cast("int").alias("order")
     )
     p = people(spark, d).join(n, "event", "left").withColumn("place", b.event_order())
-    return p.orderBy("place", "id").limit(200).select("id", "event", "place")
+    return p.orderBy("place", "id").select("id", "event", "place")
 
 
 def age_sorts(spark, d):
@@ -146,13 +146,13 @@ QUERIES = {
       CASE WHEN length(o_orderpriority) > 4 THEN substr(o_orderpriority, 1, 4) || '…' ELSE o_orderpriority END AS short
       FROM orders WHERE year(o_orderdate) // 10 = 199 AND (contains(o_orderstatus, 'URGENT') OR contains(o_orderpriority, 'URGENT'))"""),
     "relevance_sort": (
-        relevance_sort, f"WITH {PEOPLE} SELECT id, {RELEVANCE}::INT AS relevance FROM people ORDER BY relevance DESC, ordinal LIMIT 100"
+        relevance_sort, f"WITH {PEOPLE} SELECT id, {RELEVANCE}::INT AS relevance FROM people ORDER BY relevance DESC, ordinal"
     ),
     "date_sort_blank_last": (date_sort_blank_last, """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 <> 1 THEN
       strftime(o_orderdate, '%Y-%m-%d') END AS dg FROM orders)
-      SELECT o_orderkey, dg FROM o ORDER BY nullif(dg, '') DESC NULLS LAST, o_orderkey LIMIT 500"""),
+      SELECT o_orderkey, dg FROM o ORDER BY nullif(dg, '') DESC NULLS LAST, o_orderkey"""),
     "event_order_default": (event_order_default, f"""WITH {PEOPLE}, e AS (SELECT n_name AS event, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS o FROM nation)
-      SELECT id, event, coalesce(nullif(o, 0), 99)::INT AS place FROM people LEFT JOIN e USING (event) ORDER BY place, id LIMIT 200"""),
+      SELECT id, event, coalesce(nullif(o, 0), 99)::INT AS place FROM people LEFT JOIN e USING (event) ORDER BY place, id"""),
     "age_sorts": (age_sorts, f"""WITH {PEOPLE} SELECT * FROM (SELECT id, age, 'age' AS sort FROM people ORDER BY age ASC NULLS LAST, {RELEVANCE} DESC,
       ordinal LIMIT 30 OFFSET 10)
       UNION ALL SELECT * FROM (SELECT id, age, 'age_desc' AS sort FROM people ORDER BY age DESC NULLS LAST, {RELEVANCE} DESC, ordinal LIMIT 30 OFFSET 10)"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +206,19 @@ def sorted_pages(spark, d):
     return out
 
 
+def all_facets(spark, d):
+    """Every facet at once, with the search, and how many there are."""
+    p = browsed(spark, d).withColumn("gender", F.when(c("id") % 3 == 0, "w").otherwise("m"))
+    q = b.BrowseQuery(verification="BUILDING", gender="m", province="ASIA", age="adult", photo=True, notable=True, text=" CUSTOMER#0 ", sort="age_desc")
+    one = b.BrowseQuery(event="NATION_8", age="unknown", limit=30)
+    found = lambda q: b.filtered(p, q)
+    total = lambda name, q: found(q).agg(F.lit(name).alias("part"), F.count("*").alias("id"), F.max("age").alias("age"))
+    fields = ("name", "event", "province")
+    page = p.where(b.contains_text(q.text, fields)).transform(lambda x: b.filtered(x, replace(q, text=""))).orderBy(*b.sort_keys(q.sort))
+    page = page.select(F.lit("page").alias("part"), "id", "age")
+    return page.unionByName(total("all", replace(q, text=""))).unionByName(total("event", one))
+
+
 def labelled_page(spark, d):
     """People whose event the dimension lacks show its key; notable ones only."""
     e = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(
@@ -297,6 +312,10 @@ QUERIES = {
       UNION ALL SELECT * FROM (SELECT 'date_asc', id, name, dg FROM p ORDER BY nullif(dg, '') NULLS LAST, rel DESC, id LIMIT 48 OFFSET 40)
       UNION ALL SELECT * FROM (SELECT 'name', id, name, dg FROM p ORDER BY name, rel DESC, id LIMIT 48 OFFSET 40) UNION ALL SELECT * FROM (SELECT
         'name_desc', id, name, dg FROM p ORDER BY name DESC, rel DESC, id LIMIT 48 OFFSET 40)"""),
+    "all_facets": (all_facets, """WITH p AS (SELECT c_custkey AS id, upper(n_name) AS nn, n_name, r_name, c_mktsegment AS seg, c_acctbal > 5000 AS photo, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 90 END::INT AS age
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+      f AS (SELECT * FROM p WHERE seg = 'BUILDING' AND id % 3 <> 0 AND r_name = 'ASIA' AND age BETWEEN 31 AND 50 AND photo)
+      SELECT 'page' AS part, id, age FROM f UNION ALL SELECT 'all', count(*), max(age) FROM f UNION ALL SELECT 'event', count(*), max(age) FROM p WHERE n_name = 'NATION_8' AND age IS NOT NULL"""),
     "labelled_page": (labelled_page, f"""WITH {_BROWSED}, e AS (SELECT n_name AS event, 'Title ' || n_nationkey AS title, n_regionkey AS o FROM nation
       WHERE n_nationkey % 2 = 0)
       SELECT id, coalesce(title, event) AS label FROM p LEFT JOIN e USING (event) WHERE notable ORDER BY coalesce(nullif(o, 0), 99), rel DESC, id LIMIT 200"""),

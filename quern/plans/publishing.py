@@ -13,6 +13,7 @@ from quern.operators import browse as b
 from quern.session import table
 from quern.sources import archive, publish
 from quern.sources.stage import shared_dir
+from quern.streaming.resume import append_new
 
 c = F.col
 
@@ -233,6 +234,33 @@ def summary_table(spark, d):
     return b.summary_rows(timeline(spark, d))
 
 
+def resumed_appends(spark, d):
+    """Three runs over a folder that files are added to: each reads only what is new, the last finds nothing."""
+    base, o = scratch_path(spark), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    run = lambda: append_new(spark, o.schema, f"{base}/in", f"{base}/out", f"{base}/ck", lambda x: x.where("o_orderstatus != 'P'"))
+    for part in (0, 1):
+        o.where(c("o_orderkey") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        run()
+    run()
+    return spark.read.parquet(f"{base}/out")
+
+
+def appended_rows(spark, d):
+    """Inserts add to what is there; equal rows count each."""
+    base, e = scratch_path(spark), table(spark, d, "events").select("event_id", "event_type")
+    for part in (0, 1, 1):
+        publish.append(e.where(c("event_id") % 3 == part), base)
+    return spark.read.parquet(base).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def report_caps(spark, d):
+    """A report's first changes and first clusters."""
+    o = table(spark, d, "orders")
+    changes = publish.head(o.select(c("o_orderkey").cast("string").alias("id")), "changes", 25, "id")
+    clusters = o.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1").select(c("o_custkey").cast("string").alias("id"))
+    return changes.unionByName(publish.head(clusters, "clusters", 60, "id"))
+
+
 def version_bumps(spark, d):
     k = c("p_partkey")
     v = F.when(k % 3 == 0, F.concat_ws(".", (k % 7).cast("string"), (k % 13).cast("string"), k.cast("string"))).when(k % 3 == 1, "x").otherwise("1.2")
@@ -318,6 +346,12 @@ QUERIES = {
     "summary_table": (summary_table, """WITH x AS (SELECT o_orderkey AS id, 't' || o_orderkey AS title, strftime(o_orderdate, '%Y') AS date,
       repeat(o_orderpriority, (o_orderkey % 9)::INT) AS s, o_orderstatus AS casualties FROM orders WHERE o_orderkey % 3 <> 0)
       SELECT id, title, date, CASE WHEN length(s) > 60 THEN substr(s, 1, 60) || '…' ELSE s END AS spark, casualties FROM x"""),
+    "resumed_appends": (resumed_appends, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'"),
+    "appended_rows": (
+        appended_rows, "SELECT event_type, sum(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END)::BIGINT AS n FROM events WHERE event_id % 3 < 2 GROUP BY 1"
+    ),
+    "report_caps": (report_caps, """SELECT * FROM (SELECT 'changes' AS part, o_orderkey::VARCHAR AS id FROM orders ORDER BY 2 LIMIT 25)
+      UNION ALL SELECT * FROM (SELECT 'clusters', o_custkey::VARCHAR AS id FROM orders GROUP BY o_custkey HAVING count(*) > 1 ORDER BY 2 LIMIT 60)"""),
     "version_bumps": (
         version_bumps,
         "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 7) || '.' || (p_partkey % 13 + 1) || '.0' ELSE '1.1.0' END AS version FROM part"

@@ -100,6 +100,16 @@ def write_event_documents(people: DataFrame, events: DataFrame, path: str) -> No
     by_event(people, events).repartitionByRange("event", "part").sortWithinPartitions("event", "part").select("event", "value").write.partitionBy("event").text(path)
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """Rows added to a table of Parquet files; what is there stays."""
+    rows.write.mode("append").parquet(path)
+
+
+def head(rows: DataFrame, part: str, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows in order, under the name of the report's part."""
+    return rows.orderBy(order).limit(n).select(F.lit(part).alias("part"), *rows.columns)
+
+
 def apply_versioned(new: DataFrame, folder: str, version: str, apply: bool = True) -> str | None:
     """Write ``new`` as a version of its own and return its path; what is there already, the backup, stays. Without ``apply`` a dry run: nothing is written."""
     if not apply:
