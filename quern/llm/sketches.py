@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import as_bytes, numbered, small_batches, tidied
@@ -153,6 +153,16 @@ def part_finder(cuts: list[tuple[bool, int, int]]):
     return part
 
 
+def dealing_keys(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of ``n`` partitions that hash partitioning puts there, so that each part is a task of its own."""
+    keys: dict[int, int] = {}
+    upto = 16 * n + 64
+    while len(keys) < n:
+        at = spark.range(upto).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("key"))
+        keys, upto = {r.p: r.key for r in at.collect()}, 2 * upto  # a row a part
+    return [keys[p] for p in range(n)]
+
+
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """Rows (part, guard, doc_id, text) in parts by descending doc_id, sorted within.
 
@@ -177,15 +187,17 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     top = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct("z", "k", "h")).alias("w"))
     order = sorted((r.part, *r.w) for r in top.collect())  # a row a part
     place = {x[0]: i for i, x in enumerate(order)}
+    deal = dealing_keys(docs.sparkSession, len(order)) if order else []
     firsts = [(place[order[i - 1][0]], x[0], i, x[2], x[3]) for i, x in enumerate(order)]
-    guards = F.broadcast(docs.sparkSession.createDataFrame(firsts, "before int, own int, place int, d long, g long"))  # a row a part
-    src = src.withColumn("own", part).join(guards, "own").withColumn("opens", (F.col("k") == F.col("d")) & (F.col("h") == F.col("g")))
-    each = F.array(F.struct(F.col("place").alias("part"), F.lit(False).alias("guard")))
-    also = F.array(F.struct(F.col("before").alias("part"), F.lit(True).alias("guard")))
-    out = src.withColumn(
-        "p", F.explode(F.when(F.col("opens"), F.concat(each, also)).otherwise(each))
-    ).select("p.part", "p.guard", "doc_id", "z", "k", "h", "text")
-    return out.repartitionById(len(order) or 1, F.col("part")).sortWithinPartitions("part", "guard", "z", "k", "h").select("part", "guard", "doc_id", "text")
+    firsts = [(*x, deal[x[0]], deal[x[2]]) for x in firsts]
+    guards = docs.sparkSession.createDataFrame(firsts, "before int, own int, place int, d long, g long, key_before long, key long")
+    src = src.withColumn("own", part).join(F.broadcast(guards), "own")  # a row a part
+    src = src.withColumn("opens", (F.col("k") == F.col("d")) & (F.col("h") == F.col("g")))
+    each = F.array(F.struct(F.col("place").alias("part"), F.lit(False).alias("guard"), "key"))
+    also = F.array(F.struct(F.col("before").alias("part"), F.lit(True).alias("guard"), F.col("key_before").alias("key")))
+    out = src.withColumn("p", F.explode(F.when(F.col("opens"), F.concat(each, also)).otherwise(each)))
+    out = out.select("p.part", "p.guard", "p.key", "doc_id", "z", "k", "h", "text").repartition(len(order) or 1, "key")
+    return out.sortWithinPartitions("part", "guard", "z", "k", "h").select("part", "guard", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION) -> DataFrame:
