@@ -65,7 +65,7 @@ def urls_to_ids(people: DataFrame) -> DataFrame:
 
 
 def cached_images(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
-    """(url, ok, missing, sha1, length): the cache's files by sha1 of the URL; one that is missing or empty is not ok."""
+    """(url, ok, missing, sha1, length): the cache's files by sha1 of the URL; one that is missing, or empty, which a scan passes over, is not ok."""
     files = spark.read.format("binaryFile").load(folder).select(
         F.regexp_extract("path", r"([0-9a-f]{40})[^/]*$", 1).alias("key"), F.sha1("content").alias("sha1"), "length"
     )
