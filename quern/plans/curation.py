@@ -16,7 +16,6 @@ from quern.session import table
 from quern.sources.stage import stage
 
 c = F.col
-NONE = F.lit(None).cast
 
 
 def text(v) -> F.Column:
