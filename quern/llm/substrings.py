@@ -129,7 +129,8 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     last), which a dedup keeps, and such as an earlier document has. So each chunk is kept
     somewhere. The default finds passages of over 50 words and leaves phrases alone. Null and empty texts
     have no spans. Rows that agree in doc_id and text are one document; texts that share a
-    doc_id, or have none, are documents of their own, told apart by text_hash. Other
+    doc_id, or have none, are documents of their own, told apart by text_hash, but none comes
+    before another: what they have first they all keep. Other
     columns are ignored.
 
     Digests are aggregated before the shuffle, so a chunk of a third of all documents is a
@@ -137,13 +138,12 @@ def repeats(docs: DataFrame, words: int = WORDS, mask_bits: int = MASK_BITS, lea
     execution splits for a hot digest. Runs are found per document.
     """
     all_ = chunks(docs, mask_bits, least)
-    who = F.struct("doc", "k")
-    seen = all_.groupBy("digest", "more").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("digest", "more", "low.*")
+    # plain numbers, which a hash aggregate keeps in place; two documents differ in one of the two
+    ends = [F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("k").alias("k_low"), F.max("k").alias("k_high")]
+    seen = all_.groupBy("digest", "more").agg(*ends).where("low < high OR k_low < k_high").select("digest", "more", "low")
     # staged, so that the join deals both sides anew and can split a hot digest; chunks are cut again, which takes less than keeping them
-    seen = stage(seen.withColumnsRenamed({"doc": "low", "k": "low_k"}))
-    hit = all_.join(seen, ["digest", "more"]).select(
-        "doc", "k", "start", "size", "halves", "low", ((F.col("low") == F.col("doc")) & (F.col("low_k") == F.col("k"))).alias("own")
-    )
+    hit = all_.join(stage(seen), ["digest", "more"])
+    hit = hit.select("doc", "k", "start", "size", "halves", "low", (F.col("low") == F.col("doc")).alias("own"))
     place = Window.partitionBy("doc", "k").orderBy("start", "size")
     # copies of a row give the same chunks again; a run goes on where the chunk before ends
     one = hit.groupBy("doc", "k", "start", "size", "halves", "low", "own").agg(F.count("*").alias("_n"))
