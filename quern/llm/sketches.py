@@ -171,7 +171,7 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     so parts hold about RUN rows, or more beyond CUTS of them, and each is a task of its own. Null doc_ids
     come last; rows of one doc_id are ordered by a hash of text and place, and cut like others.
     """
-    src, a, b = numbered(docs.select("doc_id", "text"))
+    src, a, b = numbered(docs)  # the scan itself, whose rows have places; any other is staged
     src = src.select(
         "doc_id", "text", F.col("doc_id").isNull().alias("z"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("k"),
         F.xxhash64("text", a, b).alias("h")
