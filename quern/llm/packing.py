@@ -9,6 +9,7 @@ pass over all cells.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,9 +28,9 @@ from quern.sources.stage import stage
 LENGTH = 2048
 #: Items of a cell, and the distinct words a worker remembers.
 CELL, WORDS_KEPT = 100_000, 200_000
-#: Fixed value: a character that is a token of its own.
+#: A character that is a token of its own, and signs that may end a word.
 BETWEEN = "\x01"
-MARKS = frozenset(".,")
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Pairs of words on which the tokenizer is probed.
 PROBES = (("the", "quick"), ("a", "b"), ("unbelievable", "xylophones"), ("cafe", "naïve"), ("don", "tomorrow"))
 
@@ -45,8 +46,9 @@ class Encoder:
     """Token ids of a column of texts.
 
     A tokenizer that drops white space, never joins across it and folds ASCII case gives
-    a text the ids of its words in turn. Each distinct word of a batch is encoded once; the first
-    WORDS_KEPT words met are remembered, which frequent ones are soon among. Words are
+    a text the ids of its words in turn. Each distinct word of a batch is encoded once,
+    without case and the signs at its end, which are encoded as a word of their own; the first
+    WORDS_KEPT such words met are remembered, which frequent ones are soon among. Words are
     encoded many at a time, with a control character between them whose id is its own.
     A tokenizer that fails the probes of this encodes whole texts, ``plain``.
     """
@@ -58,29 +60,45 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         ids = lambda t: list(self.tok.encode(t, add_special_tokens=False).ids)
-        self.mark = {c: array("I", ids(c)).tobytes() for c in MARKS}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]  # matched in raw text, with their case
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.marks = "".join(sorted(MARKS.difference(*added)))  # so none of them is cut
         self.plain = len(ids(BETWEEN)) != 1
         for a, b in PROBES:
             self.plain |= ids(f" {a}\t\n{b}  ") != ids(a) + ids(b) or ids(a.upper()) != ids(a) or ids(f"{a} {BETWEEN} {b}") != ids(a) + ids(BETWEEN) + ids(b)
-            self.plain |= any(ids(a + c) != ids(a) + ids(c) for c in MARKS)
+            self.plain |= any(ids(a + c) != ids(a) + ids(c) for c in (*self.marks, *(3 * m for m in self.marks), self.marks, self.marks[::-1]))
         self.between = ids(BETWEEN)[0]
 
-    def encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. Case is folded by the tokenizer too, and a stop or comma
-        after an ASCII letter is a token of its own, so fewer need encoding."""
-        plain, marked = [], []
-        for w in words:
-            if w[-1:] in MARKS and "a" <= w[-2:-1] <= "z":
-                marked.append(w)
-                w = w[:-1]
-            plain.append(w.lower() if w.isascii() else w)
-        known = self.known
-        out = {w: known[w] for w in plain if w in known}
-        need = list({w for w in plain if w not in out})
-        for w in need:
-            if BETWEEN in w:
-                out[w] = array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
-        need = [w for w in need if BETWEEN not in w]
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Case is folded by the tokenizer too, and signs at the end,
+        after an ASCII letter, are tokens apart from it, so fewer need encoding."""
+        known, marks, added = self.known, self.marks, self.added.search
+        stems, tails = [], []
+        for i, w in enumerate(words):
+            if w.isascii():
+                low = w.lower()
+                if low != w and not added(low):
+                    w = low
+            stem = w.rstrip(marks)
+            if stem != w and "a" <= stem[-1:] <= "z":
+                tails.append((i, w[len(stem) :]))
+                w = stem
+            stems.append(w)
+        found = [known.get(w) for w in stems]
+        need = {w for w, x in zip(stems, found) if x is None}
+        need.update(t for _, t in tails if t not in known)
+        fresh = self.encode_alone(list(need))
+        found = [fresh[w] if x is None else x for w, x in zip(stems, found)]
+        for i, t in tails:
+            found[i] += fresh[t] if t in fresh else known[t]
+        if len(known) < WORDS_KEPT:
+            known.update(fresh)
+        return found
+
+    def encode_alone(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, by the tokenizer."""
+        out = {w: array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes() for w in words if BETWEEN in w}
+        need = [w for w in words if w not in out]
         for at in range(0, len(need), 2000):
             part = need[at : at + 2000]
             (e,) = self.tok.encode_batch_fast([f" {BETWEEN} ".join(part)], add_special_tokens=False)
@@ -89,10 +107,7 @@ class Encoder:
             raw = ids.tobytes()
             assert len(cut) == len(part) - 1
             out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)]))
-        got = {w: out[x] for w, x in zip(words, plain)}
-        for w in marked:
-            got[w] += self.mark[w[-1]]
-        return out | got
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin and the last's end)."""
@@ -101,12 +116,8 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = words.flatten().dictionary_encode()
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        found = [self.known.get(w) for w in distinct]
-        fresh = self.encode([w for w, x in zip(distinct, found) if x is None])
-        if len(self.known) < WORDS_KEPT:
-            self.known.update(fresh)
-        found = [fresh[w] if x is None else x for w, x in zip(distinct, found)]
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = self.encode(distinct)
         ids = np.frombuffer(b"".join(found), np.uint32)
         size = np.fromiter(map(len, found), np.int32, len(distinct)) // 4
         first = np.cumsum(size, dtype=np.int32) - size

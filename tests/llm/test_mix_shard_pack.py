@@ -176,6 +176,17 @@ def test_encoder_agrees_with_the_tokenizer(spark, tokenizer):
         assert ids[lo:hi].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_that_differ_in_case_and_end_signs_are_encoded_once(tokenizer):
+    """The tokenizer's added tokens keep their case and signs."""
+    texts = ["word Word! word&&& WORD... word,\"' word", "<|STARTOFTEXT|> a<|endoftext|> x<|EndOfText|>! <|startoftext|>.", "it's it'S' o'' don'T. a\x01b!! ß!? é... 12!!! ''' ...", "a-b-- c_d__ e>> f<|"]
+    e = packing.Encoder(packing.vocabulary())
+    assert not e.plain
+    for _ in range(2):  # the second time from what is remembered
+        ids, ends = e(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in e.known if "word" in w.lower()] == ["word"]
+
+
 def test_other_tokenizers_encode_whole_texts(tokenizer):
     """One that keeps white space and case is noticed and gives its own ids."""
     import tokenizers
