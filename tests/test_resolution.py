@@ -214,3 +214,20 @@ def test_extra_columns_are_carried(spark):
     q = p.withColumns({k: v for k, v in extra.items() if k not in ("rank", "component")})
     out, _ = classify.reassign(q)
     assert out.columns == q.columns and out.where("nm = 7").count() == 3
+
+
+def test_blocks_are_scored_without_their_pairs(spark):
+    """Tiers as by pairs, and of a block of unlike names no pair is written or compared by its text."""
+    from quern.sources import stage as stages
+
+    rows = invented(seed=4)
+    prints = hashes(rows)
+    f = spark.createDataFrame([(f"jvn_{i:010x}", *(v[k] for k in ("sha1", "phash", "dhash", "face_phash"))) for i, v in prints.items()], "id string, sha1 string, phash string, dhash string, face_phash string")
+    for args in ((as_people(spark, rows), f), (as_people(spark, rows),)):
+        want = resolve.score(args[0], resolve.candidates(*args), *args[1:])
+        assert sorted(map(str, resolve.duplicates(*args).collect())) == sorted(map(str, want.collect()))
+    rng, before = random.Random(7), len(stages._made)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(120)]
+    unlike = people(spark, *(person(i, name=f"{n} {n[::-1]}", city="x", birth_year=1300) for i, n in enumerate(names)))
+    assert resolve.duplicates(unlike).count() == 0
+    assert max(d.count() for d in stages._made[before:]) <= 240
