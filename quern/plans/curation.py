@@ -179,8 +179,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_pairs(spark, d):
     """The tiers that need no text similarity: the same image, equal names, name families, each with its context."""
-    p = records(spark, d)
-    return r.score(p, stage(r.candidates(p)), files(spark, d)).where(~c("reason").startswith("NAME_FUZZY"))
+    return r.duplicates(records(spark, d), files(spark, d)).where(~c("reason").startswith("NAME_FUZZY"))
 
 
 def audit_of_merges(spark, d):
