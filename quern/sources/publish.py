@@ -120,17 +120,22 @@ def apply_versioned(new: DataFrame, folder: str, version: str, apply: bool = Tru
 
 
 def save_in_steps(rows: DataFrame, work, key: str, folder: str, every: int) -> DataFrame:
-    """``work`` on the rows whose key is not in the folder yet, ``every`` rows a step, each step appended before the next.
+    """``work`` on the rows whose key is not in the folder yet, ``every`` rows a step, each step in the folder as soon as it is done.
 
-    A run that is cut short goes on where it stopped. Steps are cells by a hash, of about ``every`` rows. Returns what is in the folder.
+    A run that is cut short goes on where it stopped. Steps are cells by a hash, of about ``every`` rows.
+    A step is a task, so steps run side by side and each reads its own rows only; the second
+    commit algorithm moves a task's file to the folder when the task ends, under a name that a
+    repeated task takes again. ``work`` is by row. Returns what is in the folder.
     """
     spark = rows.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     here = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    left = stage(rows.join(spark.read.parquet(folder).select(key), key, "left_anti") if here else rows)
-    cells = -(-left.count() // every)
-    for i in range(cells):
-        work(left.where(F.pmod(F.xxhash64(key), F.lit(cells)) == i)).write.mode("append").parquet(folder)
+    done = spark.read.schema(rows.select(key).schema).parquet(folder) if here else None
+    left = stage(rows.join(done, key, "left_anti") if here else rows)
+    steps = -(-left.count() // every)
+    if steps or not here:
+        out = work(left.repartition(max(steps, 1), key)).write.mode("append")
+        out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
     return spark.read.parquet(folder)
 
 

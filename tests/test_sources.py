@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.sources import archive, publish
@@ -52,6 +53,22 @@ def test_steps_go_on_where_they_stopped(spark, tmp_path):
     assert sorted(i for s in seen for i in s) == list(range(100)) and out.count() == 100
 
 
+def test_steps_are_tasks_of_one_job_and_stay_when_it_fails(spark, tmp_path):
+    rows, calls, folder = spark.range(0, 2000, 1, 4), [], str(tmp_path / "out")
+
+    def work(d, bad=-1):
+        calls.append(d.rdd.getNumPartitions())
+        return d.withColumn("twice", F.when(F.col("id") == bad, F.raise_error(F.lit("cut short")).cast("long")).otherwise(F.col("id") * 2))
+
+    with pytest.raises(Exception, match="cut short"):
+        publish.save_in_steps(rows, lambda d: work(d, 1234), "id", folder, 20)
+    kept = spark.read.schema("id long").parquet(folder).count()
+    assert 0 < kept < 2000
+    out = publish.save_in_steps(rows, work, "id", folder, 20)
+    assert out.count() == out.select("id").distinct().count() == 2000 and out.where("twice = 2 * id").count() == 2000
+    assert len(calls) == 2 and calls[0] == 100
+
+
 def test_scratch_deletes_what_it_does_not_keep(spark):
     with scratch() as s:
         gone, kept = stage(spark.range(3)), s.keep(stage(spark.range(5)))
