@@ -72,7 +72,9 @@ def subset_name(spark, d):
     other = F.when(n == 0, w).when(n == 1, F.reverse(w)).when(n == 2, F.filter(w, lambda x, i: i % 2 == 0)).when(n == 3, F.slice(w, 2, 4)).otherwise(
         F.array(w[0], F.lit("x"), w[1], F.lit("y"), w[2])
     )
-    return table(spark, d, "part").select("p_partkey", tx.is_subset(a, other).alias("first"), tx.is_subset(other, a).alias("second"))
+    # both lists columns of their own, so that each is made once a row and not at every step of the comparison
+    p = dealt(table(spark, d, "part")).select("p_partkey", a.alias("a"), other.alias("b"))
+    return p.select("p_partkey", tx.is_subset(c("a"), c("b")).alias("first"), tx.is_subset(c("b"), c("a")).alias("second"))
 
 
 def jalali_dates(spark, d):

@@ -126,6 +126,13 @@ def test_fuzzy_ratio_scores_whole_texts_of_whole_blocks(spark, tmp_path):
         assert x.a < x.b and x.ratio == round(SequenceMatcher(None, docs[x.a][1], docs[x.b][1]).ratio(), 6)
 
 
+def test_subset_name_makes_its_lists_once(spark):
+    from quern.plans import texts
+
+    plan = texts.subset_name(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") < 40
+
+
 def test_classification(spark):
     p = people(
         spark,
