@@ -126,6 +126,15 @@ def test_fuzzy_ratio_scores_whole_texts_of_whole_blocks(spark, tmp_path):
         assert x.a < x.b and x.ratio == round(SequenceMatcher(None, docs[x.a][1], docs[x.b][1]).ratio(), 6)
 
 
+def test_fuzzy_ratio_skips_no_block(spark, tmp_path):
+    from quern.plans import resolution
+
+    docs = spark.range(820).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two\n"), F.repeat(F.lit("x"), (F.col("id") % 3).cast("int"))).alias("text"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = resolution.fuzzy_ratio(spark, str(tmp_path))
+    assert got.count() == got.select("a", "b").distinct().count() == 820 * 819 // 2
+
+
 def test_subset_name_makes_its_lists_once(spark):
     from quern.plans import texts
 
