@@ -174,6 +174,7 @@ def queue(
     """A review queue: rows of a status (``default`` if none is asked, ``all`` for any) and kind, with the names of their people.
 
     ``reported`` asks for rows that were reported, whatever their status. Rows of unknown people stay.
+    Rows that ``order`` leaves equal go by their other fields, so that the queue's end is the same in each run.
     """
     status = status or default
     if reported:
@@ -186,7 +187,8 @@ def queue(
     out = rows.join(names("person_name", "person_id"), "person_id", "left")
     if "duplicate_of" in rows.columns:
         out = out.join(names("duplicate_name", "duplicate_of"), "duplicate_of", "left")
-    return out.orderBy(*(order or [F.desc("id")])).limit(limit)
+    ties = [F.asc(n) for n in dict.fromkeys([*rows.columns, *out.columns]) if not dict(out.dtypes)[n].startswith(("map", "variant"))]
+    return out.orderBy(*(order or [F.desc("id")]), *ties).limit(limit)
 
 
 #: Kinds of reports.

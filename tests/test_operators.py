@@ -142,6 +142,19 @@ def test_subset_name_makes_its_lists_once(spark):
     assert plan.count("split(") < 40
 
 
+def test_queue_ends_alike_in_each_run(spark):
+    """Rows of equal ids at the queue's end do not depend on how the table lies."""
+    from quern.operators import moderation
+
+    rows = [(i // 40, i, 1000 - i, "open") for i in range(400)]
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(0, 1001, 2)], "id long, name string")
+    seen = set()
+    for parts, way in ((1, 1), (1, -1), (7, 1)):
+        r = spark.createDataFrame(rows[::way], "id long, person_id long, duplicate_of long, status string").repartition(parts)
+        seen.add(tuple(sorted((x.id, x.person_id) for x in moderation.queue(r, names, default="open", limit=100).collect())))
+    assert len(seen) == 1 and sorted(p for i, p in seen.pop() if i == 7) == list(range(280, 300))
+
+
 def test_classification(spark):
     p = people(
         spark,
